@@ -30,7 +30,7 @@ def percentile_rows(actions: DataFrame, divisors: tuple[int, ...] = (2, 4, 20, 1
         "grp", "sec", "n",
         F.coalesce(F.sum("n").over(slower), F.lit(0)).alias("before"),
         F.sum("n").over(Window.partitionBy("grp")).alias("total"),
-        F.explode(F.array(*[F.lit(k) for k in divisors])).alias("k"))
+    ).withColumn("k", F.explode(F.array(*[F.lit(k) for k in divisors])))
     offset = half_up_div(F.col("total"), F.col("k"))
     picks = ranked.withColumn("row_offset", offset).filter(
         (F.col("before") <= F.col("row_offset"))

@@ -17,7 +17,6 @@ from faultline.operators import (
 from faultline.plans import reports
 from faultline.sources import readers, storage
 from faultline.sources.derived import AS_OF, Tables, action_log, attachment_events
-from faultline.sources.schemas import TEST_RESULTS
 from faultline.streaming import alerts, rates, sinks
 
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
@@ -664,7 +663,7 @@ def _(t: Tables):
     results = t.test_results()
     storage.append(results.filter(F.col("concurrency_count") <= 4), root, "test_results")
     storage.append(results.filter(F.col("concurrency_count") > 4), root, "test_results")
-    return t.spark.read.schema(TEST_RESULTS).parquet(f"{root}/test_results")
+    return readers.read_table(t.spark, root, "test_results")
 
 
 @query("w3_upsert_pass_end")
