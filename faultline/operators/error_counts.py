@@ -36,8 +36,8 @@ def error_counts(passes: DataFrame, results: DataFrame, actions: DataFrame, *,
                  as_of=None, lookback: tuple[int, str] | None = None,
                  environ: str | None = None, min_concurrency: int | None = None,
                  loose: tuple[str, ...] = (), order: tuple[str, ...] = ()) -> DataFrame:
-    """Errors per chosen columns of the action, the test and the pass, most frequent last
-    sort key; ``loose`` columns show their smallest value."""
+    """Errors per chosen columns of the action, the test and the pass, most frequent first
+    within ``order``; ``loose`` columns show their smallest value."""
     wanted = [*keys, *loose]
     rows = errors_in_context(
         passes, results, actions,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from faultline.functions.numbers import half_up_div
 
@@ -73,33 +74,45 @@ def number_in_order(df: DataFrame, *, group: list[str], chunk: Column, order: li
     """Add ``row_no`` per group in ``order`` and, if asked, ``previous``: the ``carry`` value
     of the row before.
 
-    ``chunk`` must not decrease along the order. Rows are numbered inside (group, chunk); the
-    chunk totals, a small table, give each chunk its offset and the last row before it. A
-    group that owns a large part of the rows is thus spread over its chunks, and the rows are
-    shuffled once.
+    ``chunk`` must not decrease along the order. Rows are numbered inside (group, chunk), so a
+    group that owns a large part of the rows is spread over its chunks; choose chunks that fit
+    a task. Only groups that span chunks need more: their chunk totals give each later chunk
+    its offset and the last row before it.
     """
-    key = F.struct(*group) if group else F.lit(0)
-    keyed = df.withColumns({"_group": key, "_chunk": chunk})
-    local = Window.partitionBy("_group", "_chunk").orderBy(*order)
+    # Group columns may be NULL; a filled value and a flag join where NULL would not.
+    keyed, keys = df, []
+    for i, column in enumerate(group):
+        kind = df.schema[column].dataType
+        filler = F.lit("") if isinstance(kind, T.StringType) else F.lit(0).cast(kind)
+        keyed = keyed.withColumns({f"_null{i}": F.col(column).isNull(),
+                                   f"_key{i}": F.coalesce(F.col(column), filler)})
+        keys += [f"_null{i}", f"_key{i}"]
+    keyed = keyed.withColumn("_chunk", chunk).drop(*group)
+    inside = [*keys, "_chunk"]
+
+    local = Window.partitionBy(*inside).orderBy(*order)
     rows = keyed.withColumn("_n", F.row_number().over(local))
-    totals = [F.count("*").alias("_size")]
     if carry:
         rows = rows.withColumn("_prev", F.lag(carry).over(local))
-        totals.append(F.max_by(carry, F.struct(*order, carry)).alias("_last"))
+        last = rows.withColumn("_next", F.lead(F.lit(1)).over(local)).filter("_next IS NULL")
+        chunks = last.select(*inside, F.col("_n").alias("_size"), F.col(carry).alias("_last"))
+    else:
+        chunks = keyed.groupBy(*inside).agg(F.count("*").alias("_size"))
 
-    chunks = keyed.groupBy("_group", "_chunk").agg(*totals)
-    across = Window.partitionBy("_group").orderBy("_chunk")
+    across = Window.partitionBy(*keys).orderBy("_chunk")
     before = F.sum("_size").over(across.rowsBetween(Window.unboundedPreceding, -1))
-    heads = [F.coalesce(before, F.lit(0)).alias("_before")]
+    heads = [before.alias("_before")]
     if carry:
         heads.append(F.lag("_last").over(across).alias("_carried"))
-    heads = chunks.select("_group", "_chunk", *heads)
+    later = chunks.select(*inside, *heads).filter("_before IS NOT NULL")
 
-    joined = rows.join(heads, ["_group", "_chunk"])
-    added = {"row_no": F.col("_n") + F.col("_before")}
+    joined = rows.join(later, inside, "left")
+    added = [(F.col("_n") + F.coalesce("_before", F.lit(0))).alias("row_no")]
     if carry:
-        added["previous"] = F.when(F.col("_n") == 1, F.col("_carried")).otherwise(F.col("_prev"))
-    return joined.withColumns(added).select(*df.columns, *added)
+        added.append(F.when(F.col("_n") == 1, F.col("_carried")).otherwise(F.col("_prev"))
+                     .alias("previous"))
+    restored = {c: F.when(~F.col(f"_null{i}"), F.col(f"_key{i}")) for i, c in enumerate(group)}
+    return joined.select(*[restored.get(c, F.col(c)).alias(c) for c in df.columns], *added)
 
 
 def assign_ids(df: DataFrame, *, id_name: str, chunk: Column, order: list[str],

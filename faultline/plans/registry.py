@@ -697,7 +697,7 @@ def _(t: Tables):
 @query("w5_assign_ids")
 def _(t: Tables):
     rows = t.test_results().select("time_started", "test_id")
-    return ranks.assign_ids(rows, id_name="result_id", chunk=F.to_date("time_started"),
+    return ranks.assign_ids(rows, id_name="result_id", chunk=F.date_trunc("hour", F.col("time_started")),
                             order=["time_started", "test_id"], start_after=1000)
 
 
