@@ -87,7 +87,8 @@ def upsert_pass_end(passes: DataFrame, updates: DataFrame) -> DataFrame:
 def orphans(child: DataFrame, child_key: str, parent: DataFrame, parent_key: str) -> DataFrame:
     """Child rows whose key is set but unknown to the parent."""
     keys = parent.select(F.col(parent_key).alias(child_key))
-    return child.filter(F.col(child_key).isNotNull()).join(keys, child_key, "left_anti")
+    known = child.filter(F.col(child_key).isNotNull())
+    return known.join(keys, child_key, "left_anti").select(*child.columns)
 
 
 def orphan_counts(checks: list[tuple[str, DataFrame, str, DataFrame, str]]) -> DataFrame:
@@ -115,6 +116,6 @@ def cascade_delete(passes: DataFrame, results: DataFrame, actions: DataFrame,
     gone_tests = results.join(gone_passes, "test_pass_id", "left_semi").select("test_id")
     return (
         passes.filter(~F.coalesce(condition, F.lit(False))),
-        results.join(gone_passes, "test_pass_id", "left_anti"),
-        actions.join(gone_tests, "test_id", "left_anti"),
+        results.join(gone_passes, "test_pass_id", "left_anti").select(*results.columns),
+        actions.join(gone_tests, "test_id", "left_anti").select(*actions.columns),
     )

@@ -20,26 +20,24 @@ def percentile_rows(actions: DataFrame, divisors: tuple[int, ...] = (2, 4, 20, 1
     distinct values of one second, however many actions a group has. A group that is too
     short for an offset yields no row.
     """
-    group = F.struct(*keys).alias("grp")
-    counts = actions.groupBy(group, F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    counts = counts.withColumn("sec", F.floor("v").cast("bigint"))
-
-    seconds = counts.groupBy("grp", "sec").agg(F.sum("n").alias("n"))
-    slower = Window.partitionBy("grp").orderBy(F.col("sec").desc()).rowsBetween(
-        Window.unboundedPreceding, -1)
-    ranked = seconds.select(
-        "grp", "sec", "n",
-        F.coalesce(F.sum("n").over(slower), F.lit(0)).alias("before"),
-        F.sum("n").over(Window.partitionBy("grp")).alias("total"),
+    counts = actions.groupBy(F.struct(*keys).alias("grp"), F.col(value).alias("v")).agg(
+        F.count("*").alias("n"))
+    # One struct as join key: it is never NULL, so both uses of the counts share one shuffle.
+    counts = counts.withColumn("bin", F.struct("grp", F.floor("v").cast("bigint").alias("sec")))
+
+    bins = counts.groupBy("bin").agg(F.sum("n").alias("n"))
+    group = Window.partitionBy("bin.grp")
+    slower = group.orderBy(F.col("bin.sec").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = bins.select(
+        "bin", "n", F.coalesce(F.sum("n").over(slower), F.lit(0)).alias("before"),
+        F.sum("n").over(group).alias("total"),
     ).withColumn("k", F.explode(F.array(*[F.lit(k) for k in divisors])))
-    offset = half_up_div(F.col("total"), F.col("k"))
-    picks = ranked.withColumn("row_offset", offset).filter(
+    picks = ranked.withColumn("row_offset", half_up_div(F.col("total"), F.col("k"))).filter(
         (F.col("before") <= F.col("row_offset"))
         & (F.col("row_offset") < F.col("before") + F.col("n"))
-    ).select("grp", "sec", "k", "row_offset",
-             (F.col("row_offset") - F.col("before")).alias("inside"))
+    ).select("bin", "k", "row_offset", (F.col("row_offset") - F.col("before")).alias("inside"))
 
-    within = counts.join(picks, ["grp", "sec"])
+    within = counts.join(picks, "bin")
     w = Window.partitionBy("grp", "k").orderBy(F.col("v").desc()).rowsBetween(
         Window.unboundedPreceding, -1)
     found = within.withColumn("skipped", F.coalesce(F.sum("n").over(w), F.lit(0))).filter(

@@ -22,18 +22,17 @@ def unattached(ips: DataFrame) -> DataFrame:
 
 def except_keys(df: DataFrame, ignored: DataFrame, key: str) -> DataFrame:
     """Rows whose key is not in the ignore table; an empty table ignores nothing."""
-    return df.join(ignored.select(key), key, "left_anti")
+    return df.join(ignored.select(key), key, "left_anti").select(*df.columns)
 
 
 def existing(names: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """Rows of ``names`` that exist in ``known``."""
-    return names.join(known.select(key), key, "left_semi")
+    return names.join(known.select(key), key, "left_semi").select(*names.columns)
 
 
 def orphaned_ips(earlier: DataFrame, later: DataFrame, ignored: DataFrame) -> DataFrame:
     """Later rows of addresses unattached in both snapshots and not ignored."""
-    candidates = unattached(later)
-    both = candidates.join(unattached(earlier).select("ip"), "ip", "left_semi")
+    both = existing(unattached(later), unattached(earlier), "ip")
     return except_keys(both, ignored, "ip")
 
 

@@ -29,6 +29,9 @@ def cluster_settings(executor_cores: int, input_bytes: int) -> dict[str, str]:
         "spark.sql.shuffle.partitions": str(partitions),
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128MB",
         "spark.sql.files.maxPartitionBytes": "256MB",
+        # Recent passes cut down the scan of the tests through a Bloom filter of bounded size,
+        # so their full history is not shuffled for a report over a few days.
+        "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1GB",
     }
 
 
