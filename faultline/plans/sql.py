@@ -880,6 +880,11 @@ def _statements() -> dict[str, str]:
           where a.kind = 'attach' and a.ip = d.ip and a.event_time > d.event_time
             and a.event_time <= d.event_time + interval {} second)"""
     q["t4_orphaned_ips_batch"] = orphaned.format(7200)
+    # The stream holds back what its watermark, the smaller of both sides' newest event less
+    # ten minutes, has not passed yet.
+    q["t4_stream_orphaned_ips"] = orphaned.format(120) + """
+          and d.event_time + interval 120 second <= (select min(newest) - interval 10 minute
+            from (select max(event_time) as newest from address_events group by kind))"""
     return q
 
 
