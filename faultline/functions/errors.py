@@ -98,15 +98,22 @@ def with_error_type(df: DataFrame, text: str = "error_text", mode: str = "faithf
         "error_type", classify_error(F.col(text), mode, F.col("_lowered"))).drop("_lowered")
 
 
-def error_severity(error_type: Column) -> Column:
+def error_severity(error_type: Column, lowered: Column | None = None) -> Column:
     """``none``, ``soft`` or ``hard``."""
-    lowered = F.lower(error_type)
+    lowered = F.lower(error_type) if lowered is None else lowered
     chain = F.when(error_type.isNull() | (error_type == ""), F.lit("none"))
     for fragment, severity in SEVERITIES:
         chain = chain.when(lowered.contains(fragment), F.lit(severity))
     return chain.otherwise(F.lit("hard"))
 
 
+def with_severity(df: DataFrame) -> DataFrame:
+    """Add ``severity``; the lower-cased type and the cascade are computed once per row."""
+    lowered = df.withColumn("_lowered", F.lower("error_type"))
+    return lowered.withColumn(
+        "severity", error_severity(F.col("error_type"), F.col("_lowered"))).drop("_lowered")
+
+
 def normalize_no_error(error_type: Column) -> Column:
     """Map the three spellings of "no error" (``''``, ``'None'``, NULL) to NULL."""
     return F.nullif(F.nullif(error_type, F.lit("")), F.lit("None"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.functions.errors import error_severity
+from faultline.functions.errors import with_severity
 from faultline.functions.numbers import humanize_units
 from faultline.functions.times import elapsed_seconds
 from faultline.operators.ranks import number_in_order
@@ -21,8 +21,8 @@ MILESTONES = {
 
 def rollup_test_results(actions: DataFrame) -> DataFrame:
     """Per test: action and error counts, elapsed time and requests per second."""
-    severity = error_severity(F.col("error_type"))
-    per_test = actions.groupBy("test_id").agg(
+    severity = F.col("severity")
+    per_test = with_severity(actions).groupBy("test_id").agg(
         F.count("*").alias("action_count"),
         F.count_if(severity == "hard").alias("hard_error_count"),
         F.count_if(severity == "soft").alias("soft_error_count"),

@@ -500,8 +500,7 @@ def _(t: Tables):
 @query("x2_error_severity")
 def _(t: Tables):
     typed = errors.with_error_type(t.error_texts(), mode="intended")
-    return typed.select("test_id", "step", "error_type",
-                        errors.error_severity(F.col("error_type")).alias("severity"))
+    return errors.with_severity(typed).select("test_id", "step", "error_type", "severity")
 
 
 for _mode in ["faithful", "intended"]:
