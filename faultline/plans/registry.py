@@ -660,8 +660,9 @@ def _(t: Tables):
 def _(t: Tables):
     root = storage.shared_dir(t.spark)
     results = t.test_results()
-    storage.append(results.filter(F.col("concurrency_count") <= 4), root, "test_results")
-    storage.append(results.filter(F.col("concurrency_count") > 4), root, "test_results")
+    few = F.col("concurrency_count") <= 4
+    storage.append(results.filter(few), root, "test_results", grain="month")
+    storage.append(results.filter(~few), root, "test_results", grain="month")
     return readers.read_table(t.spark, root, "test_results")
 
 

@@ -46,19 +46,23 @@ def create_tables(spark: SparkSession, database: str, drop: bool = False) -> Non
         writer.saveAsTable(f"{database}.{name}")
 
 
-def with_date(df: DataFrame, table: str) -> DataFrame:
-    source = PARTITION_SOURCE.get(table)
-    return df.withColumn("event_date", F.col(source).cast("date")) if source else df
+def with_date(df: DataFrame, table: str, grain: str = "day") -> DataFrame:
+    """Add the partition column: the day, or the first day of the month or year."""
+    if table not in PARTITION_SOURCE:
+        return df
+    day = F.col(PARTITION_SOURCE[table]).cast("date")
+    return df.withColumn("event_date", day if grain == "day" else F.trunc(day, grain))
 
 
-def append(df: DataFrame, root: str, table: str) -> None:
+def append(df: DataFrame, root: str, table: str, grain: str = "day") -> None:
     """Append rows as typed parquet below ``root``, one folder per day.
 
     Rebalancing on the date keeps files near the advisory size: busy days are split over many
-    tasks and quiet days share one.
+    tasks and quiet days share one. A small log takes ``grain="month"`` to keep files few; the
+    day pruning of ``read_table`` is for daily folders.
     """
     columns = [f.name for f in TABLES[table].fields]
-    dated = with_date(df.select(*columns), table)
+    dated = with_date(df.select(*columns), table, grain)
     if table in PARTITION_SOURCE:
         dated = dated.hint("rebalance", "event_date")
         dated.write.mode("append").partitionBy("event_date").parquet(f"{root}/{table}")
