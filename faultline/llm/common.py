@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 ROWS_PER_CELL = 5_000
 BLOCK_BYTES = 2 << 20
+BROADCAST_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +42,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """A written table marked for broadcast if its rows, at ``row_bytes`` each, stay below
+    ``BROADCAST_BYTES``; else as it is, for a join by shuffle."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
 def number_within(df: DataFrame, group: str, order: list[str], name: str, rows: int) -> DataFrame:
     """``df`` with ``name``: the row's place from 0, without gaps, inside its group.
 

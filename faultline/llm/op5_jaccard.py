@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.common import cut
+from faultline.llm.common import cut, small
 from faultline.llm.components import connected
 from faultline.llm.shingles import shingle_sets
 
@@ -86,13 +86,14 @@ def _pack(arrays: list[np.ndarray], kind) -> bytes:
 def shared_counts(documents: DataFrame, total: int) -> DataFrame:
     """(doc_id, shared): at least the number of a document's shingles that occur in another row.
 
-    The shingles of a batch travel as one packed row per part of the hash space, four to eight
-    bytes each. Within a part the fingerprints that occur once are told from the others.
+    The shingles of a batch travel as one packed row per part of the hash space, as fingerprints
+    of as few bytes as leave 16 values free for each that is taken. Within a part those that occur
+    once are told from the others.
     """
     spark = documents.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = 4 * partitions
-    width = next(w for w in (4, 5, 6, 8) if w == 8 or parts << (8 * w) >= 64 * max(total, 1))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    width = next(w for w in range(2, 9) if w == 8 or parts << (8 * w) >= 16 * max(total, 1))
+    kind = np.uint32 if width <= 4 else np.uint64
 
     def emit(batches):
         for batch in batches:
@@ -114,7 +115,7 @@ def shared_counts(documents: DataFrame, total: int) -> DataFrame:
             for a, b in zip(edges[:-1], edges[1:]):
                 first = np.flatnonzero(np.append(True, doc[a + 1:b] != doc[a:b - 1]))
                 rows["part"].append(int(part[a]))
-                rows["docs"].append(doc[a:b][first].tobytes())
+                rows["docs"].append(np.diff(doc[a:b][first], prepend=0).tobytes())
                 rows["counts"].append(np.diff(np.append(first, b - a)).astype(np.uint32).tobytes())
                 rows["prints"].append(np.ascontiguousarray(prints[a:b]).tobytes())
             yield pa.RecordBatch.from_arrays(
@@ -123,12 +124,12 @@ def shared_counts(documents: DataFrame, total: int) -> DataFrame:
                 names=list(rows))
 
     def count(packed: pd.DataFrame) -> pd.DataFrame:
-        doc = np.frombuffer(b"".join(packed["docs"]), np.int64)
+        doc = np.concatenate([np.cumsum(np.frombuffer(d, np.int64)) for d in packed["docs"]])
         each = np.frombuffer(b"".join(packed["counts"]), np.uint32)
         raw = np.frombuffer(b"".join(packed["prints"]), np.uint8).reshape(-1, width)
-        prints = np.zeros((len(raw), 4 if width == 4 else 8), np.uint8)
+        prints = np.zeros((len(raw), kind().nbytes), np.uint8)
         prints[:, :width] = raw
-        prints = prints.view(np.uint32 if width == 4 else np.uint64)[:, 0]
+        prints = prints.view(kind)[:, 0]
         order = np.argsort(prints)
         ordered = prints[order]
         same = ordered[1:] == ordered[:-1]
@@ -137,7 +138,7 @@ def shared_counts(documents: DataFrame, total: int) -> DataFrame:
         starts = np.cumsum(each, dtype=np.int64) - each
         shared = np.add.reduceat(often.astype(np.int64), starts) if len(starts) else each
         docs, shared = doc[shared > 0], shared[shared > 0]
-        home = (docs % partitions).astype(np.int32)
+        home = (docs % parts).astype(np.int32)
         order = np.argsort(home, kind="stable")
         docs, shared, home = docs[order], shared[order], home[order]
         edges = np.append(np.flatnonzero(np.append(True, home[1:] != home[:-1])), len(home))
@@ -160,20 +161,26 @@ def shared_counts(documents: DataFrame, total: int) -> DataFrame:
 
 
 def kept_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, shared, n, set) of the wanted documents (doc_id, n, digest, shared)."""
+    """(doc_id, shared, n, set) of the wanted documents (doc_id, digest, shared)."""
     def read(batches):
         for batch in batches:
             sets = list(shingle_sets(batch.column("text")))
             digests = batch.column("digest").to_pylist()
             keep = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == d
                     for s, d in zip(sets, digests)]
+            # Repeated rows stand next to each other after a sort by id.
+            ids = batch.column("doc_id").to_pylist()
+            seen = None
+            for i, doc in enumerate(ids):
+                if keep[i]:
+                    keep[i], seen = (doc, digests[i]) != seen, (doc, digests[i])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").filter(pa.array(keep)),
                  batch.column("shared").filter(pa.array(keep)),
                  pa.array([len(s) for s, k in zip(sets, keep) if k], pa.int64()),
                  pa.array([s.tobytes() for s, k in zip(sets, keep) if k], pa.binary())],
                 names=["doc_id", "shared", "n", "set"])
-    return (_texts(documents).join(wanted, "doc_id")
+    return (_texts(documents).join(small(wanted, 64), "doc_id")
             .select("doc_id", "shared", "digest", "text")
             .mapInArrow(read, "doc_id bigint, shared bigint, n bigint, `set` binary"))
 
@@ -214,7 +221,6 @@ def candidate_ties(sets: DataFrame) -> DataFrame:
                  F.max("doc_id").alias("most"))
             .select("shingle", "size_class", (-F.col("best.low")).alias("hub"),
                     (F.col("least") != F.col("most")).alias("several")))
-    hubs = cut(hubs)
     members = (entries.join(hubs.filter("several"), ["shingle", "size_class"])
                .filter("doc_id != hub").select("doc_id", "hub"))
     below = hubs.select("shingle", (F.col("size_class") + 1).alias("size_class"),
@@ -229,10 +235,12 @@ def candidate_ties(sets: DataFrame) -> DataFrame:
 
 def hub_links(sets: DataFrame, ties: DataFrame) -> DataFrame:
     """(a, b) of the documents that link with the hub they share most with."""
-    best = (ties.groupBy("doc_id").agg(F.max(F.struct("common", "hub")).alias("best"))
-            .select("doc_id", F.col("best.hub").alias("hub")))
+    best = cut(ties.groupBy("doc_id").agg(F.max(F.struct("common", "hub")).alias("best"))
+               .select("doc_id", F.col("best.hub").alias("hub")))
     own = sets.select("doc_id", F.col("set").alias("own"))
-    of_hub = sets.select(F.col("doc_id").alias("hub"), F.col("set").alias("hub_set"))
+    hubs = cut(best.select(F.col("hub").alias("doc_id")).distinct())
+    of_hub = (sets.join(small(hubs, 32), "doc_id", "left_semi")
+              .select(F.col("doc_id").alias("hub"), F.col("set").alias("hub_set")))
 
     def compare(batches):
         for batch in batches:
@@ -249,8 +257,8 @@ def hub_links(sets: DataFrame, ties: DataFrame) -> DataFrame:
                 [batch.column("doc_id").filter(mask), batch.column("hub").filter(mask)],
                 names=["a", "b"])
 
-    return (best.join(own, "doc_id").join(of_hub, "hub").select("doc_id", "hub", "own", "hub_set")
-            .mapInArrow(compare, "a bigint, b bigint"))
+    return (own.join(small(best, 32), "doc_id").join(of_hub, "hub")
+            .select("doc_id", "hub", "own", "hub_set").mapInArrow(compare, "a bigint, b bigint"))
 
 
 # -- 5. the product of blocks -----------------------------------------------------------------------
@@ -307,13 +315,13 @@ def block_links(sets: DataFrame, clusters: DataFrame, united: DataFrame) -> Data
                     F.col("number").alias("n"))
     theirs = F.struct(F.coalesce(F.col("owner_2"), F.lit(0)).alias("o"),
                       F.col("owner_2").isNull().alias("s"), F.col("number_2").alias("n"))
-    cells = (placed.join(other, "cluster")
+    cells = cut(placed.join(other, "cluster")
              .filter(F.col("owner").isNull() | F.col("owner_2").isNull()
                      | (F.col("owner") != F.col("owner_2")))
              .select("doc_id", "class_", F.xxhash64("cluster", F.least(mine, theirs),
                                                     F.greatest(mine, theirs)).alias("cell"),
                      (mine <= theirs).alias("left"), (mine >= theirs).alias("right")))
-    work = (cells.join(sets.select("doc_id", "set"), "doc_id").repartition("cell")
+    work = (sets.select("doc_id", "set").join(small(cells, 64), "doc_id").repartition("cell")
             .sortWithinPartitions("cell", "doc_id"))
 
     def cell_links(rows):
@@ -361,10 +369,10 @@ def components(documents: DataFrame) -> DataFrame:
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
 
     shared = shared_counts(documents, total)
-    wanted = (classes.withColumnRenamed("rep", "doc_id").join(shared, "doc_id")
-              .filter(100 * F.col("shared") >= SHARE * F.col("n"))
-              .select("doc_id", "digest", F.least("shared", "n").alias("shared")))
-    sets = cut(kept_sets(documents, wanted).dropDuplicates(["doc_id", "n", "set"]))
+    wanted = cut(classes.withColumnRenamed("rep", "doc_id").join(shared, "doc_id")
+                 .filter(100 * F.col("shared") >= SHARE * F.col("n"))
+                 .select("doc_id", "digest", F.least("shared", "n").alias("shared")))
+    sets = cut(kept_sets(documents, wanted))
 
     ties = cut(candidate_ties(sets))
     by_hub = cut(hub_links(sets, ties))
