@@ -13,17 +13,21 @@ three quarters of the larger set.
 2. A linked document has three quarters of its shingles in common with another, hence at least
    so many that occur in two documents or more. One pass over packed shingle fingerprints counts
    them; colliding fingerprints only let a document pass. What remains are documents that are
-   copies in the main, not those that merely quote.
+   copies in the main, not those that merely quote. A second count among these alone takes out
+   those whose shingles occur only in their own exact copies or in documents already out.
 3. Ordered by hash, the first n - ceil(3n/4) + 1 shingles of two linked documents have one in
-   common, and their sizes are within 4:3. Sharing such a shingle makes documents candidates;
-   they are tied to one hub per shingle and size class, never pair by pair. The hub is the
-   document most of whose shingles occur elsewhere, as those of an original do.
-4. Each document is compared with the hub it shares most of these shingles with. That ties up
-   groups of near copies in time proportional to their size.
-5. The candidate ties fall into clusters. A cluster that step 4 has not united is cut into blocks
-   of ``BLOCK`` documents, and the product of every two of its blocks is accumulated row by row
-   over whole sets; pairs below the size bounds are dropped, of the links in a block those that
-   unite something are returned. Blocks whose documents are united already are left out.
+   common, and their sizes are within 4:3. Documents that share such a shingle and a size class
+   are tied to one hub, never pair by pair. The hub is the document most of whose shingles occur
+   elsewhere, as those of an original do. Each document is compared with the hub it shares most
+   of these shingles with. That unites groups of near copies in time proportional to their size.
+4. Pairs from different united groups are left. A shingle of at most ``HOT`` documents gives its
+   pairs, which is at most HOT / 2 per entry; the product accumulates what a pair shares, and
+   pairs whose bound from sizes and positions is too low are dropped before whole sets are
+   compared.
+5. Documents that share a hotter shingle form clusters, cut by size class into blocks of
+   ``BLOCK`` documents. The product of two blocks in reach of one another is accumulated row by
+   row over whole sets; pairs out of the size bounds are dropped, and of the links in a cell those
+   that unite something are returned. Pairs of blocks of one united group are left out.
 
 Edge cases: a NULL or empty text has no shingles, n_shingles 0, and is its own class; rows that
 share their id are one document that has the links of each; a row without id has no class (NULL);
@@ -45,7 +49,8 @@ from faultline.llm.components import connected
 from faultline.llm.shingles import shingle_sets
 
 SHARE = 75
-BLOCK = 512
+HOT = 64
+BLOCK = 1024
 
 
 def linked(shared, a, b, share: int = SHARE):
@@ -83,23 +88,31 @@ def _pack(arrays: list[np.ndarray], kind) -> bytes:
     return np.concatenate(arrays).astype(kind).tobytes() if arrays else b""
 
 
-def shared_counts(documents: DataFrame, total: int) -> DataFrame:
+def _text_sets(batch):
+    return shingle_sets(batch.column("text"))
+
+
+def _stored_sets(batch):
+    return (np.frombuffer(raw, np.uint64) for raw in batch.column("set").to_pylist())
+
+
+def shared_counts(rows: DataFrame, sets_of, total: int) -> DataFrame:
     """(doc_id, shared): at least the number of a document's shingles that occur in another row.
+    ``sets_of`` gives the sets of a batch of ``rows``; ``total`` is about the sum of their sizes.
 
     The shingles of a batch travel as one packed row per part of the hash space, as fingerprints
     of as few bytes as leave 16 values free for each that is taken. Within a part those that occur
     once are told from the others.
     """
-    spark = documents.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     width = next(w for w in range(2, 9) if w == 8 or parts << (8 * w) >= 16 * max(total, 1))
     kind = np.uint32 if width <= 4 else np.uint64
 
     def emit(batches):
         for batch in batches:
-            ids = batch.column(0).to_pylist()
+            ids = batch.column("doc_id").to_pylist()
             docs, hashes = [], []
-            for doc, own in zip(ids, shingle_sets(batch.column(1))):
+            for doc, own in zip(ids, sets_of(batch)):
                 if doc is not None and len(own):
                     docs.append(np.full(len(own), doc, np.int64))
                     hashes.append(own)
@@ -111,17 +124,17 @@ def shared_counts(documents: DataFrame, total: int) -> DataFrame:
             doc, h, part = doc[order], h[order], part[order]
             edges = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part))
             prints = h.view(np.uint8).reshape(-1, 8)[:, :width]
-            rows = {"part": [], "docs": [], "counts": [], "prints": []}
+            out = {"part": [], "docs": [], "counts": [], "prints": []}
             for a, b in zip(edges[:-1], edges[1:]):
                 first = np.flatnonzero(np.append(True, doc[a + 1:b] != doc[a:b - 1]))
-                rows["part"].append(int(part[a]))
-                rows["docs"].append(np.diff(doc[a:b][first], prepend=0).tobytes())
-                rows["counts"].append(np.diff(np.append(first, b - a)).astype(np.uint32).tobytes())
-                rows["prints"].append(np.ascontiguousarray(prints[a:b]).tobytes())
+                out["part"].append(int(part[a]))
+                out["docs"].append(np.diff(doc[a:b][first], prepend=0).tobytes())
+                out["counts"].append(np.diff(np.append(first, b - a)).astype(np.uint32).tobytes())
+                out["prints"].append(np.ascontiguousarray(prints[a:b]).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rows["part"], pa.int32()),
-                 *(pa.array(rows[k], pa.binary()) for k in ("docs", "counts", "prints"))],
-                names=list(rows))
+                [pa.array(out["part"], pa.int32()),
+                 *(pa.array(out[k], pa.binary()) for k in ("docs", "counts", "prints"))],
+                names=list(out))
 
     def count(packed: pd.DataFrame) -> pd.DataFrame:
         doc = np.concatenate([np.cumsum(np.frombuffer(d, np.int64)) for d in packed["docs"]])
@@ -155,7 +168,7 @@ def shared_counts(documents: DataFrame, total: int) -> DataFrame:
         return pd.DataFrame({"doc_id": ids,
                              "shared": np.bincount(place, shared, len(ids)).astype(np.int64)})
 
-    packed = _texts(documents).mapInArrow(emit, "part int, docs binary, counts binary, prints binary")
+    packed = rows.mapInArrow(emit, "part int, docs binary, counts binary, prints binary")
     counted = packed.groupBy("part").applyInPandas(count, "home int, docs binary, shared binary")
     return counted.groupBy("home").applyInPandas(add_up, "doc_id bigint, shared bigint")
 
@@ -185,60 +198,57 @@ def kept_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
             .mapInArrow(read, "doc_id bigint, shared bigint, n bigint, `set` binary"))
 
 
-# -- 3. candidates ---------------------------------------------------------------------------------
+# -- 3. documents against hubs ----------------------------------------------------------------------
 
 def prefix_entries(sets: DataFrame) -> DataFrame:
-    """(shingle, size class, doc_id, rank of the document as a hub) of the first shingles."""
+    """(shingle, size class, doc_id, n, place, share) of the first shingles of each set; share is
+    the document's rank as a hub, place that of the shingle in the set."""
     def read(batches):
         for batch in batches:
-            shingle, owner, rows = [], [], 0
+            shingle, owner, place = [], [], []
             for i, raw in enumerate(batch.column("set").to_pylist()):
                 own = np.frombuffer(raw, np.uint64)
                 own = own[:prefix_length(len(own))]
                 shingle.append(own.view(np.int64))
                 owner.append(np.full(len(own), i))
-                rows += len(own)
-            if not rows:
+                place.append(np.arange(len(own)))
+            if not owner:
                 continue
-            shingle, owner = np.concatenate(shingle), np.concatenate(owner)
+            owner = np.concatenate(owner)
             doc, n, shared = (batch.column(c).to_numpy()[owner] for c in ("doc_id", "n", "shared"))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(shingle, pa.int64()),
-                 pa.array(np.floor(np.log(n) / np.log(4 / 3)).astype(np.int32), pa.int32()),
-                 pa.array(doc, pa.int64()), pa.array(shared / n, pa.float64())],
-                names=["shingle", "size_class", "doc_id", "share"])
-    return sets.mapInArrow(read, "shingle bigint, size_class int, doc_id bigint, share double")
+                [pa.array(np.concatenate(shingle), pa.int64()), pa.array(size_class(n), pa.int32()),
+                 pa.array(doc, pa.int64()), pa.array(n, pa.int32()),
+                 pa.array(np.concatenate(place), pa.int32()), pa.array(shared / n, pa.float64())],
+                names=["shingle", "size_class", "doc_id", "n", "place", "share"])
+    return sets.mapInArrow(read, "shingle bigint, size_class int, doc_id bigint, n int, place int, "
+                                 "share double")
 
 
-def candidate_ties(sets: DataFrame) -> DataFrame:
-    """(doc_id, hub, common): each document with the hubs of its shingles and how many of the
-    shingles they have in common; and the hubs of neighbouring size classes of a shingle. Any two
-    documents that can link are connected by ties."""
-    entries = prefix_entries(sets)
+def size_class(n: np.ndarray) -> np.ndarray:
+    """Sizes within 4:3 of one another are in the same class or in neighbouring ones."""
+    return np.floor(np.log(n) / np.log(4 / 3)).astype(np.int32)
+
+
+def hub_pairs(entries: DataFrame) -> DataFrame:
+    """(doc_id, hub): each document with the hub it shares most of its first shingles with."""
     rank = F.struct(F.col("share").alias("share"), (-F.col("doc_id")).alias("low"))
     hubs = (entries.groupBy("shingle", "size_class")
             .agg(F.max(rank).alias("best"), F.min("doc_id").alias("least"),
                  F.max("doc_id").alias("most"))
-            .select("shingle", "size_class", (-F.col("best.low")).alias("hub"),
-                    (F.col("least") != F.col("most")).alias("several")))
-    members = (entries.join(hubs.filter("several"), ["shingle", "size_class"])
-               .filter("doc_id != hub").select("doc_id", "hub"))
-    below = hubs.select("shingle", (F.col("size_class") + 1).alias("size_class"),
-                        F.col("hub").alias("hub_below"))
-    between = (hubs.join(below, ["shingle", "size_class"]).filter("hub != hub_below")
-               .select(F.col("hub").alias("doc_id"), F.col("hub_below").alias("hub")))
-    return (members.union(between).groupBy("doc_id", "hub")
-            .agg(F.count(F.lit(1)).alias("common")))
-
-
-# -- 4. documents against hubs ----------------------------------------------------------------------
-
-def hub_links(sets: DataFrame, ties: DataFrame) -> DataFrame:
-    """(a, b) of the documents that link with the hub they share most with."""
-    best = cut(ties.groupBy("doc_id").agg(F.max(F.struct("common", "hub")).alias("best"))
-               .select("doc_id", F.col("best.hub").alias("hub")))
+            .filter("least != most")
+            .select("shingle", "size_class", (-F.col("best.low")).alias("hub")))
+    ties = (entries.select("shingle", "size_class", "doc_id").join(hubs, ["shingle", "size_class"])
+            .filter("doc_id != hub").groupBy("doc_id", "hub").agg(F.count(F.lit(1)).alias("common")))
+    return (ties.groupBy("doc_id").agg(F.max(F.struct("common", "hub")).alias("best"))
+            .select("doc_id", F.col("best.hub").alias("hub")))
+
+
+def linked_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b) of the pairs (doc_id, hub) whose whole sets link."""
+    pairs = cut(pairs)
+    hubs = cut(pairs.select(F.col("hub").alias("doc_id")).distinct())
     own = sets.select("doc_id", F.col("set").alias("own"))
-    hubs = cut(best.select(F.col("hub").alias("doc_id")).distinct())
     of_hub = (sets.join(small(hubs, 32), "doc_id", "left_semi")
               .select(F.col("doc_id").alias("hub"), F.col("set").alias("hub_set")))
 
@@ -247,7 +257,7 @@ def hub_links(sets: DataFrame, ties: DataFrame) -> DataFrame:
             keep, last_raw, last = [], None, None
             for own_raw, hub_raw in zip(batch.column("own"), batch.column("hub_set")):
                 hub_raw = hub_raw.as_py()
-                if hub_raw is not last_raw and hub_raw != last_raw:
+                if hub_raw != last_raw:
                     last_raw, last = hub_raw, np.frombuffer(hub_raw, np.uint64)
                 mine = np.frombuffer(own_raw.as_py(), np.uint64)
                 shared = len(np.intersect1d(mine, last, assume_unique=True))
@@ -257,10 +267,78 @@ def hub_links(sets: DataFrame, ties: DataFrame) -> DataFrame:
                 [batch.column("doc_id").filter(mask), batch.column("hub").filter(mask)],
                 names=["a", "b"])
 
-    return (own.join(small(best, 32), "doc_id").join(of_hub, "hub")
+    return (own.join(small(pairs, 32), "doc_id").join(of_hub, "hub")
             .select("doc_id", "hub", "own", "hub_set").mapInArrow(compare, "a bigint, b bigint"))
 
 
+# -- 4. pairs of different groups -------------------------------------------------------------------
+
+def mixed_entries(entries: DataFrame, united: DataFrame) -> DataFrame:
+    """The entries of shingles that occur in several united groups, with the group (class_) and
+    the number of the shingle's documents (docs)."""
+    group = united.select(F.col("node").alias("doc_id"), F.col("root").alias("class_"))
+    entries = (entries.drop("share").join(small(cut(group), 32), "doc_id", "left")
+               .withColumn("class_", F.coalesce("class_", "doc_id")))
+    mixed = (entries.groupBy("shingle")
+             .agg(F.count(F.lit(1)).alias("docs"), F.min("class_").alias("least"),
+                  F.max("class_").alias("most"))
+             .filter("least != most").select("shingle", "docs"))
+    return cut(entries.join(mixed, "shingle"))
+
+
+def rare_pairs(mixed: DataFrame, hot: int) -> DataFrame:
+    """(doc_id, hub): the pairs of different groups with a rare first shingle in common that the
+    bounds leave."""
+    lists = (mixed.filter(F.col("docs") <= hot).groupBy("shingle")
+             .agg(F.collect_list(F.struct("doc_id", "n", "place", "class_")).alias("members")))
+    busy = (mixed.filter(F.col("docs") > hot).groupBy("doc_id")
+            .agg(F.count(F.lit(1)).alias("busy")))
+
+    def pair_up(batches):
+        for batch in batches:
+            members = batch.column("members")
+            edges = members.offsets.to_numpy()
+            flat = members.values
+            doc, n, place, group = (
+                flat.field(f).to_numpy() for f in ("doc_id", "n", "place", "class_"))
+            out = []
+            for a, b in zip(edges[:-1], edges[1:]):
+                i, j = np.triu_indices(b - a, 1)
+                i, j = i + a, j + a
+                fits = (group[i] != group[j]) & (
+                    100 * np.minimum(n[i], n[j]) >= SHARE * np.maximum(n[i], n[j]))
+                i, j = i[fits], j[fits]
+                swap = doc[i] > doc[j]
+                i, j = np.where(swap, j, i), np.where(swap, i, j)
+                out.append(np.stack([doc[i], doc[j], n[i], n[j], place[i], place[j]]))
+            table = np.concatenate(out, axis=1) if out else np.zeros((6, 0), np.int64)
+            order = np.lexsort((table[1], table[0]))
+            table = table[:, order]
+            first = np.flatnonzero(np.append(True, (table[:2, 1:] != table[:2, :-1]).any(0))
+                                   if len(order) else np.zeros(0, bool))
+            last = (np.maximum.reduceat(table[4:], first, axis=1) if len(first)
+                    else np.zeros((2, 0), np.int64))
+            common = np.diff(np.append(first, len(order)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, pa.int64()) for c in (*table[:4, first], *last, common)],
+                names=["a", "b", "n_a", "n_b", "last_a", "last_b", "common"])
+
+    names = ["a", "b", "n_a", "n_b", "last_a", "last_b", "common"]
+    pairs = (lists.mapInArrow(pair_up, ", ".join(f"{c} bigint" for c in names))
+             .groupBy("a", "b", "n_a", "n_b")
+             .agg(F.max("last_a").alias("last_a"), F.max("last_b").alias("last_b"),
+                  F.sum("common").alias("common")))
+    for side in "ab":
+        pairs = pairs.join(busy.select(F.col("doc_id").alias(side), F.col("busy").alias(f"busy_{side}")),
+                           side, "left")
+    # What two sets share: the rare shingles counted, hot ones among the first of both, and no
+    # more after the last counted one than either has left.
+    most = (F.col("common") + F.least(F.coalesce("busy_a", F.lit(0)), F.coalesce("busy_b", F.lit(0)))
+            + F.least(F.expr("n_a - 1 - last_a"), F.expr("n_b - 1 - last_b")))
+    return (pairs.filter((100 + SHARE) * most >= SHARE * F.expr("n_a + n_b"))
+            .select(F.col("a").alias("doc_id"), F.col("b").alias("hub")))
+
+
 # -- 5. the product of blocks -----------------------------------------------------------------------
 
 def product_links(left: list[np.ndarray], right: list[np.ndarray], share: int = SHARE):
@@ -285,42 +363,44 @@ def product_links(left: list[np.ndarray], right: list[np.ndarray], share: int =
             yield i, int(j)
 
 
-def block_links(sets: DataFrame, clusters: DataFrame, united: DataFrame) -> DataFrame:
-    """(a, b): of the links inside clusters, enough to connect what links connect."""
-    spots = (clusters.select(F.col("node").alias("doc_id"), F.col("root").alias("cluster"))
-             .join(united.select(F.col("node").alias("doc_id"), F.col("root").alias("class_")),
-                   "doc_id", "left")
-             .withColumn("class_", F.coalesce("class_", "doc_id")))
-    # Rows of a class of BLOCK members or more have blocks of their own; others share blocks.
-    classes = spots.groupBy("cluster", "class_").agg(F.count(F.lit(1)).alias("members"))
-    sums = classes.groupBy("cluster").agg(
-        F.count(F.lit(1)).alias("classes"),
-        F.sum(F.when(F.col("members") < BLOCK, F.col("members")).otherwise(0)).alias("small"))
-    open_ = (classes.join(sums.filter("classes > 1"), "cluster")
-             .withColumn("own", F.col("members") >= BLOCK)
-             .withColumn("blocks", F.ceil(F.when(F.col("own"), F.col("members"))
-                                          .otherwise(F.col("small")) / BLOCK).cast("int"))
-             .withColumn("owner", F.when(F.col("own"), F.col("class_"))))
-    # All blocks of a cluster: (owner, number), at most one row per BLOCK documents and class.
-    numbers = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("number")
-    blocks = cut(open_.select("cluster", "owner", "blocks").distinct()
-                 .select("cluster", "owner", numbers))
-    placed = (spots.join(open_.select("cluster", "class_", "owner", "blocks"), ["cluster", "class_"])
+def block_links(sets: DataFrame, mixed: DataFrame, hot: int, block: int) -> DataFrame:
+    """(a, b): of the links between documents that share a hot first shingle, enough to connect
+    what links connect."""
+    busy = mixed.filter(F.col("docs") > hot)
+    centre = busy.groupBy("shingle").agg(F.min("doc_id").alias("b"))
+    clusters = connected(busy.join(centre, "shingle")
+                         .select(F.col("doc_id").alias("a"), "b").distinct())
+    spots = (busy.select("doc_id", "size_class", "class_").distinct()
+             .join(clusters.select(F.col("node").alias("doc_id"), F.col("root").alias("cluster")),
+                   "doc_id"))
+    # Groups of a block or more in a size class have blocks of their own; others share blocks.
+    place = ["cluster", "size_class"]
+    groups = spots.groupBy(*place, "class_").agg(F.count(F.lit(1)).alias("members"))
+    groups = groups.withColumn("owner", F.when(F.col("members") >= block, F.col("class_")))
+    blocks = cut(groups.groupBy(*place, "owner").agg(
+        F.ceil(F.sum("members") / block).cast("int").alias("blocks")))
+    same_owner = F.col("owner").eqNullSafe(F.col("owner_1"))
+    placed = (spots.join(groups.select(*place, "class_", "owner"), [*place, "class_"])
+              .join(blocks.withColumnRenamed("owner", "owner_1"), place).filter(same_owner)
               .withColumn("number", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-              .drop("blocks"))
-    other = blocks.select("cluster", F.col("owner").alias("owner_2"), F.col("number").alias("number_2"))
-    # A document goes to the cells its block shares with itself and with every other block, except
-    # those of two blocks of one and the same united class.
-    mine = F.struct(F.coalesce(F.col("owner"), F.lit(0)).alias("o"), F.col("owner").isNull().alias("s"),
-                    F.col("number").alias("n"))
-    theirs = F.struct(F.coalesce(F.col("owner_2"), F.lit(0)).alias("o"),
-                      F.col("owner_2").isNull().alias("s"), F.col("number_2").alias("n"))
-    cells = cut(placed.join(other, "cluster")
-             .filter(F.col("owner").isNull() | F.col("owner_2").isNull()
-                     | (F.col("owner") != F.col("owner_2")))
-             .select("doc_id", "class_", F.xxhash64("cluster", F.least(mine, theirs),
-                                                    F.greatest(mine, theirs)).alias("cell"),
-                     (mine <= theirs).alias("left"), (mine >= theirs).alias("right")))
+              .drop("blocks", "owner_1"))
+    other = blocks.select("cluster", F.col("size_class").alias("size_2"),
+                          F.col("owner").alias("owner_2"), F.explode(F.sequence(
+                              F.lit(0), F.col("blocks") - 1)).alias("number_2"))
+
+    def key(end: str):
+        own = F.col(f"owner{end}")
+        return F.struct(F.col("size_class" if not end else f"size{end}").alias("c"),
+                        F.coalesce(own, F.lit(0)).alias("o"), own.isNull().alias("s"),
+                        F.col(f"number{end}").alias("n"))
+
+    mine, theirs = key(""), key("_2")
+    in_reach = F.abs(F.col("size_class") - F.col("size_2")) <= 1
+    one_group = F.coalesce(F.col("owner") == F.col("owner_2"), F.lit(False))
+    cells = cut(placed.join(other, "cluster").filter(in_reach & ~one_group)
+                .select("doc_id", "class_", F.xxhash64("cluster", F.least(mine, theirs),
+                                                       F.greatest(mine, theirs)).alias("cell"),
+                        (mine <= theirs).alias("left"), (mine >= theirs).alias("right")))
     work = (sets.select("doc_id", "set").join(small(cells, 64), "doc_id").repartition("cell")
             .sortWithinPartitions("cell", "doc_id"))
 
@@ -368,19 +448,24 @@ def components(documents: DataFrame) -> DataFrame:
         F.min("doc_id").alias("rep"))
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
 
-    shared = shared_counts(documents, total)
-    wanted = cut(classes.withColumnRenamed("rep", "doc_id").join(shared, "doc_id")
-                 .filter(100 * F.col("shared") >= SHARE * F.col("n"))
+    shared = shared_counts(_texts(documents), _text_sets, total)
+    most = 100 * F.col("shared") >= SHARE * F.col("n")
+    wanted = cut(classes.withColumnRenamed("rep", "doc_id").join(shared, "doc_id").filter(most)
                  .select("doc_id", "digest", F.least("shared", "n").alias("shared")))
-    sets = cut(kept_sets(documents, wanted))
+    copies = cut(kept_sets(documents, wanted))
+    total = copies.agg(F.sum("n")).first()[0] or 0
+    again = cut(shared_counts(copies, _stored_sets, total))
+    sets = (copies.drop("shared").join(small(again, 32), "doc_id").filter(most)
+            .withColumn("shared", F.least("shared", "n")))
 
-    ties = cut(candidate_ties(sets))
-    by_hub = cut(hub_links(sets, ties))
-    clusters = connected(ties.select(F.col("doc_id").alias("a"), F.col("hub").alias("b")))
-    by_block = block_links(sets, clusters, connected(by_hub))
+    entries = prefix_entries(sets)
+    by_hub = cut(linked_pairs(hub_pairs(entries), sets))
+    mixed = mixed_entries(entries, connected(by_hub))
+    by_pair = linked_pairs(rare_pairs(mixed, HOT), sets)
+    by_block = block_links(sets, mixed, HOT, BLOCK)
     # Rows of one id belong together, and so do rows of one set.
     equal = (known.join(classes.withColumnRenamed("n", "n_shingles"), ["digest", "n_shingles"])
              .filter("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
-    roots = connected(equal.union(by_hub).union(by_block))
+    roots = connected(equal.union(by_hub).union(by_pair).union(by_block))
     return (rows.join(roots, rows["doc_id"] == roots["node"], "left")
             .select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id")))
