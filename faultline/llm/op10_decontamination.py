@@ -142,21 +142,21 @@ def judged(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
 
 def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``documents`` that no window touches, with all their columns."""
-    names, matched = documents.columns, documents.withColumn("_hit", F.lit(False))
+    matched = documents.select(F.struct("*").alias("row"),
+                               F.col("text").cast("string").alias("text"), F.lit(False).alias("hit"))
     schema = matched.schema
-    place = names.index("text")
 
     def scanner(items):
         def scan(batches):
             matcher = Matcher(items, window)
             for batch in batches:
-                texts = batch.column(place).cast(pa.string()).to_pylist()
+                row, texts, before = batch.columns
                 hit = [old or bool(matcher.scan(text)[1])
-                       for old, text in zip(batch.column(len(names)).to_pylist(), texts)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(hit, pa.bool_())],
-                                                 names=[*names, "_hit"])
+                       for old, text in zip(before.to_pylist(), texts.to_pylist())]
+                yield pa.RecordBatch.from_arrays([row, texts, pa.array(hit, pa.bool_())],
+                                                 names=["row", "text", "hit"])
         return scan
 
     for items in _blocks(benchmark):
         matched = matched.mapInArrow(scanner(items), schema)
-    return matched.filter(~F.col("_hit")).select(*names)
+    return matched.filter(~F.col("hit")).select("row.*")
