@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_CELL = 5_000
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 BROADCAST_BYTES = 64 << 20
 
 

@@ -142,21 +142,19 @@ def judged(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
 
 def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``documents`` that no window touches, with all their columns."""
-    matched = documents.select(F.struct("*").alias("row"),
-                               F.col("text").cast("string").alias("text"), F.lit(False).alias("hit"))
-    schema = matched.schema
-
     def scanner(items):
         def scan(batches):
             matcher = Matcher(items, window)
             for batch in batches:
-                row, texts, before = batch.columns
-                hit = [old or bool(matcher.scan(text)[1])
-                       for old, text in zip(before.to_pylist(), texts.to_pylist())]
-                yield pa.RecordBatch.from_arrays([row, texts, pa.array(hit, pa.bool_())],
-                                                 names=["row", "text", "hit"])
+                rows = batch.column(0)
+                clean_ = [not matcher.scan(text)[1]
+                          for text in rows.field("text").cast(pa.string()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([rows.filter(pa.array(clean_, pa.bool_()))],
+                                                 names=["row"])
         return scan
 
+    rows = documents.select(F.struct("*").alias("row"))
+    schema = rows.schema
     for items in _blocks(benchmark):
-        matched = matched.mapInArrow(scanner(items), schema)
-    return matched.filter(~F.col("hit")).select("row.*")
+        rows = rows.mapInArrow(scanner(items), schema)
+    return rows.select("row.*")

@@ -51,6 +51,8 @@ from faultline.llm.shingles import shingle_sets
 SHARE = 75
 HOT = 64
 BLOCK = 1024
+# Shingles a task holds before it packs them.
+HELD = 1 << 20
 
 
 def linked(shared, a, b, share: int = SHARE):
@@ -110,31 +112,35 @@ def shared_counts(rows: DataFrame, sets_of, total: int) -> DataFrame:
 
     def emit(batches):
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            docs, hashes = [], []
-            for doc, own in zip(ids, sets_of(batch)):
+            docs, hashes, held = [], [], 0
+            for doc, own in zip(batch.column("doc_id").to_pylist(), sets_of(batch)):
                 if doc is not None and len(own):
                     docs.append(np.full(len(own), doc, np.int64))
                     hashes.append(own)
-            if not docs:
-                continue
-            doc, h = np.concatenate(docs), np.concatenate(hashes)
-            part = ((h >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            doc, h, part = doc[order], h[order], part[order]
-            edges = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part))
-            prints = h.view(np.uint8).reshape(-1, 8)[:, :width]
-            out = {"part": [], "docs": [], "counts": [], "prints": []}
-            for a, b in zip(edges[:-1], edges[1:]):
-                first = np.flatnonzero(np.append(True, doc[a + 1:b] != doc[a:b - 1]))
-                out["part"].append(int(part[a]))
-                out["docs"].append(np.diff(doc[a:b][first], prepend=0).tobytes())
-                out["counts"].append(np.diff(np.append(first, b - a)).astype(np.uint32).tobytes())
-                out["prints"].append(np.ascontiguousarray(prints[a:b]).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out["part"], pa.int32()),
-                 *(pa.array(out[k], pa.binary()) for k in ("docs", "counts", "prints"))],
-                names=list(out))
+                    held += len(own)
+                if held >= HELD:
+                    yield packed_rows(np.concatenate(docs), np.concatenate(hashes))
+                    docs, hashes, held = [], [], 0
+            if held:
+                yield packed_rows(np.concatenate(docs), np.concatenate(hashes))
+
+    def packed_rows(doc, h):
+        part = ((h >> np.uint64(40)) % np.uint64(parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        doc, h, part = doc[order], h[order], part[order]
+        edges = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part))
+        prints = h.view(np.uint8).reshape(-1, 8)[:, :width]
+        out = {"part": [], "docs": [], "counts": [], "prints": []}
+        for a, b in zip(edges[:-1], edges[1:]):
+            first = np.flatnonzero(np.append(True, doc[a + 1:b] != doc[a:b - 1]))
+            out["part"].append(int(part[a]))
+            out["docs"].append(np.diff(doc[a:b][first], prepend=0).tobytes())
+            out["counts"].append(np.diff(np.append(first, b - a)).astype(np.uint32).tobytes())
+            out["prints"].append(np.ascontiguousarray(prints[a:b]).tobytes())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(out["part"], pa.int32()),
+             *(pa.array(out[k], pa.binary()) for k in ("docs", "counts", "prints"))],
+            names=list(out))
 
     def count(packed: pd.DataFrame) -> pd.DataFrame:
         doc = np.concatenate([np.cumsum(np.frombuffer(d, np.int64)) for d in packed["docs"]])

@@ -20,7 +20,6 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -244,14 +243,17 @@ def score_rows(rows: DataFrame, model: Additive) -> DataFrame:
     return rows.mapInArrow(compute, "doc_id bigint, score double")
 
 
-def score_texts(documents: DataFrame, model: Additive, name: str = "score") -> DataFrame:
-    """``documents`` with a further column ``name`` of scores, in one pass over the texts."""
-    @F.pandas_udf("double")
-    def score(texts):
-        column = pa.Array.from_pandas(texts, type=pa.string())
-        parts = [model.score(features(d, o)) for _, _, d, o in byte_blocks(column)]
-        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
-    return documents.withColumn(name, score(F.col("text").cast("string")))
+def keep_good(documents: DataFrame, model: Additive, threshold: float) -> DataFrame:
+    """The rows of ``documents`` whose text scores ``threshold`` or more, with all columns."""
+    def filter_(batches):
+        for batch in batches:
+            rows = batch.column(0)
+            texts = rows.field("text").cast(pa.string())
+            parts = [model.score(features(d, o)) for _, _, d, o in byte_blocks(texts)]
+            good = np.concatenate(parts) >= threshold if parts else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([rows.filter(pa.array(good))], names=["row"])
+    rows = documents.select(F.struct("*").alias("row"))
+    return rows.mapInArrow(filter_, rows.schema).select("row.*")
 
 
 def classify(documents: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
