@@ -25,9 +25,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality").distinct()
     known = docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
     model = op6_quality.train(op6_quality.feature_rows(known), labels)
-    rows = docs.select(F.struct("*").alias("row"), "text")
-    scored = op6_quality.score_texts(rows, model, "score")
-    return scored.filter(F.col("score") >= QUALITY_THRESHOLD).select("row.*")
+    return op6_quality.keep_good(docs, model, QUALITY_THRESHOLD)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
