@@ -99,9 +99,9 @@ def with_error_type(df: DataFrame, text: str = "error_text", mode: str = "faithf
 
 
 def error_severity(error_type: Column, lowered: Column | None = None) -> Column:
-    """``none``, ``soft`` or ``hard``."""
+    """``none`` for all spellings of "no error", else ``soft`` or ``hard``."""
     lowered = F.lower(error_type) if lowered is None else lowered
-    chain = F.when(error_type.isNull() | (error_type == ""), F.lit("none"))
+    chain = F.when(is_success(error_type), F.lit("none"))
     for fragment, severity in SEVERITIES:
         chain = chain.when(lowered.contains(fragment), F.lit(severity))
     return chain.otherwise(F.lit("hard"))
@@ -119,14 +119,21 @@ def normalize_no_error(error_type: Column) -> Column:
     return F.nullif(F.nullif(error_type, F.lit("")), F.lit("None"))
 
 
+def is_success(error_type: Column) -> Column:
+    return normalize_no_error(error_type).isNull()
+
+
 def is_error(error_type: Column) -> Column:
     """``error_type <> ''``, which also drops NULL."""
     return error_type != ""
 
 
-def is_legacy_error(error_type: Column) -> Column:
-    """Rows of the older layout, where "no error" was written as ``'None'``."""
-    return normalize_no_error(error_type).isNotNull()
+def is_legacy_error(error_type: Column, mode: str = "faithful") -> Column:
+    """Rows of the older layout, where "no error" was written as ``'None'``: "faithful" leaves
+    out that spelling and NULL, "intended" the empty type as well."""
+    if mode == "intended":
+        return ~is_success(error_type)
+    return error_type != "None"
 
 
 def is_reportable(error_type: Column, excluded=(NOT_FOUND, RATE_LIMITED)) -> Column:

@@ -7,28 +7,31 @@ from pyspark.sql import functions as F
 
 from faultline.functions.errors import is_error, is_legacy_error, is_reportable
 from faultline.functions.text import extract_bad_ip
-from faultline.functions.times import Bucket, since
+from faultline.functions.times import Bucket, until, within
 from faultline.operators.failures import recent_passes
 
 
-def errors_in_context(passes: DataFrame, results: DataFrame, actions: DataFrame, *,
-                      keep: Column, as_of=None, lookback: tuple[int, str] | None = None,
-                      environ: str | None = None, min_concurrency: int | None = None,
-                      action_columns: tuple[str, ...] = ("error_type",),
-                      test_columns: tuple[str, ...] = (),
-                      pass_columns: tuple[str, ...] = ()) -> DataFrame:
-    """Actions that satisfy ``keep`` with columns of their test and pass.
-
-    The passes in question are few, so they cut down the tests first and the tests then meet
-    the already filtered actions; only error rows of the log are shuffled.
-    """
+def tests_in_context(passes: DataFrame, results: DataFrame, *, as_of=None,
+                     lookback: tuple[int, str] | None = None, environ: str | None = None,
+                     min_concurrency: int | None = None, test_columns: tuple[str, ...] = (),
+                     pass_columns: tuple[str, ...] = ()) -> DataFrame:
+    """Tests with columns of their pass. Without a condition on the passes a test whose pass is
+    unknown stays, with NULLs."""
     recent = recent_passes(passes, as_of, lookback, environ)
+    how = "left" if lookback is None and environ is None else "inner"
+    tests = within(results, as_of, lookback)
     if min_concurrency is not None:
-        results = results.filter(F.col("concurrency_count") >= min_concurrency)
-    tests = results.select("test_id", "test_pass_id", *test_columns).join(
-        recent.select("test_pass_id", *pass_columns), "test_pass_id").drop("test_pass_id")
-    errors = actions.filter(keep).select("test_id", *action_columns)
-    return errors.join(tests, "test_id").drop("test_id")
+        tests = tests.filter(F.col("concurrency_count") >= min_concurrency)
+    return tests.select("test_id", "test_pass_id", *test_columns).join(
+        recent.select("test_pass_id", *pass_columns), "test_pass_id", how).drop("test_pass_id")
+
+
+def errors_per_test(actions: DataFrame, keep: Column, as_of, keys: tuple[str, ...],
+                    loose: tuple[str, ...] = ()) -> DataFrame:
+    """Errors counted per test and ``keys`` before any join: the log is combined where it is
+    read, so a test that owns much of it becomes a few rows."""
+    return (until(actions, as_of).filter(keep).groupBy("test_id", *keys)
+            .agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in loose]))
 
 
 def error_counts(passes: DataFrame, results: DataFrame, actions: DataFrame, *,
@@ -39,16 +42,17 @@ def error_counts(passes: DataFrame, results: DataFrame, actions: DataFrame, *,
     """Errors per chosen columns of the action, the test and the pass, most frequent first
     within ``order``; ``loose`` columns show their smallest value."""
     wanted = [*keys, *loose]
-    rows = errors_in_context(
-        passes, results, actions,
-        keep=is_error(F.col("error_type")) if keep is None else keep,
-        as_of=as_of, lookback=lookback, environ=environ, min_concurrency=min_concurrency,
-        action_columns=tuple(c for c in wanted if c in ACTION_COLUMNS),
+    errors = errors_per_test(
+        actions, is_error(F.col("error_type")) if keep is None else keep, as_of,
+        keys=tuple(c for c in keys if c in ACTION_COLUMNS),
+        loose=tuple(c for c in loose if c in ACTION_COLUMNS))
+    tests = tests_in_context(
+        passes, results, as_of=as_of, lookback=lookback, environ=environ,
+        min_concurrency=min_concurrency,
         test_columns=tuple(c for c in wanted if c in TEST_COLUMNS),
-        pass_columns=tuple(c for c in wanted if c in PASS_COLUMNS),
-    )
-    counted = rows.groupBy(*keys).agg(
-        F.count("*").alias(count_name), *[F.min(c).alias(c) for c in loose])
+        pass_columns=tuple(c for c in wanted if c in PASS_COLUMNS))
+    counted = errors.join(tests, "test_id").groupBy(*keys).agg(
+        F.sum("n").alias(count_name), *[F.min(c).alias(c) for c in loose])
     return counted.orderBy(*order, F.col(count_name).desc(), *keys)
 
 
@@ -63,15 +67,17 @@ def errors_by_bucket(passes: DataFrame, results: DataFrame, actions: DataFrame,
     """Reportable errors per time bucket of the test, error type and concurrency, optionally
     per zone; the smallest function name of each group is shown."""
     zones = ("zone",) if zone else ()
-    rows = errors_in_context(
-        passes, results, actions, keep=is_reportable(F.col("error_type")), as_of=as_of,
-        lookback=lookback, environ=environ, min_concurrency=min_concurrency,
-        action_columns=("function_name", "error_type"),
-        test_columns=("concurrency_count", "time_started"), pass_columns=zones)
+    errors = errors_per_test(actions, is_reportable(F.col("error_type")), as_of,
+                             keys=("error_type",), loose=("function_name",))
+    tests = tests_in_context(
+        passes, results, as_of=as_of, lookback=lookback, environ=environ,
+        min_concurrency=min_concurrency, test_columns=("concurrency_count", "time_started"),
+        pass_columns=zones)
     groups = [*zones, "error_type", "concurrency_count"]
     return (
-        rows.groupBy(bucket.start(F.col("time_started")).alias("s"), *groups)
-        .agg(F.count("*").alias("n"), F.min("function_name").alias("function_name"))
+        errors.join(tests, "test_id")
+        .groupBy(bucket.start(F.col("time_started")).alias("s"), *groups)
+        .agg(F.sum("n").alias("n"), F.min("function_name").alias("function_name"))
         .groupBy(bucket.label(F.col("s")).alias("my_date"), *groups)
         .agg(F.sum("n").alias("error_count"), F.min("function_name").alias("function_name"))
         .orderBy(F.col("my_date").desc(), F.col("error_count").desc(), *groups)
@@ -82,13 +88,15 @@ def unpingable_ips(passes: DataFrame, results: DataFrame, actions: DataFrame, *,
                    as_of, lookback: tuple[int, str], environ: str) -> DataFrame:
     """How often each address failed to answer, per day."""
     pings = actions.withColumn("bad_ip", extract_bad_ip(F.col("error_text")))
-    rows = errors_in_context(
-        passes, results, pings, keep=F.col("error_type") == "Ping Timeout", as_of=as_of,
-        lookback=lookback, environ=environ, action_columns=("bad_ip", "error_type"),
+    errors = errors_per_test(pings, F.col("error_type") == "Ping Timeout", as_of,
+                             keys=("bad_ip", "error_type"))
+    tests = tests_in_context(
+        passes, results, as_of=as_of, lookback=lookback, environ=environ,
         test_columns=("time_started",), pass_columns=("environ_name", "zone"))
     return (
-        rows.groupBy(bucket.label(bucket.start(F.col("time_started"))).alias("my_date"), "bad_ip")
-        .agg(F.count("*").alias("ip_used_x_times"),
+        errors.join(tests, "test_id")
+        .groupBy(bucket.label(bucket.start(F.col("time_started"))).alias("my_date"), "bad_ip")
+        .agg(F.sum("n").alias("ip_used_x_times"),
              *[F.min(c).alias(c) for c in ("environ_name", "zone", "error_type")])
         .orderBy(F.col("my_date").desc(), "environ_name", "bad_ip")
     )
@@ -97,11 +105,11 @@ def unpingable_ips(passes: DataFrame, results: DataFrame, actions: DataFrame, *,
 def recent_error_detail(passes: DataFrame, results: DataFrame, actions: DataFrame, *, as_of,
                         lookback: tuple[int, str]) -> DataFrame:
     """The error rows themselves."""
-    return errors_in_context(
-        passes, results, actions, keep=is_error(F.col("error_type")), as_of=as_of,
-        lookback=lookback, action_columns=("function_name", "error_type", "error_text"),
-        pass_columns=("environ_name",)
-    ).select("environ_name", "function_name", "error_type", "error_text")
+    tests = tests_in_context(passes, results, as_of=as_of, lookback=lookback,
+                             pass_columns=("environ_name",))
+    errors = until(actions, as_of).filter(is_error(F.col("error_type")))
+    return errors.join(tests, "test_id").select(
+        "environ_name", "function_name", "error_type", "error_text")
 
 
 def function_error_counts(actions: DataFrame) -> DataFrame:
@@ -155,8 +163,7 @@ def tests_and_actions(results: DataFrame, actions: DataFrame) -> DataFrame:
 def recent_actions(results: DataFrame, actions: DataFrame, *, as_of,
                    lookback: tuple[int, str]) -> DataFrame:
     """Actions inside the lookback with the name of their test."""
-    recent = actions.filter(since(F.col("time_started"), as_of, *lookback))
-    return recent.select("test_id", "function_name", "time_started").join(
+    return within(actions, as_of, lookback).select("test_id", "function_name", "time_started").join(
         results.select("test_id", "test_name"), "test_id")
 
 
@@ -164,6 +171,6 @@ def distinct_errors(actions: DataFrame) -> DataFrame:
     return actions.select("error_type").distinct()
 
 
-def legacy_errors(actions: DataFrame) -> DataFrame:
-    """Action rows whose error is none of the three "no error" spellings."""
-    return actions.filter(is_legacy_error(F.col("error_type")))
+def legacy_errors(actions: DataFrame, mode: str = "faithful") -> DataFrame:
+    """Action rows with an error, as the older layout spells it."""
+    return actions.filter(is_legacy_error(F.col("error_type"), mode))

@@ -6,14 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions.numbers import ratio
-from faultline.functions.times import Bucket, instant, since
+from faultline.functions.times import Bucket, instant, within
 
 
 def recent_passes(passes: DataFrame, as_of, lookback: tuple[int, str] | None,
                   environ: str | None = None) -> DataFrame:
     """Passes started inside the lookback, optionally of one environment."""
-    if lookback is not None:
-        passes = passes.filter(since(F.col("time_started"), as_of, *lookback))
+    passes = within(passes, as_of, lookback)
     if environ is not None:
         passes = passes.filter(F.col("environ_name") == environ)
     return passes
@@ -24,10 +23,11 @@ def failure_rate(passes: DataFrame, results: DataFrame, *, bucket: Bucket, keys:
                  loose: tuple[str, ...] = (), ascending: bool = False) -> DataFrame:
     """Tests, hard failures and failure rate per time bucket and pass attributes.
 
-    Buckets use the start of the test, the lookback uses the start of its pass. ``loose``
-    names attributes shown without being grouped on; their smallest value is shown.
+    Buckets use the start of the test, the lookback uses the start of its pass. A test starts
+    no earlier than its pass, so the lookback cuts down the tests as well. ``loose`` names
+    attributes shown without being grouped on; their smallest value is shown.
     """
-    per_pass = results.groupBy(
+    per_pass = within(results, as_of, lookback).groupBy(
         "test_pass_id", bucket.start(F.col("time_started")).alias("bucket_start")
     ).agg(F.count("*").alias("n"), F.sum("hard_errors_exist").alias("failed"))
     recent = recent_passes(passes, as_of, lookback, environ)
@@ -52,7 +52,7 @@ def failure_rate_by_env(passes: DataFrame, results: DataFrame, *, as_of,
 
     Each pass is assigned to every lookback that covers it, after its tests were summed up.
     """
-    per_pass = results.groupBy("test_pass_id").agg(
+    per_pass = within(results, as_of, (max(windows), "day")).groupBy("test_pass_id").agg(
         F.count("*").alias("n"), F.sum("hard_errors_exist").alias("failed"))
     covering = F.filter(
         F.array(*[F.lit(w) for w in windows]),
@@ -78,9 +78,10 @@ def failure_rate_moving_avg(passes: DataFrame, results: DataFrame, *, as_of, per
     Day ``i`` covers passes with ``as_of - (i + period) d < start < as_of - i d``, both ends
     strict, and weighs every test alike.
     """
-    per_pass = results.groupBy("test_pass_id").agg(
+    lookback = (days - 1 + period, "day")
+    per_pass = within(results, as_of, lookback).groupBy("test_pass_id").agg(
         F.count("*").alias("n"), F.sum("hard_errors_exist").alias("failed"))
-    recent = recent_passes(passes, as_of, (days - 1 + period, "day"), environ)
+    recent = recent_passes(passes, as_of, lookback, environ)
     per_start = (
         per_pass.join(recent.select("test_pass_id", "environ_name", "time_started"),
                       "test_pass_id")
@@ -122,8 +123,7 @@ def tests_per_bucket_env(passes: DataFrame, results: DataFrame, bucket: Bucket)
 def tests_per_env_name(passes: DataFrame, results: DataFrame, *, as_of,
                        lookback: tuple[int, str]) -> DataFrame:
     """Tests started inside the lookback per environment and test name."""
-    recent = results.filter(since(F.col("time_started"), as_of, *lookback))
-    per_pass = recent.groupBy("test_pass_id", "test_name").agg(F.count("*").alias("n"))
+    per_pass = within(results, as_of, lookback).groupBy("test_pass_id", "test_name").agg(F.count("*").alias("n"))
     return (per_pass.join(passes.select("test_pass_id", "environ_name"), "test_pass_id")
             .groupBy("environ_name", "test_name").agg(F.sum("n").alias("total_tests"))
             .orderBy("environ_name", "test_name"))
@@ -134,5 +134,6 @@ def tests_with_pass(passes: DataFrame, results: DataFrame, *, as_of, lookback: t
     """Test rows next to their pass attributes, the row form behind the rates."""
     recent = recent_passes(passes, as_of, lookback, environ).select(
         "test_pass_id", "environ_name", "zone", F.col("time_started").alias("pass_started"))
-    return results.select("test_id", "test_pass_id", "time_started", "hard_errors_exist").join(
+    tests = within(results, as_of, lookback)
+    return tests.select("test_id", "test_pass_id", "time_started", "hard_errors_exist").join(
         recent, "test_pass_id")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions.numbers import nullif_zero, ratio
+from faultline.functions.times import within
 from faultline.operators.failures import recent_passes
 
 TIMINGS = ["time_total", "time_to_active", "time_to_ping", "time_to_ssh"]
@@ -20,7 +21,8 @@ def latency_by(passes: DataFrame, results: DataFrame, *, keys: tuple[str, ...],
     Sums and counts are taken per pass before the join and combined after it.
     """
     counted = ["hard_error_count", "soft_error_count"] if error_counts else []
-    per_pass = results.groupBy("test_pass_id", "concurrency_count").agg(
+    tests = within(results, as_of, lookback)
+    per_pass = tests.groupBy("test_pass_id", "concurrency_count").agg(
         F.count("*").alias("n"),
         F.sum("hard_errors_exist").alias("failed"),
         *[F.sum(nullif_zero(F.col(c))).alias(f"{c}_sum") for c in TIMINGS],

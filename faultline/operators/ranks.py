@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faultline.functions.numbers import half_up_div
+from faultline.functions.times import minute_start
 
 
 def percentile_rows(actions: DataFrame, divisors: tuple[int, ...] = (2, 4, 20, 100),
@@ -113,9 +114,31 @@ def number_in_order(df: DataFrame, *, group: list[str], chunk: Column, order: li
     return joined.select(*[restored.get(c, F.col(c)).alias(c) for c in df.columns], *added)
 
 
-def assign_ids(df: DataFrame, *, id_name: str, chunk: Column, order: list[str],
-               start_after: int = 0) -> DataFrame:
-    """Dense ids in natural-key order, continuing after the largest id in use."""
-    numbered = number_in_order(df, group=[], chunk=chunk, order=order)
-    return numbered.select((F.col("row_no") + start_after).cast("bigint").alias(id_name),
-                           *df.columns)
+def assign_ids(df: DataFrame, *, id_name: str, time: str, order: list[str],
+               existing: DataFrame | None = None) -> DataFrame:
+    """Dense ids in natural-key order, which begins with ``time``, continuing after the largest
+    id of ``existing``.
+
+    Rows are numbered inside a minute, minutes get their offset inside a month, and the months
+    are so few that their totals travel as one array: no window runs over the whole table.
+    """
+    month = F.coalesce(F.trunc(F.col(time).cast("date"), "month"), F.lit("0001-01-01").cast("date"))
+    keyed = df.withColumns({"_month": month, "_minute": F.coalesce(
+        minute_start(F.col(time)), F.lit("0001-01-01").cast("timestamp_ntz"))})
+    totals = keyed.groupBy("_month", "_minute").agg(F.count("*").alias("_size"))
+    earlier = Window.partitionBy("_month").orderBy("_minute").rowsBetween(
+        Window.unboundedPreceding, -1)
+    offsets = totals.select("_month", "_minute",
+                            F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
+    months = totals.groupBy("_month").agg(F.sum("_size").alias("_size")).agg(
+        F.collect_list(F.struct("_month", "_size"))).scalar()
+    start = F.lit(0).cast("bigint") if existing is None else F.coalesce(
+        existing.agg(F.max(id_name).cast("bigint")).scalar(), F.lit(0))
+    inside = Window.partitionBy("_month", "_minute").orderBy(*order)
+    numbered = (keyed.join(offsets, ["_month", "_minute"])
+                .withColumn("_n", F.row_number().over(inside))
+                .withColumns({"_months": months, "_start": start}))
+    before = F.aggregate(F.filter("_months", lambda m: m["_month"] < F.col("_month")),
+                         F.lit(0).cast("bigint"), lambda n, m: n + m["_size"])
+    return numbered.select((F.col("_start") + before + F.col("_before") + F.col("_n"))
+                           .cast("bigint").alias(id_name), *df.columns)

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.functions.times import since
+from faultline.functions.errors import is_success
+from faultline.functions.times import within
 
 
 def actions_per_env(passes: DataFrame, results: DataFrame, actions: DataFrame, *, as_of,
                     lookback: tuple[int, str]) -> DataFrame:
     """Requests inside the lookback per environment."""
-    recent = actions.filter(since(F.col("time_started"), as_of, *lookback))
-    per_test = recent.groupBy("test_id").agg(F.count("*").alias("n"))
+    per_test = within(actions, as_of, lookback).groupBy("test_id").agg(F.count("*").alias("n"))
     per_pass = per_test.join(results.select("test_id", "test_pass_id"), "test_id").groupBy(
         "test_pass_id").agg(F.sum("n").alias("n"))
     return (per_pass.join(passes.select("test_pass_id", "environ_name"), "test_pass_id")
@@ -39,7 +39,7 @@ def request_rate(passes: DataFrame, results: DataFrame, actions: DataFrame, *, a
 
 def ssh_duration_stats(actions: DataFrame) -> DataFrame:
     """Duration of successful logins, the base for a timeout setting."""
-    ok = actions.filter((F.col("function_name") == "ssh") & (F.col("error_type") == ""))
+    ok = actions.filter((F.col("function_name") == "ssh") & is_success(F.col("error_type")))
     return ok.agg(F.count("*").alias("total_ssh_calls"), F.avg("time_total").alias("time_avg"),
                   F.max("time_total").alias("time_max"), F.min("time_total").alias("time_min"))
 

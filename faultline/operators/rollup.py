@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.functions.errors import with_severity
+from faultline.functions.errors import is_success, with_severity
 from faultline.functions.numbers import humanize_units
-from faultline.functions.times import elapsed_seconds
+from faultline.functions.times import elapsed_seconds, hour_start
 from faultline.operators.ranks import number_in_order
 
 # The call that reaches each milestone of a test.
@@ -40,7 +40,7 @@ def rollup_test_results(actions: DataFrame) -> DataFrame:
 def milestone_times(results: DataFrame, actions: DataFrame) -> DataFrame:
     """Seconds from test start to each milestone, 0 when it was not reached, and flags."""
     reached = actions.filter(
-        (F.col("error_type") == "") & F.col("function_name").isin(*MILESTONES.values()))
+        is_success(F.col("error_type")) & F.col("function_name").isin(*MILESTONES.values()))
     last = reached.groupBy("test_id").agg(*[
         F.max(F.when(F.col("function_name") == call, F.col("time_end"))).alias(f"{name}_at")
         for name, call in MILESTONES.items()])
@@ -61,15 +61,15 @@ def close_passes(passes: DataFrame, results: DataFrame) -> DataFrame:
         F.col("time_started"), F.col("time_end")).alias("time_total"))
 
 
-def retry_attempts(actions: DataFrame, *, delay: int = 5, back_off: int = 2,
-                   grain: str = "hour") -> DataFrame:
+def retry_attempts(actions: DataFrame, *, delay: int = 5, back_off: int = 2) -> DataFrame:
     """Attempt number of every action within its test and function, the gap to the attempt
-    before and the gap the retry policy asks for."""
-    order = ["time_started", "time_end", "error_text"]
+    before and the gap the retry policy asks for. Attempts that start and end together are
+    alike here, so nothing else need be sorted."""
+    order = ["time_started", "time_end"]
     rows = actions.select("test_id", "function_name", *order)
     numbered = number_in_order(
         rows, group=["test_id", "function_name"], order=order, carry="time_end",
-        chunk=F.date_trunc(grain, F.col("time_started")))
+        chunk=hour_start(F.col("time_started")))
     gap = elapsed_seconds(F.col("previous"), F.col("time_started"))
     expected = F.when(F.col("row_no") > 1,
                       F.lit(float(delay)) * F.pow(F.lit(back_off), F.col("row_no") - 2))

@@ -16,7 +16,7 @@ from faultline.operators import (
 )
 from faultline.plans import reports
 from faultline.sources import readers, storage
-from faultline.sources.derived import AS_OF, Tables, action_log, attachment_events
+from faultline.sources.derived import AS_OF, Tables, attachment_events
 from faultline.streaming import alerts, rates, sinks
 
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
@@ -34,7 +34,6 @@ def query(name: str):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(build):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            spark.conf.set("spark.sql.session.timeZone", "UTC")
             return build(Tables(spark, sf_dir))
         return run
     return {name: bind(build) for name, build in QUERIES.items()}
@@ -77,7 +76,7 @@ def _(t: Tables):
 
 @query("f3_legacy_errors")
 def _(t: Tables):
-    return error_counts.legacy_errors(t.test_actions())
+    return error_counts.legacy_errors(t.spelled_actions())
 
 
 @query("f4_text_contains_publickey")
@@ -112,8 +111,8 @@ def _(t: Tables):
 
 @query("f9_successful_ssh")
 def _(t: Tables):
-    return t.test_actions().filter((F.col("function_name") == "ssh")
-                                   & (F.col("error_type") == ""))
+    return t.spelled_actions().filter((F.col("function_name") == "ssh")
+                                      & errors.is_success(F.col("error_type")))
 
 
 @query("f10_active_results")
@@ -374,7 +373,7 @@ def _(t: Tables):
 
 @query("a9_ssh_duration_stats")
 def _(t: Tables):
-    return requests.ssh_duration_stats(t.test_actions())
+    return requests.ssh_duration_stats(t.spelled_actions())
 
 
 @query("a10_avg_time_to_active")
@@ -447,12 +446,12 @@ def _(t: Tables):
 
 @query("r1_rollup_test_results")
 def _(t: Tables):
-    return rollup.rollup_test_results(t.test_actions())
+    return rollup.rollup_test_results(t.spelled_actions())
 
 
 @query("r2_milestone_times")
 def _(t: Tables):
-    return rollup.milestone_times(t.test_results(), t.test_actions())
+    return rollup.milestone_times(t.test_results(), t.spelled_actions())
 
 
 @query("r3_close_passes")
@@ -661,8 +660,8 @@ def _(t: Tables):
     root = storage.shared_dir(t.spark)
     results = t.test_results()
     few = F.col("concurrency_count") <= 4
-    storage.append(results.filter(few), root, "test_results", grain="month")
-    storage.append(results.filter(~few), root, "test_results", grain="month")
+    storage.append(results.filter(few), root, "test_results")
+    storage.append(results.filter(~few), root, "test_results")
     return readers.read_table(t.spark, root, "test_results")
 
 
@@ -696,9 +695,10 @@ def _(t: Tables):
 
 @query("w5_assign_ids")
 def _(t: Tables):
-    rows = t.test_results().select("time_started", "test_id")
-    return ranks.assign_ids(rows, id_name="result_id", chunk=F.date_trunc("hour", F.col("time_started")),
-                            order=["time_started", "test_id"], start_after=1000)
+    results = t.test_results()
+    return ranks.assign_ids(results.select("time_started", "test_id"), id_name="result_id",
+                            time="time_started", order=["time_started", "test_id"],
+                            existing=results.select(F.col("test_id").alias("result_id")))
 
 
 @query("w6_orphan_check")
@@ -729,31 +729,27 @@ def _tests_env(t: Tables) -> DataFrame:
     ).select("test_id", "environ_name")
 
 
+def _in_files(df: DataFrame, run: sinks.StreamRun) -> DataFrame:
+    """The rows as a stream of several files in no order, one per batch."""
+    path = f"{run.root}/in"
+    df.repartition(3).write.parquet(path)
+    return sinks.file_stream(df.sparkSession, path, schema=df.schema, files_per_trigger=1)
+
+
 @query("t1_stream_request_rate")
 def _(t: Tables):
-    log = action_log(sinks.file_stream(t.spark, t.sf_dir, "lineitem.parquet"))
-    rate = rates.request_rate_stream(log, _tests_env(t), window="1 hour", slide="30 minutes")
     run = sinks.StreamRun.new(t.spark)
-    sinks.run_updates(rate, run)
-    return sinks.latest_rows(t.spark, run, rate.schema, ["window_start", "environ_name"])
-
-
-class _StreamedOrders(Tables):
-    """Tables whose orders arrive as a stream."""
-
-    def raw(self, name: str) -> DataFrame:
-        if name == "orders":
-            return sinks.file_stream(self.spark, self.sf_dir, "orders.parquet")
-        return super().raw(name)
+    log = _in_files(t.test_actions().select("test_id", "time_started"), run)
+    rates.run_request_counts(log, _tests_env(t), run, window="1 hour", slide="30 minutes")
+    return rates.request_rates(t.spark, run, 3600)
 
 
 @query("t2_stream_failure_rate")
 def _(t: Tables):
-    results = _StreamedOrders(t.spark, t.sf_dir).test_results()
-    rate = rates.failure_rate_stream(results, t.test_passes())
     run = sinks.StreamRun.new(t.spark)
-    sinks.run_updates(rate, run)
-    return sinks.latest_rows(t.spark, run, rate.schema, ["window_start", "environ_name", "zone"])
+    columns = ["test_pass_id", "time_started", "hard_errors_exist"]
+    rates.run_failure_counts(_in_files(t.test_results().select(*columns), run), t.test_passes(), run)
+    return rates.failure_rates(t.spark, run)
 
 
 class _StreamedEvents(Tables):

@@ -32,21 +32,22 @@ FAILURE_RATES = {
     "a1b_hour_zone_7d_env": _rate(HOUR_ISO, 7, environ="ASIA"),
     "a1c_day_zone_90d": _rate(DAY_ISO, 90),
     "a1d_hour_zone_30d": _rate(HOUR_ISO, 30),
-    "a1e_day_zone_5d_env": _rate(DAY_US, 5, environ="AMERICA"),
+    "a1e_day_zone_5d_env": _rate(DAY_US, 5, environ="EUROPE"),
     "a1f_hour_zone_30d": _rate(HOUR_US, 30),
-    "a1g_day_zone_90d": _rate(DAY_ISO, 90),
+    "a1g_day_zone_90d": _rate(DAY_ISO, 90, environ="AFRICA"),
     "a1h_day_env_90d": _rate(DAY_US, 90, keys=("environ_name",)),
     "a1i_hour_zone_7d_env": _rate(HOUR_ISO, 7, environ="EUROPE"),
-    "a1j_day_zone_90d": _rate(DAY_ISO, 90),
-    "a1k_hour_zone_30d": _rate(HOUR_ISO, 30),
+    "a1j_day_zone_90d": _rate(DAY_ISO, 90, environ="ASIA"),
+    "a1k_hour_zone_30d": _rate(HOUR_ISO, 30, environ="ASIA"),
     "a1l_hour_zone_7d_env": _rate(HOUR_ISO, 7, environ="MIDDLE EAST"),
-    "a1m_day_zone_90d": _rate(DAY_ISO, 90),
-    "a1n_hour_zone_30d": _rate(HOUR_ISO, 30),
+    "a1m_day_zone_90d": _rate(DAY_ISO, 90, environ="MIDDLE EAST"),
+    "a1n_hour_zone_30d": _rate(HOUR_ISO, 30, environ="MIDDLE EAST"),
     "a1o_day_zone_60d_asc": _rate(DAY_US, 60, ascending=True),
     "a1p_day_zone_60d_env_loose": _rate(DAY_US, 60, environ="ASIA", ascending=True, **_LOOSE_ENV),
     "a1q_hour_zone_3d_loose": _rate(HOUR_US, 3, **_LOOSE_ENV),
     "a1q_hour_zone_14d_loose_asc": _rate(HOUR_US, 14, ascending=True, **_LOOSE_ENV),
-    "a1r_hour_zone_14d_loose_asc": _rate(HOUR_US, 14, ascending=True, **_LOOSE_ENV),
+    "a1r_hour_zone_14d_loose_asc": _rate(HOUR_US, 14, environ="AMERICA", ascending=True,
+                                         **_LOOSE_ENV),
     "a1s_day_env_90d": _rate(DAY_ISO, 90, keys=("environ_name",)),
     "a1s_day_env_360d": _rate(DAY_ISO, 360, keys=("environ_name",)),
     "a1t_hour12_zone_7d": _rate(HOUR12_US, 7),

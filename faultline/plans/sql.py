@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from faultline.plans import reports
 
-_AS_OF = "timestamp '2001-07-01 00:00:00'"
+_AS_OF = "timestamp '2001-07-03 08:01:50'"
 
 # Derived tables as common table expressions; each may use the ones above it.
 _TABLES = {
@@ -19,7 +19,8 @@ _TABLES = {
           n_name as zone, 'region-' || r_regionkey as region,
           'host-' || (n_nationkey % 4) as execution_hostname,
           'acct-' || (n_nationkey % 7) as cloud_account_username,
-          min(wk) as time_started, max(o_orderdate) + interval 1 day as time_end,
+          min(o_orderdate + (o_orderkey % 24) * interval 1 hour) as time_started,
+          max(o_orderdate) + interval 1 day as time_end,
           cast(count(*) * 60 as double) as time_total
         from keyed_orders join nation on n_nationkey = c_nationkey
         join region on r_regionkey = n_regionkey
@@ -29,7 +30,9 @@ _TABLES = {
           cast(time_to_ping > 0 as integer) as is_pingable,
           cast(time_to_ssh > 0 as integer) as is_sshable, 0 as is_successful
         from (
-          select o_orderkey as test_id, test_pass_id, 'test_boot' as test_name,
+          select o_orderkey as test_id,
+            case when o_orderkey % 97 <> 13 then test_pass_id end as test_pass_id,
+            'test_boot' as test_name,
             cast(power(2, cast(substring(o_orderpriority, 1, 1) as integer) - 1) as integer)
               as concurrency_count,
             o_orderdate + (o_orderkey % 24) * interval 1 hour as time_started,
@@ -73,6 +76,9 @@ _TABLES = {
             else 'Delete Server Timeout Exception' end end as error_text
         from lineitem""",
     "test_actions": "select *, {classify} as error_type from raw_actions",
+    "spelled_actions": """select * replace (case when error_type <> '' then error_type
+          else case test_id % 3 when 0 then '' when 1 then 'None' end end as error_type)
+        from test_actions""",
     "error_texts": """
         select l_orderkey as test_id, l_linenumber as step,
           case (l_orderkey + l_linenumber) % 24
@@ -222,7 +228,7 @@ def _classify(text: str, intended: bool = False) -> str:
       else {text} end"""
 
 
-_SEVERITY = """case when error_type is null or error_type = '' then 'none'
+_SEVERITY = """case when coalesce(error_type, '') in ('', 'None') then 'none'
   when contains(lower(error_type), 'http 429') or contains(lower(error_type), 'rate-limited')
     or contains(lower(error_type), 'rate limit') then 'soft'
   when contains(lower(error_type), 'http 413') or contains(lower(error_type), 'quota exceeded')
@@ -260,7 +266,11 @@ _LOG_JOIN = """test_results tr left join test_actions trg on tr.test_id = trg.te
 
 
 def _since(column: str, count: int, unit: str) -> str:
-    return f"{column} > {_AS_OF} - interval {count} {unit}"
+    return f"{column} > {_AS_OF} - interval {count} {unit} and {column} <= {_AS_OF}"
+
+
+_TESTS_UNTIL = f"and t.time_started <= {_AS_OF}"
+_LOG_UNTIL = f"and tr.time_started <= {_AS_OF} and trg.time_started <= {_AS_OF}"
 
 
 def _not_in(types) -> str:
@@ -285,7 +295,7 @@ def _failure_rate(params: dict) -> str:
           cast(sum(hard_errors_exist) as bigint) as total_failures,
           avg(t.hard_errors_exist) as failure_rate
         from test_results t join test_passes tp on tp.test_pass_id = t.test_pass_id
-          and {_since('tp.time_started', count, unit)}
+          and {_since('tp.time_started', count, unit)} {_TESTS_UNTIL}
         {environ} group by my_date, {keys}"""
 
 
@@ -303,7 +313,7 @@ def _latency(keys, days, loose, environ=None, counts=False) -> str:
           avg(nullif(t.time_to_ssh, 0)) as avg_time_to_ssh,
           avg(t.hard_errors_exist) as pct_error{errors}
         from test_results t left join test_passes tp on tp.test_pass_id = t.test_pass_id
-        where {_since('tp.time_started', days, 'day')} {where}
+        where {_since('tp.time_started', days, 'day')} {_TESTS_UNTIL} {where}
         group by {grouped}, t.concurrency_count"""
 
 
@@ -311,7 +321,7 @@ def _error_types(environ: str, days: int, excluded) -> str:
     return f"""
         select count(*) as func_error_count, tp.environ_name, trg.error_type from {_LOG_JOIN}
         where error_type <> '' and tp.environ_name = '{environ}'
-          and {_since('tp.time_started', days, 'day')} {_not_in(excluded)} {_NOISE}
+          and {_since('tp.time_started', days, 'day')} {_LOG_UNTIL} {_not_in(excluded)} {_NOISE}
         group by tp.environ_name, trg.error_type"""
 
 
@@ -319,21 +329,21 @@ def _errors_by_function(count: int, unit: str) -> str:
     return f"""
         select count(*) as func_error_count, min(tp.environ_name) as environ_name,
           trg.function_name, trg.error_type, min(trg.error_text) as error_text
-        from {_LOG_JOIN} where error_type <> '' and {_since('tp.time_started', count, unit)}
+        from {_LOG_JOIN} where error_type <> '' and {_since('tp.time_started', count, unit)} {_LOG_UNTIL}
         group by trg.function_name, trg.error_type"""
 
 
 def _recent_errors(count: int, unit: str) -> str:
     return f"""
         select tp.environ_name, trg.function_name, trg.error_type, trg.error_text
-        from {_LOG_JOIN} where error_type <> '' and {_since('tp.time_started', count, unit)}"""
+        from {_LOG_JOIN} where error_type <> '' and {_since('tp.time_started', count, unit)} {_LOG_UNTIL}"""
 
 
 def _errors_by_call(environ: str) -> str:
     return f"""
         select count(*) as error_count, trg.function_name, tr.concurrency_count, trg.error_type
         from {_LOG_JOIN} where tr.concurrency_count > 1 and tp.environ_name = '{environ}'
-          and trg.error_type <> '' and {_since('tp.time_started', 90, 'day')}
+          and trg.error_type <> '' and {_since('tp.time_started', 90, 'day')} {_LOG_UNTIL}
           {_not_in([reports.NOT_FOUND, reports.RATE_LIMITED])} {_NOISE}
         group by tr.concurrency_count, trg.function_name, trg.error_type"""
 
@@ -344,7 +354,7 @@ def _errors_by_hour(environ: str, days: int, least: int, zone: bool) -> str:
         select strftime(tr.time_started, '%Y-%m-%d-%H') as my_date, count(*) as error_count,
           {zones}min(trg.function_name) as function_name, tr.concurrency_count, trg.error_type
         from {_LOG_JOIN} where tr.concurrency_count >= {least} and tp.environ_name = '{environ}'
-          and trg.error_type <> '' and {_since('tp.time_started', days, 'day')}
+          and trg.error_type <> '' and {_since('tp.time_started', days, 'day')} {_LOG_UNTIL}
           {_not_in([reports.NOT_FOUND, reports.RATE_LIMITED])} {_NOISE}
         group by my_date, {zones}trg.error_type, tr.concurrency_count"""
 
@@ -360,7 +370,7 @@ def _unpingable(environ: str, days: int) -> str:
           min(tp.environ_name) as environ_name, min(tp.zone) as zone,
           min(trg.error_type) as error_type
         from {_LOG_JOIN} where trg.error_type = 'Ping Timeout'
-          and tp.environ_name = '{environ}' and {_since('tp.time_started', days, 'day')}
+          and tp.environ_name = '{environ}' and {_since('tp.time_started', days, 'day')} {_LOG_UNTIL}
         group by my_date, bad_ip"""
 
 
@@ -384,7 +394,7 @@ def _moving_avg(period: int, days: int, environ: str | None) -> str:
         join (select cast(unnest(range({days})) as integer) as days_ago) d
           on tp.time_started > {_AS_OF} - (days_ago + {period}) * interval 1 day
           and tp.time_started < {_AS_OF} - days_ago * interval 1 day
-        where true {where} group by tp.environ_name, days_ago"""
+        where true {_TESTS_UNTIL} {where} group by tp.environ_name, days_ago"""
 
 
 def _pct(column: str) -> str:
@@ -425,7 +435,7 @@ _GREEK_INT = """case when size >= 1125899906842624 then printf('%3d Pi', size //
 _UPDATED_PASSES = """(select test_pass_id, time_started + interval 7 day as time_end,
   604800.0 as time_total from test_passes where test_pass_id % 3 = 0)"""
 
-_MILESTONE = """coalesce(epoch(max(case when a.function_name = '{call}' and a.error_type = ''
+_MILESTONE = """coalesce(epoch(max(case when a.function_name = '{call}' and coalesce(a.error_type, '') in ('', 'None')
   then a.time_end end) - r.time_started), 0.0)"""
 
 
@@ -434,7 +444,8 @@ def _milestone(name: str, call: str) -> str:
 
 
 def _flag(name: str, call: str) -> str:
-    return (f"cast(count(case when a.function_name = '{call}' and a.error_type = '' then 1 end)"
+    return (f"cast(count(case when a.function_name = '{call}' "
+            f"and coalesce(a.error_type, '') in ('', 'None') then 1 end)"
             f" > 0 as integer) as is_{name}")
 
 
@@ -463,8 +474,8 @@ def _statements() -> dict[str, str]:
     q["f1_actions_of_function"] = """select * from test_actions
         where function_name = 'wait_for_active_status'"""
     q["f2_error_actions"] = "select * from test_actions where error_type <> ''"
-    q["f3_legacy_errors"] = """select * from test_actions
-        where nullif(nullif(error_type, ''), 'None') is not null"""
+    q["f3_legacy_errors"] = """select * from spelled_actions
+        where error_type <> 'None'"""
     q["f4_text_contains_publickey"] = """select * from test_actions
         where error_text like '%Permission denied (publickey)%'"""
     q["f4_text_contains_timeout"] = """select * from test_actions
@@ -481,8 +492,8 @@ def _statements() -> dict[str, str]:
             where {_since('time_started', count, unit)}"""
     q["f8_concurrent_results"] = """select test_id, concurrency_count from test_results
         where concurrency_count > 1"""
-    q["f9_successful_ssh"] = """select * from test_actions
-        where function_name = 'ssh' and error_type = ''"""
+    q["f9_successful_ssh"] = """select * from spelled_actions
+        where function_name = 'ssh' and coalesce(error_type, '') in ('', 'None')"""
     q["f10_active_results"] = "select test_id, time_to_active from test_results where is_active = 1"
     q["f11_servers_with_pattern"] = """select id, name from servers
         where regexp_matches(name, '^(?:Customer#0000000[0-4])')
@@ -508,7 +519,7 @@ def _statements() -> dict[str, str]:
     q["j1_tests_with_pass"] = f"""select t.test_id, t.test_pass_id, t.time_started,
           t.hard_errors_exist, tp.environ_name, tp.zone, tp.time_started as pass_started
         from test_results t join test_passes tp on tp.test_pass_id = t.test_pass_id
-          and {_since('tp.time_started', 90, 'day')}"""
+          and {_since('tp.time_started', 90, 'day')} {_TESTS_UNTIL}"""
     q["j4_tests_and_actions"] = """select r.test_id, r.test_pass_id, r.test_name,
           rg.function_name, rg.time_started as action_started, rg.error_type
         from test_results r left join test_actions rg on r.test_id = rg.test_id"""
@@ -548,6 +559,7 @@ def _statements() -> dict[str, str]:
         from test_results t join test_passes tp on tp.test_pass_id = t.test_pass_id
         join (select cast(unnest([1, 7, 14, 30, 90, 360]) as integer) as window_days) w
           on tp.time_started > {_AS_OF} - window_days * interval 1 day
+          and tp.time_started <= {_AS_OF} {_TESTS_UNTIL}
         group by window_days, tp.environ_name"""
     q["wp5_failure_rate_moving_avg"] = _moving_avg(30, 10, None)
     q["wp5_failure_rate_moving_avg_env"] = _moving_avg(10, 7, "ASIA")
@@ -573,7 +585,7 @@ def _statements() -> dict[str, str]:
           min(tp.environ_name) as environ_name, tp.region, tp.zone, trg.error_type,
           min(trg.error_text) as error_text
         from {_LOG_JOIN} where error_type <> '' and tp.environ_name = 'ASIA'
-          and {_since('tp.time_started', 20, 'day')}
+          and {_since('tp.time_started', 20, 'day')} {_LOG_UNTIL}
         group by tp.region, tp.zone, trg.error_type"""
     q["a4c_error_types_all"] = f"""select count(*) as func_error_count, tp.environ_name,
           trg.error_type, min(trg.error_text) as error_text
@@ -617,7 +629,8 @@ def _statements() -> dict[str, str]:
         where {_since('t.time_started', 30, 'day')} group by tp.environ_name, t.test_name"""
     q["a9_ssh_duration_stats"] = """select count(*) as total_ssh_calls,
           avg(time_total) as time_avg, max(time_total) as time_max, min(time_total) as time_min
-        from test_actions where function_name = 'ssh' and error_type = ''"""
+        from spelled_actions
+        where function_name = 'ssh' and coalesce(error_type, '') in ('', 'None')"""
     q["a10_avg_time_to_active"] = """select count(*) as calls, avg(time_total) as avg_time_total
         from test_actions where function_name = 'wait_for_active_status'"""
     q["a11_request_count"] = _request_count("ASIA", 60)
@@ -652,14 +665,14 @@ def _statements() -> dict[str, str]:
             cast(count(case when severity = 'hard' then 1 end) > 0 as integer)
               as hard_errors_exist,
             cast(epoch(max(time_end) - min(time_started)) as double) as time_total
-          from (select *, {_SEVERITY} as severity from test_actions) group by test_id)"""
+          from (select *, {_SEVERITY} as severity from spelled_actions) group by test_id)"""
     calls = {"active": "wait_for_active_status", "ping": "ping_device", "ssh": "ssh",
              "deleted": "server_delete"}
     q["r2_milestone_times"] = f"""select r.test_id,
           {', '.join(_milestone(n, c) for n, c in calls.items())},
           {_flag('active', calls['active'])}, {_flag('pingable', calls['ping'])},
           {_flag('sshable', calls['ssh'])}
-        from test_results r left join test_actions a on r.test_id = a.test_id
+        from test_results r left join spelled_actions a on r.test_id = a.test_id
         group by r.test_id, r.time_started"""
     q["r3_close_passes"] = """select tp.test_pass_id, max(r.time_end) as time_end,
           cast(epoch(max(r.time_end) - tp.time_started) as double) as time_total
@@ -671,7 +684,7 @@ def _statements() -> dict[str, str]:
             as expected_gap
         from (select *, row_number() over w as attempt, lag(time_end) over w as previous
               from test_actions window w as (partition by test_id, function_name
-                order by time_started, time_end, error_text))"""
+                order by time_started, time_end))"""
     q["r5_effective_zone"] = """select test_pass_id,
           coalesce(case when test_pass_id % 4 = 0 then zone || '-v1' end, zone) as zone
         from test_passes"""
@@ -783,8 +796,8 @@ def _statements() -> dict[str, str]:
         from ({_HOURLY}) where environ_name = 'ASIA' and zone in ({asia})"""
     q["p2_series_by_env"] = _wide(_ENV_DAILY, "environ_name", reports.ENVIRONMENTS, "")
     q["p3_zero_filled_series"] = f"""select s.series, s.day, coalesce(r.pct, 0) as pct
-        from (select series, cast(unnest(generate_series(timestamp '2001-03-24',
-                timestamp '2001-07-01', interval 1 day)) as date) as day
+        from (select series, cast(unnest(generate_series(timestamp '2001-03-26',
+                timestamp '2001-07-03', interval 1 day)) as date) as day
               from (select distinct series from ({_ENV_ROWS}))) s
         left join ({_ENV_ROWS}) r on r.series = s.series and cast(r.point as date) = s.day"""
     q["u4_series_labels"] = f"select distinct zone as label from ({_DAILY})"
@@ -840,8 +853,8 @@ def _statements() -> dict[str, str]:
     q["w4_scrub_hard_flag"] = """select test_id, hard_error_count,
           case when hard_error_count = 0 then 0 else 1 end as hard_errors_exist
         from test_results"""
-    q["w5_assign_ids"] = """select 1000 + row_number() over (order by time_started, test_id)
-          as result_id, time_started, test_id from test_results"""
+    q["w5_assign_ids"] = """select (select max(test_id) from test_results)
+          + row_number() over (order by time_started, test_id) as result_id, time_started, test_id from test_results"""
     q["w6_orphan_check"] = """
         select 'results-passes' as relation, count(*) as orphans from test_results
           where test_pass_id not in (select test_pass_id from test_passes
@@ -856,7 +869,7 @@ def _statements() -> dict[str, str]:
     q["w6_cascade_delete_passes"] = f"""select * from test_passes
         where test_pass_id not in {gone}"""
     q["w6_cascade_delete_results"] = f"""select {_RESULT_COLUMNS} from test_results
-        where test_pass_id not in {gone}"""
+        where test_pass_id is null or test_pass_id not in {gone}"""
     q["w6_cascade_delete_actions"] = f"""select * from test_actions where test_id not in
         (select test_id from test_results where test_pass_id in {gone})"""
 

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from faultline.sources.schemas import TABLES
 
 
-def read_table(spark: SparkSession, root: str, name: str, days=(None, None)) -> DataFrame:
+def read_table(spark: SparkSession, root: str, name: str, days=(None, None),
+               dated: bool = False) -> DataFrame:
     """A stored table with its declared schema; a missing path raises.
 
     The date partition is a column of the scan, so ``days`` prunes folders before any file is
-    opened: (first day, last day), either may be None.
+    opened: (first day, last day), either may be None. ``dated`` keeps the date column, by which
+    the reports prune days themselves.
     """
     first, last = days
     table = spark.read.schema(TABLES[name]).parquet(f"{root}/{name}")
@@ -20,7 +22,8 @@ def read_table(spark: SparkSession, root: str, name: str, days=(None, None)) ->
         table = table.filter(F.col("event_date") >= F.lit(first).cast("date"))
     if last is not None:
         table = table.filter(F.col("event_date") <= F.lit(last).cast("date"))
-    return table.select(*TABLES[name].fieldNames())
+    names = TABLES[name].fieldNames()
+    return table.select(*names, *(["event_date"] if dated else []))
 
 
 def read_jdbc(spark: SparkSession, url: str, name: str, *, partition_column: str, lower, upper,

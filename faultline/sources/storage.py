@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from faultline.functions.errors import normalize_no_error
 from faultline.sources.schemas import TABLES
 
 # Column that gives the date partition of each table that has one.
@@ -22,14 +23,13 @@ PARTITION_SOURCE = {
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a temporary folder, since on a cluster the
-    executors could not see it.
+    Only a session on one machine may go without that setting; it uses its warehouse folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.conf.get("spark.master", "local").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="faultline-")
+        root = os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "runs")
     return f"{root.rstrip('/')}/faultline-{uuid.uuid4().hex}"
 
 
@@ -46,23 +46,24 @@ def create_tables(spark: SparkSession, database: str, drop: bool = False) -> Non
         writer.saveAsTable(f"{database}.{name}")
 
 
-def with_date(df: DataFrame, table: str, grain: str = "day") -> DataFrame:
-    """Add the partition column: the day, or the first day of the month or year."""
+def with_date(df: DataFrame, table: str) -> DataFrame:
+    """Add the partition column, the day."""
     if table not in PARTITION_SOURCE:
         return df
-    day = F.col(PARTITION_SOURCE[table]).cast("date")
-    return df.withColumn("event_date", day if grain == "day" else F.trunc(day, grain))
+    return df.withColumn("event_date", F.col(PARTITION_SOURCE[table]).cast("date"))
 
 
-def append(df: DataFrame, root: str, table: str, grain: str = "day") -> None:
+def append(df: DataFrame, root: str, table: str) -> None:
     """Append rows as typed parquet below ``root``, one folder per day.
 
     Rebalancing on the date keeps files near the advisory size: busy days are split over many
-    tasks and quiet days share one. A small log takes ``grain="month"`` to keep files few; the
-    day pruning of ``read_table`` is for daily folders.
+    tasks and quiet days share one. All spellings of "no error" are stored as the empty type.
     """
     columns = [f.name for f in TABLES[table].fields]
-    dated = with_date(df.select(*columns), table, grain)
+    dated = with_date(df.select(*columns), table)
+    if "error_type" in columns:
+        dated = dated.withColumn(
+            "error_type", F.coalesce(normalize_no_error(F.col("error_type")), F.lit("")))
     if table in PARTITION_SOURCE:
         dated = dated.hint("rebalance", "event_date")
         dated.write.mode("append").partitionBy("event_date").parquet(f"{root}/{table}")

@@ -1,51 +1,73 @@
-"""Request and failure rates as event-time windows.
+"""Request and failure rates over event-time windows of a stream.
 
-The event time of the log has no zone; watermarks need an instant, so it is read as UTC.
+Every batch is first counted per test or pass and window, so a busy one is a few rows per task,
+then joined with the stored attributes and written as partial counts of its own. Reading sums the
+partial counts. Rows count however late they arrive and in however many files, and a batch that
+runs again overwrites its counts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.functions.numbers import ratio
+from faultline.streaming.sinks import StreamRun
 
 
-def request_rate_stream(actions: DataFrame, tests: DataFrame, *, window: str = "60 seconds",
-                        slide: str = "10 seconds", delay: str = "10 minutes") -> DataFrame:
-    """Requests and requests per second per environment over sliding windows.
-
-    ``tests`` is a static table of test_id and environ_name.
-    """
-    timed = actions.select("test_id", F.col("time_started").cast("timestamp").alias("event_time"))
-    counted = (
-        timed.withWatermark("event_time", delay)
-        .join(tests.select("test_id", "environ_name"), "test_id")
-        .groupBy(F.window("event_time", window, slide).alias("w"), "environ_name")
-        .agg(F.count("*").alias("requests"))
-    )
-    seconds = F.unix_seconds(F.col("w.end")) - F.unix_seconds(F.col("w.start"))
-    return counted.select(
-        F.col("w.start").cast("timestamp_ntz").alias("window_start"), "environ_name", "requests",
-        (F.col("requests") / seconds).alias("rps"))
-
-
-def failure_rate_stream(results: DataFrame, passes: DataFrame, *, window: str = "1 hour",
-                        delay: str = "2 hours") -> DataFrame:
-    """Failure rate per environment and zone over tumbling windows of the test start.
-
-    A test is written when it ends, up to an hour after its start; the default delay of two
-    hours keeps its window open long enough.
-    """
-    timed = results.select("test_pass_id", "hard_errors_exist",
-                           F.col("time_started").cast("timestamp").alias("event_time"))
-    counted = (
-        timed.withWatermark("event_time", delay)
-        .join(passes.select("test_pass_id", "environ_name", "zone"), "test_pass_id")
-        .groupBy(F.window("event_time", window).alias("w"), "environ_name", "zone")
-        .agg(F.count("*").alias("total_tests"), F.sum("hard_errors_exist").alias("failed"))
-    )
-    return counted.select(
-        F.col("w.start").cast("timestamp_ntz").alias("window_start"), "environ_name", "zone",
-        "total_tests", F.col("failed").alias("total_failures"),
-        ratio(F.col("failed"), F.col("total_tests")).alias("failure_rate"))
+def _stored(df: DataFrame, run: StreamRun, name: str) -> DataFrame:
+    """The attributes, written once for all batches of the run; a resumed run writes them anew."""
+    path = f"{run.root}/{name}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _run_counts(stream: DataFrame, attributes: DataFrame, run: StreamRun, *, key: str,
+                window, sums: dict, keys: list[str]) -> None:
+    def store(batch: DataFrame, batch_id: int) -> None:
+        counted = batch.groupBy(key, F.window("time_started", *window).alias("w")).agg(
+            *[c.alias(name) for name, c in sums.items()])
+        partial = counted.join(attributes, key).groupBy(
+            F.col("w.start").alias("window_start"), *keys).agg(
+            *[F.sum(name).alias(name) for name in sums])
+        partial.write.mode("overwrite").parquet(f"{run.data}/batch_id={batch_id}")
+
+    (stream.writeStream.foreachBatch(store).option("checkpointLocation", run.checkpoint)
+     .trigger(availableNow=True).start().awaitTermination())
+
+
+def _summed(spark: SparkSession, run: StreamRun, keys: list[str], sums: list[str]) -> DataFrame:
+    fields = ", ".join(["window_start timestamp_ntz", *[f"{k} string" for k in keys],
+                        *[f"{s} bigint" for s in sums], "batch_id bigint"])
+    stored = spark.read.schema(fields).parquet(run.data)
+    return stored.groupBy("window_start", *keys).agg(*[F.sum(s).alias(s) for s in sums])
+
+
+def run_request_counts(actions: DataFrame, tests: DataFrame, run: StreamRun, *,
+                       window: str = "60 seconds", slide: str = "10 seconds") -> None:
+    """Store the requests per environment and sliding window; ``tests`` is a static table of
+    test_id and environ_name."""
+    _run_counts(actions, _stored(tests.select("test_id", "environ_name"), run, "tests"), run,
+                key="test_id", window=(window, slide), sums={"requests": F.count("*")},
+                keys=["environ_name"])
+
+
+def request_rates(spark: SparkSession, run: StreamRun, seconds: int = 60) -> DataFrame:
+    """Requests and requests per second per environment and window of ``seconds``."""
+    counted = _summed(spark, run, ["environ_name"], ["requests"])
+    return counted.withColumn("rps", F.col("requests") / F.lit(seconds))
+
+
+def run_failure_counts(results: DataFrame, passes: DataFrame, run: StreamRun, *,
+                       window: str = "1 hour") -> None:
+    """Store tests and failures per environment, zone and tumbling window of the test start."""
+    attributes = passes.select("test_pass_id", "environ_name", "zone")
+    _run_counts(results, _stored(attributes, run, "passes"), run, key="test_pass_id",
+                window=(window,), keys=["environ_name", "zone"], sums={
+                    "total_tests": F.count("*"), "total_failures": F.sum("hard_errors_exist")})
+
+
+def failure_rates(spark: SparkSession, run: StreamRun) -> DataFrame:
+    """Tests, failures and failure rate per environment, zone and window."""
+    counted = _summed(spark, run, ["environ_name", "zone"], ["total_tests", "total_failures"])
+    return counted.withColumn("failure_rate", ratio(F.col("total_failures"), F.col("total_tests")))
