@@ -22,9 +22,8 @@ QUALITY_THRESHOLD = 0.3
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the threshold. The model is fitted on the documents
     of this input that have a label and are not held out; the scores cover all of them."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").distinct()
-    known = docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
-    model = op6_quality.train(op6_quality.feature_rows(known), labels)
+    labels = table(spark, sf_dir, "labels")
+    model = op6_quality.train(op6_quality.feature_rows(docs), labels)
     return op6_quality.keep_good(docs, model, QUALITY_THRESHOLD)
 
 
