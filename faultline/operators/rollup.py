@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions.errors import is_success, with_severity
 from faultline.functions.numbers import humanize_units
-from faultline.functions.times import elapsed_seconds, hour_start
+from faultline.functions.times import elapsed_seconds, hour_start, minute_start
 from faultline.operators.ranks import number_in_order
 
 # The call that reaches each milestone of a test.
@@ -19,6 +19,10 @@ MILESTONES = {
 }
 
 
+# Parts of the log that are numbered on their own.
+CHUNKS = {"minute": minute_start, "hour": hour_start, "day": lambda ts: ts.cast("date")}
+
+
 def rollup_test_results(actions: DataFrame) -> DataFrame:
     """Per test: action and error counts, elapsed time and requests per second."""
     severity = F.col("severity")
@@ -61,7 +65,8 @@ def close_passes(passes: DataFrame, results: DataFrame) -> DataFrame:
         F.col("time_started"), F.col("time_end")).alias("time_total"))
 
 
-def retry_attempts(actions: DataFrame, *, delay: int = 5, back_off: int = 2) -> DataFrame:
+def retry_attempts(actions: DataFrame, *, delay: int = 5, back_off: int = 2,
+                   grain: str = "hour") -> DataFrame:
     """Attempt number of every action within its test and function, the gap to the attempt
     before and the gap the retry policy asks for. Attempts that start and end together are
     alike here, so nothing else need be sorted."""
@@ -69,7 +74,7 @@ def retry_attempts(actions: DataFrame, *, delay: int = 5, back_off: int = 2) ->
     rows = actions.select("test_id", "function_name", *order)
     numbered = number_in_order(
         rows, group=["test_id", "function_name"], order=order, carry="time_end",
-        chunk=hour_start(F.col("time_started")))
+        chunk=CHUNKS[grain](F.col("time_started")))
     gap = elapsed_seconds(F.col("previous"), F.col("time_started"))
     expected = F.when(F.col("row_no") > 1,
                       F.lit(float(delay)) * F.pow(F.lit(back_off), F.col("row_no") - 2))

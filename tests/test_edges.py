@@ -31,19 +31,19 @@ def test_failure_rate_excludes_the_boundary_and_uses_pass_start(spark):
         (1, "E", "z", NOW - dt.timedelta(days=7)),
         (2, "E", "z", NOW - dt.timedelta(days=7) + dt.timedelta(seconds=1)),
     ])
-    old = NOW - dt.timedelta(days=300)
+    old = NOW - dt.timedelta(days=2)
     results = results_of(spark, [(1, 1, NOW, 1), (2, 2, old, 1), (3, 2, old, 0), (4, 9, old, 1)])
     got = failures.failure_rate(passes, results, bucket=DAY_ISO, keys=("environ_name", "zone"),
                                 as_of=AS_OF, lookback=(7, "day")).collect()
-    assert [tuple(r) for r in got] == [("2000-09-04", "E", "z", 2, 1, 0.5)]
+    assert [tuple(r) for r in got] == [("2001-06-29", "E", "z", 2, 1, 0.5)]
 
 
 def test_us_day_labels_sort_as_text_over_the_year_end(spark):
-    passes = passes_of(spark, [(1, "E", "z", NOW)])
+    passes = passes_of(spark, [(1, "E", "z", dt.datetime(2001, 12, 30))])
     results = results_of(spark, [(1, 1, dt.datetime(2001, 12, 31), 0),
                                  (2, 1, dt.datetime(2002, 1, 1), 0)])
-    got = failures.failure_rate(passes, results, bucket=DAY_US, keys=("zone",), as_of=AS_OF,
-                                lookback=(7, "day"), ascending=True).collect()
+    got = failures.failure_rate(passes, results, bucket=DAY_US, keys=("zone",),
+                                as_of="2002-01-03 00:00:00", lookback=(7, "day"), ascending=True).collect()
     assert [r.my_date for r in got] == ["01-01-2002", "12-31-2001"]
 
 
@@ -74,7 +74,8 @@ def test_zero_timings_do_not_enter_an_average(spark):
     results = spark.createDataFrame(
         [(1, 1, 2, 10.0, 0.0, 4.0, 0.0, 0), (2, 1, 2, 0.0, 0.0, 0.0, 6.0, 1)],
         "test_id long, test_pass_id long, concurrency_count int, time_total double, "
-        "time_to_active double, time_to_ping double, time_to_ssh double, hard_errors_exist int")
+        "time_to_active double, time_to_ping double, time_to_ssh double, hard_errors_exist int"
+    ).withColumn("time_started", F.lit(NOW).cast("timestamp_ntz"))
     row = latency.latency_by(passes, results, keys=("zone",), order=("zone",), as_of=AS_OF,
                              lookback=(7, "day")).first()
     assert (row.avg_time_total, row.avg_time_to_active, row.avg_time_to_ping,
@@ -232,8 +233,8 @@ def test_ids_continue_in_natural_order(spark):
     rng = random.Random(4)
     rows = [(NOW + dt.timedelta(minutes=rng.randrange(5000)), i) for i in range(400)]
     df = spark.createDataFrame(rows, "t timestamp_ntz, k long").repartition(7)
-    got = ranks.assign_ids(df, id_name="id", chunk=F.to_date("t"), order=["t", "k"],
-                           start_after=50).collect()
+    got = ranks.assign_ids(df, id_name="id", time="t", order=["t", "k"],
+                           existing=spark.createDataFrame([(7,), (50,)], "id long")).collect()
     assert [(r.t, r.k) for r in sorted(got, key=lambda r: r.id)] == sorted(rows)
     assert sorted(r.id for r in got) == list(range(51, 451))
 

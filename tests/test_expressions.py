@@ -88,7 +88,8 @@ def test_severity(spark):
 def test_no_error_spellings(spark):
     df = spark.createDataFrame([("",), ("None",), (None,), ("real",)], "e string")
     assert df.filter(errors.is_error(F.col("e"))).count() == 2
-    assert [r.e for r in df.filter(errors.is_legacy_error(F.col("e"))).collect()] == ["real"]
+    for mode, kept in [("faithful", ["", "real"]), ("intended", ["real"])]:
+        assert [r.e for r in df.filter(errors.is_legacy_error(F.col("e"), mode)).collect()] == kept
     kept = df.select(errors.normalize_no_error(F.col("e"))).collect()
     assert [r[0] for r in kept] == [None, None, None, "real"]
 
@@ -148,11 +149,28 @@ def test_twelve_hour_bucket_folds_midnight_and_noon(spark):
     assert labels == {"06-01-2001-12"}
 
 
-def test_lookback_is_strict(spark):
+def test_lookback_is_strict_and_ends_at_the_reference_time(spark):
     rows = [dt.datetime(2001, 6, 24), dt.datetime(2001, 6, 24, 0, 0, 1), dt.datetime(2030, 1, 1)]
     df = spark.createDataFrame([(r,) for r in rows], "t timestamp_ntz")
     kept = df.filter(times.since(F.col("t"), "2001-07-01 00:00:00", 7)).count()
-    assert kept == 2
+    assert kept == 1
+
+
+def test_time_parts_ignore_the_session_zone(spark):
+    """Around a change to daylight saving time an hour is neither lost nor moved."""
+    rows = [(dt.datetime(2001, 4, 1, 1, 30), dt.datetime(2001, 4, 1, 3, 30)),
+            (dt.datetime(2001, 4, 1, 2, 30), dt.datetime(2001, 4, 1, 2, 30, 0, 250000))]
+    df = spark.createDataFrame(rows, "a timestamp_ntz, b timestamp_ntz")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = df.select(times.elapsed_seconds(F.col("a"), F.col("b")),
+                        times.HOUR_ISO.start(F.col("a")), times.HOUR12_US.label(F.col("a"))).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert [tuple(r) for r in got] == [
+        (7200.0, dt.datetime(2001, 4, 1, 1), "04-01-2001-01"),
+        (0.25, dt.datetime(2001, 4, 1, 2), "04-01-2001-02")]
 
 
 def test_elapsed_keeps_fractions(spark):

@@ -3,14 +3,14 @@
 import contextlib
 import datetime as dt
 import io
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from faultline.functions.times import DAY_ISO
-from faultline.operators import builds, error_counts, failures, ranks
+from faultline.operators import builds, error_counts, failures, ranks, requests
 from faultline.plans.registry import queries
-from faultline.plans.session import cluster_settings
 from faultline.sources import readers, storage
 from faultline.sources.derived import AS_OF, Tables
 
@@ -63,17 +63,25 @@ def test_report_is_aggregated_before_the_join(spark, stored):
     assert "PushedFilters: [IsNotNull(time_started), GreaterThan(time_started" in plan
 
 
-def test_recent_passes_filter_the_scan_of_the_tests(spark, stored):
-    """With a large history only tests of recent passes are shuffled."""
-    wanted = "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold"
-    assert cluster_settings(8, 10**12)[wanted] == "1GB"
-    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1",
-                  spark__sql__optimizer__runtime__bloomFilter__creationSideThreshold="1GB",
-                  spark__sql__optimizer__runtime__bloomFilter__applicationSideScanSizeThreshold="0"):
-        rows = failures.tests_with_pass(stored["test_passes"], stored["test_results"],
-                                        as_of=AS_OF, lookback=(7, "day"))
-        assert "might_contain" in plan_of(rows)
-        assert rows.count() == 35
+def test_reports_read_only_the_days_of_their_lookback(spark, sf_dir, tmp_path):
+    """Stored tables that carry their date are pruned to the lookback, with the same answer."""
+    tables, kept = Tables(spark, sf_dir), {}
+    for name in ("test_passes", "test_results", "test_actions"):
+        rows = getattr(tables, name)().filter("time_started > timestamp_ntz'2001-06-01'")
+        storage.append(rows, str(tmp_path), name)
+        kept[name] = readers.read_table(spark, str(tmp_path), name, dated=True)
+    log = list(kept.values())
+    back = {"as_of": AS_OF, "lookback": (7, "day")}
+    reports = [
+        failures.failure_rate(*log[:2], bucket=DAY_ISO, keys=("zone",), **back),
+        error_counts.error_counts(*log, keys=("environ_name", "error_type"), **back),
+        requests.actions_per_env(*log, as_of=AS_OF, lookback=(60, "minute")),
+    ]
+    for report in reports:
+        assert re.search(r"PartitionFilters: \[[^\]]*event_date", plan_of(report))
+    plain = [getattr(tables, n)() for n in kept]
+    want = failures.failure_rate(*plain[:2], bucket=DAY_ISO, keys=("zone",), **back)
+    assert reports[0].collect() == want.collect()
 
 
 def test_last_builds_are_limited_before_the_shuffle(spark, sf_dir):
@@ -92,32 +100,29 @@ def test_top_rows_do_not_sort_everything(spark, stored):
         ranks.top_rows(stored["test_actions"], [F.col("time_total").desc()], 5))
 
 
-def test_hot_test_is_split_at_run_time(spark):
-    """One test owns a third of all error rows: its partition is split, the counts stay exact."""
+def test_hot_test_is_counted_before_the_join(spark):
+    """One test owns a third of all error rows: it reaches the join as a few counted rows, so no
+    partition need be split."""
     base = dt.datetime(2001, 6, 30)
-    n = 120_000
+    started = F.lit(base).cast("timestamp_ntz").alias("time_started")
     passes = spark.createDataFrame(
         [(i, "E", "z", base) for i in range(20)],
         "test_pass_id long, environ_name string, zone string, time_started timestamp_ntz")
     results = spark.range(30_000).select(
-        F.col("id").alias("test_id"), (F.col("id") % 20).alias("test_pass_id"))
+        F.col("id").alias("test_id"), (F.col("id") % 20).alias("test_pass_id"), started)
     test_id = F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 30_000)
-    actions = spark.range(0, n, 1, 16).select(
-        test_id.cast("long").alias("test_id"),
-        F.concat(F.lit("e"), (F.col("id") % 5).cast("string")).alias("error_type"),
-        F.repeat(F.uuid(), 4).alias("error_text"))
+    actions = spark.range(0, 120_000, 1, 16).select(
+        test_id.cast("long").alias("test_id"), started,
+        F.concat(F.lit("e"), (F.col("id") % 5).cast("string")).alias("error_type"))
     with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1",
-                  spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes="100KB",
-                  spark__sql__adaptive__skewJoin__skewedPartitionFactor="1.5",
-                  spark__sql__adaptive__advisoryPartitionSizeInBytes="100KB"):
-        rows = error_counts.errors_in_context(
-            passes, results, actions, keep=F.col("error_type") != "", as_of=AS_OF,
-            lookback=(7, "day"), action_columns=("error_type", "error_text"),
-            pass_columns=("environ_name",))
-        counted = rows.groupBy("environ_name", "error_type").agg(
-            F.count("*").alias("n"), F.max("error_text").alias("t"))
-        assert sum(r.n for r in counted.collect()) == n
-        assert "SortMergeJoin(skew=true)" in plan_of(counted)
+                  spark__sql__adaptive__skewJoin__enabled="false"):
+        counted = error_counts.error_counts(
+            passes, results, actions, keys=("environ_name", "error_type"), as_of=AS_OF,
+            lookback=(7, "day"))
+        assert sum(r.func_error_count for r in counted.collect()) == 120_000
+        plan = plan_of(counted)
+    join = plan.index("SortMergeJoin")
+    assert "partial_count(1)" in plan[join:] and "partial_count(1)" not in plan[:join]
 
 
 def test_hot_pass_reaches_the_join_as_few_rows(spark):

@@ -30,45 +30,45 @@ def write_files(df, path, order, n):
 
 
 def test_failure_rate_over_several_batches(spark, tables, tmp_path):
-    results = tables.test_results().filter("time_started >= timestamp_ntz'2001-01-01'").persist()
-    write_files(results, str(tmp_path / "in"), "time_started", 3)
-    stream = sinks.file_stream(spark, str(tmp_path / "in"), files_per_trigger=1)
-    rate = rates.failure_rate_stream(stream, tables.test_passes(), window="1 hour",
-                                     delay="400 days")
-    run = sinks.StreamRun(str(tmp_path / "run"))
-    sinks.run_updates(rate, run)
-    got = sinks.latest_rows(spark, run, rate.schema, ["window_start", "environ_name", "zone"])
-    joined = results.join(tables.test_passes().select("test_pass_id", "environ_name", "zone"),
-                          "test_pass_id")
-    want = joined.groupBy(
-        F.date_trunc("hour", "time_started").cast("timestamp_ntz").alias("window_start"),
-        "environ_name", "zone",
-    ).agg(F.count("*").alias("total_tests"), F.sum("hard_errors_exist").alias("total_failures"),
-          F.avg("hard_errors_exist").alias("failure_rate"))
-    assert rows_of(got) == rows_of(want)
-    batches = spark.read.parquet(run.data).select("batch_id").distinct().count()
-    assert batches >= 3
+    """Files in no order of time, and a run that is resumed with more of them."""
+    results = tables.test_results().persist()
+    path, run = str(tmp_path / "in"), sinks.StreamRun(str(tmp_path / "run"))
+    passes = tables.test_passes().select("test_pass_id", "environ_name", "zone")
+
+    def process():
+        stream = sinks.file_stream(spark, path, files_per_trigger=1)
+        rates.run_failure_counts(stream, tables.test_passes(), run)
+        return rows_of(rates.failure_rates(spark, run))
+
+    def expected(part):
+        return rows_of(part.join(passes, "test_pass_id").groupBy(
+            F.date_trunc("hour", "time_started").cast("timestamp_ntz").alias("window_start"),
+            "environ_name", "zone",
+        ).agg(F.count("*").alias("total_tests"), F.sum("hard_errors_exist").alias("total_failures"),
+              F.avg("hard_errors_exist").alias("failure_rate")))
+
+    early = results.filter("test_id % 3 > 0")
+    write_files(early, path, "test_id % 7, test_id", 3)
+    assert process() == expected(early)
+    write_files(results.filter("test_id % 3 = 0"), path, "test_id", 2)
+    assert process() == expected(results)
+    assert spark.read.parquet(run.data).select("batch_id").distinct().count() >= 4
     results.unpersist()
 
 
-def test_rows_inside_the_delay_count_and_later_ones_do_not(spark, tmp_path):
-    """A test written 90 minutes late still counts, one 150 minutes late does not."""
-    passes = spark.createDataFrame([(1, "E", "z")],
-                                   "test_pass_id long, environ_name string, zone string")
-    schema = "test_pass_id long, hard_errors_exist int, time_started timestamp_ntz"
-    minutes = [[0], [-90], [-150], [600]]
-    for batch in minutes:
-        spark.createDataFrame(
-            [(1, 0, BASE + dt.timedelta(minutes=m)) for m in batch], schema
-        ).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+def test_requests_count_however_late(spark, tables, tmp_path):
+    """Four files, one per batch: each action counts once per window that covers it."""
+    log = tables.test_actions().select("test_id", "time_started").persist()
+    tests = tables.test_results().select("test_id", F.lit("E").alias("environ_name"))
+    write_files(log, str(tmp_path / "in"), "test_id", 4)
     stream = sinks.file_stream(spark, str(tmp_path / "in"), files_per_trigger=1)
     run = sinks.StreamRun(str(tmp_path / "run"))
-    rate = rates.failure_rate_stream(stream, passes)
-    sinks.run_appends(rate, run)
-    got = spark.read.schema(rate.schema).parquet(run.data).collect()
-    starts = {r.window_start for r in got}
-    assert BASE in starts and BASE - dt.timedelta(hours=2) in starts
-    assert BASE - dt.timedelta(hours=3) not in starts
+    rates.run_request_counts(stream, tests, run, window="1 hour", slide="1 hour")
+    rows = rates.request_rates(spark, run, 3600)
+    known = log.join(tests, "test_id").count()
+    assert rows.agg(F.sum("requests")).first()[0] == known
+    assert rows.filter("abs(rps - requests / 3600D) > 1e-12").count() == 0
+    log.unpersist()
 
 
 def test_sequential_failures_across_batches_and_restart(spark, tables, tmp_path):
