@@ -5,7 +5,7 @@ Words are runs of 0-9, a-z and characters beyond ASCII, after A-Z became lower c
 reads words as symbols, so a match begins and ends at word borders.
 
 Edge cases: a NULL or empty text has no words and no hits; an item without words has no windows;
-windows that several items share count for each of them; repeated rows are judged each by itself;
+the windows of an item without id hit, but there is no id to list or count; windows that several items share count for each of them; repeated rows are judged each by itself;
 an empty benchmark hits nothing; other columns are not read.
 """
 
@@ -36,13 +36,15 @@ def words(text: str | None) -> list[bytes]:
 class Matcher:
     """The automaton of one block of items. Unknown words are symbol 0, which no window holds."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, str]], window: int = WINDOW):
         self.symbols: dict[bytes, int] = {}
         found: dict[tuple[int, ...], set[str]] = {}
         for item, text in items:
             ids = [self.symbols.setdefault(w, len(self.symbols) + 1) for w in words(text)]
             for i in range(max(1, len(ids) - window + 1) if ids else 0):
-                found.setdefault(tuple(ids[i:i + window]), set()).add(item)
+                owners = found.setdefault(tuple(ids[i:i + window]), set())
+                if item is not None:
+                    owners.add(item)
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         for key, owners in found.items():
             self.automaton.add_word(key, (len(key), owners))
@@ -64,7 +66,7 @@ class Matcher:
         return len(tokens), merged(runs), met
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, str]]]:
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str | None, str]]]:
     """The items in blocks of bounded size, read one after the other."""
     block, size = [], 0
     items = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string"))

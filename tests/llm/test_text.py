@@ -233,7 +233,7 @@ def plain_lcs(a, b):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.sampled_from("abcd"), max_size=14), st.lists(st.sampled_from("abcd"), max_size=14))
+@given(st.lists(st.sampled_from("abcd"), max_size=24), st.lists(st.sampled_from("abce"), max_size=24))
 def test_shared_lines_are_a_longest_common_subsequence(a, b):
     shared = op8_html.shared_lines(a, b)
     kept = [x for x, s in zip(a, shared) if s]
@@ -390,6 +390,18 @@ def test_contamination_matches_plain(spark, odd, none, monkeypatch):
     assert op10_decontamination.clean(odd, benchmark.limit(0)).count() == odd.count()
 
 
+def test_contamination_items_without_id(spark):
+    """Their windows hit; the ids listed are those of the others."""
+    benchmark = spark.createDataFrame([(1, "one two"), (None, "one two"), (None, "three"), (None, None)],
+                                      "item_id long, text string")
+    docs = spark.createDataFrame([(1, "zero one two"), (2, "three"), (3, "four")],
+                                 "doc_id long, text string")
+    rows = {r.doc_id: (r.n_hit, r.n_items, r.contaminated)
+            for r in op10_decontamination.judged(docs, benchmark).collect()}
+    assert rows == {1: (2, 1, True), 2: (1, 0, True), 3: (0, 0, False)}
+    assert [r.doc_id for r in op10_decontamination.clean(docs, benchmark).collect()] == [3]
+
+
 def test_contamination_offsets(spark):
     benchmark = spark.createDataFrame([(2, "short item")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "é 😀 a SHORT--item, b short item")], "doc_id long, text string")
