@@ -42,7 +42,7 @@ BASE = {
 PROPOSED = {
     "handle": (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\(at\)|\[at\]|\{at\}| at ) ?"
                r"[A-Za-z0-9-]++(?: ?(?:\(dot\)|\[dot\]|\{dot\}| dot ) ?[A-Za-z0-9-]++|\.[A-Za-z0-9-]++)++"),
-    "number": r"[+(]?[0-9][0-9 ()./-]{5,30}[0-9]",
+    "number": r"[+(]?[0-9][0-9 ()./-]{5,}[0-9]",
     "secret": r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]{0,64}[0-9])[A-Za-z0-9_+/-]{16,}+",
 }
 KINDS = [*BASE, *PROPOSED]

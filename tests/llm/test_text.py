@@ -188,6 +188,13 @@ def test_pii_redaction(spark, judge):
     assert rows[4].text == 'my token = "[SECRET]" ok'
 
 
+def test_pii_numbers_next_to_each_other(spark, judge):
+    """Two cards in a row make one run of digits, which is proposed and covered as a whole."""
+    rows = spark.createDataFrame([(1, "so 4465758382889437 4465758382889437 ahead")],
+                                 "doc_id long, text string")
+    assert op4_pii.redact(rows, judge).first().text == "so [NUMBER] ahead"
+
+
 def test_pii_uses_no_python(spark, judge, odd):
     plan = op4_pii.digests(odd, judge)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange", plan)
