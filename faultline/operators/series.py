@@ -31,10 +31,14 @@ def date_spine(as_of, days: int = 100, ahead: int = 0) -> Column:
                       F.make_dt_interval(F.lit(1)))
 
 
-def zero_filled(rows: DataFrame, as_of, days: int = 100) -> DataFrame:
-    """Series with a point for every day of the spine, 0 where there was no test."""
+def zero_filled(rows: DataFrame, as_of, days: int = 100, ahead: int = 0) -> DataFrame:
+    """Series with a point for every day of the spine, 0 where there was no test.
+
+    The spine is the chart's axis: points outside it do not appear, so ``days`` is one more than
+    the lookback in days of the report that is shown whole.
+    """
     labels = rows.select("series").distinct()
-    spine = labels.select("series", F.explode(date_spine(as_of, days)).alias("day"))
+    spine = labels.select("series", F.explode(date_spine(as_of, days, ahead)).alias("day"))
     daily = rows.select("series", F.col("point").cast("date").alias("day"), "pct")
     return spine.join(daily, ["series", "day"], "left").select(
         "series", "day", F.coalesce("pct", F.lit(0)).alias("pct"))

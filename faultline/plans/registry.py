@@ -16,7 +16,7 @@ from faultline.operators import (
 )
 from faultline.plans import reports
 from faultline.sources import readers, storage
-from faultline.sources.derived import AS_OF, Tables, attachment_events
+from faultline.sources.derived import AS_OF, Tables
 from faultline.streaming import alerts, rates, sinks
 
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
@@ -599,7 +599,8 @@ def _(t: Tables):
 
 @query("p3_zero_filled_series")
 def _(t: Tables):
-    return series.zero_filled(_env_series(t), AS_OF)
+    days, _ = reports.FAILURE_RATES["a1s_day_env_360d"]["lookback"]
+    return series.zero_filled(_env_series(t), AS_OF, days=days + 1, ahead=3)
 
 
 @query("u4_series_labels")
@@ -772,9 +773,12 @@ def _(t: Tables):
 
 @query("t4_stream_orphaned_ips")
 def _(t: Tables):
-    arriving = attachment_events(sinks.file_stream(t.spark, t.sf_dir, "events.parquet"))
+    run, events = sinks.StreamRun.new(t.spark), t.address_events()
+    path = f"{run.root}/in"
+    events.write.parquet(path)
+    alerts.end_of_input(events, wait_seconds=120).write.mode("append").parquet(path)
+    arriving = sinks.file_stream(t.spark, path, schema=events.schema)
     orphaned = alerts.orphaned_ip_stream(arriving, wait_seconds=120)
-    run = sinks.StreamRun.new(t.spark)
     sinks.run_appends(orphaned, run)
     return t.spark.read.schema(orphaned.schema).parquet(run.data)
 

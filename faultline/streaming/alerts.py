@@ -16,18 +16,19 @@ def run_sequential_failures(builds: DataFrame, run: StreamRun, n: int = 3) -> No
     """Keep the last ``n`` builds of every job across batches.
 
     Each batch merges its rows with the kept rows of the batch before and writes the new kept
-    rows to a folder of its own, so a repeated batch gives the same state. The merge is a
-    top-n per job, limited per task before the shuffle: a busy job is not sent to one task.
+    rows. Two folders take turns, so a repeated batch finds the state it began with and no more
+    than two states are stored. The merge is a top-n per job, limited per task before the
+    shuffle: a busy job is not sent to one task.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         rows = batch.select(*BUILD_COLUMNS)
         if batch_id > 0:
             kept = batch.sparkSession.read.schema(rows.schema).parquet(
-                f"{run.data}/batch_id={batch_id - 1}")
+                f"{run.data}/turn={(batch_id - 1) % 2}")
             rows = rows.unionByName(kept)
-        last_builds(rows, n).select(*BUILD_COLUMNS).write.mode("overwrite").parquet(
-            f"{run.data}/batch_id={batch_id}")
+        kept = last_builds(rows, n).select(*BUILD_COLUMNS, F.lit(batch_id).cast("long").alias("batch_id"))
+        kept.write.mode("overwrite").parquet(f"{run.data}/turn={batch_id % 2}")
 
     (builds.writeStream.foreachBatch(merge).option("checkpointLocation", run.checkpoint)
      .trigger(availableNow=True).start().awaitTermination())
@@ -46,7 +47,8 @@ def orphaned_ip_stream(events: DataFrame, *, wait_seconds: int = 120,
     """Addresses that were detached and not attached again within the wait.
 
     A left outer interval join; unmatched rows appear once the watermark has passed the
-    interval, so rows that are late by up to ``delay`` still count.
+    interval, so rows that are late by up to ``delay`` still count. The newest rows stay in
+    state until later events come, or the rows of ``end_of_input``.
     """
     detached, attached = _sides(events, wait_seconds)
     joined = detached.withWatermark("detached_at", delay).join(
@@ -55,6 +57,18 @@ def orphaned_ip_stream(events: DataFrame, *, wait_seconds: int = 120,
         "ip", F.col("detached_at").cast("timestamp_ntz").alias("detached_at"))
 
 
+def end_of_input(events: DataFrame, *, wait_seconds: int = 120,
+                 delay: str = "10 minutes") -> DataFrame:
+    """Two events that close an input: an address without name is detached and attached again, so
+    much later than the newest event that the watermark passes the waits of all others."""
+    ahead = F.expr(f"INTERVAL {delay}") + F.expr(f"INTERVAL '{2 * wait_seconds}' SECOND")
+    last = events.agg((F.max("event_time") + ahead).alias("at")).filter("at IS NOT NULL")
+    pair = [F.struct((F.col("at") + F.expr(f"INTERVAL '{i}' SECOND")).alias("event_time"),
+                     F.lit(kind).alias("kind")) for i, kind in enumerate(("detach", "attach"))]
+    return last.select(F.explode(F.array(*pair)).alias("e")).select(
+        F.lit("").alias("ip"), "e.event_time", "e.kind").select(*events.columns)
+
+
 def orphaned_ips_batch(events: DataFrame, *, wait_seconds: int = 120) -> DataFrame:
     """The same selection over stored events, as an anti join."""
     detached, attached = _sides(events, wait_seconds)

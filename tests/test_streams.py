@@ -86,20 +86,17 @@ def test_sequential_failures_across_batches_and_restart(spark, tables, tmp_path)
     assert process() == rows_of(failures_in_last(early, 3))
     write_files(builds.filter("end_date >= timestamp_ntz'2024-01-15'"), path, "end_date", 2)
     assert process() == rows_of(failures_in_last(builds, 3))
+    stored = spark.read.parquet(run.data)
+    assert stored.select("turn").distinct().count() == stored.select("batch_id").distinct().count() == 2
     builds.unpersist()
 
 
 @pytest.mark.parametrize("wait", [120, 7200])
-def test_orphaned_ips_equal_the_batch_up_to_the_watermark(spark, tables, tmp_path, wait):
+def test_orphaned_ips_equal_the_batch(spark, tables, tmp_path, wait):
     events = tables.address_events().persist()
     path = str(tmp_path / "in")
     write_files(events, path, "event_time", 3)
-    # A last event far ahead moves the watermark over all others.
-    spark.createDataFrame(
-        [("15.0.9.9", dt.datetime(2024, 3, 1), "detach"),
-         ("15.0.9.8", dt.datetime(2024, 3, 1), "attach")],
-        "ip string, event_time timestamp_ntz, kind string",
-    ).coalesce(1).write.mode("append").parquet(path)
+    alerts.end_of_input(events, wait_seconds=wait).write.mode("append").parquet(path)
     stream = alerts.orphaned_ip_stream(
         sinks.file_stream(spark, path, files_per_trigger=1), wait_seconds=wait)
     run = sinks.StreamRun(str(tmp_path / "run"))
