@@ -23,7 +23,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the threshold. The model is fitted on the documents
     of this input that have a label and are not held out; the scores cover all of them."""
     labels = table(spark, sf_dir, "labels")
-    model = op6_quality.train(op6_quality.feature_rows(docs), labels)
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    model = op6_quality.train(op6_quality.feature_rows(docs), labels, ids=ids)
     return op6_quality.keep_good(docs, model, QUALITY_THRESHOLD)
 
 

@@ -12,7 +12,8 @@ features.
 
 Edge cases: a NULL or empty text has all features 0 and is scored by them; of several labels for
 one id the smallest counts, rows without label, id or with another label than 0 and 1 train
-nothing; if no label is left, every score is 0.5; other columns are not read.
+nothing; repeated rows train once; if no label is left, every score is 0.5; other columns are not
+read.
 """
 
 from __future__ import annotations
@@ -220,12 +221,20 @@ def feature_rows(documents: DataFrame) -> DataFrame:
             .mapInArrow(compute, schema))
 
 
-def train(rows: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Additive:
-    """The model from feature rows and labels of ids that are not held out."""
+def train(rows: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
+          ids: DataFrame | None = None) -> Additive:
+    """The model from feature rows and labels of ids that are not held out; ``ids`` are the doc_id
+    of the rows, where they can be had without the features."""
     known = (labels.filter(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
              .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
              .agg(F.min("quality").cast("double").alias("quality")))
-    sample = (rows.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES)
+    found = (rows if ids is None else ids).select("doc_id").join(known, "doc_id").distinct().count()
+    if found > max_labelled:
+        # The smallest hashes and some to spare, so that no task sends the driver more than its part.
+        share = (max_labelled + 10 * max_labelled**0.5 + 100) / found
+        known = known.filter(F.xxhash64("doc_id") <= min(int(share * 2**64) - 2**63, 2**63 - 1))
+    sample = (rows.join(known, "doc_id").dropDuplicates(["doc_id", *FEATURES])
+              .orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES)
               .limit(max_labelled).select("quality", *FEATURES).toPandas())
     table = sample.to_numpy(float).reshape(-1, 1 + len(FEATURES))
     table = table[np.lexsort(table.T[::-1])]

@@ -221,6 +221,18 @@ def test_quality_learns_from_no_held_out_label(spark, sf_dir):
     assert as_rows(labels) == as_rows(turned)
 
 
+def test_quality_sample_has_the_smallest_hashes(spark, sf_dir, monkeypatch):
+    """A bounded sample, also of rows that are there twice."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    rows = op6_quality.feature_rows(table(spark, sf_dir, "documents"))
+    taken = []
+    monkeypatch.setattr(op6_quality, "fit", lambda x, y: taken.extend(map(tuple, x)))
+    op6_quality.train(rows.union(rows), labels, 20)
+    known = labels.filter(~op6_quality.held_out(F.col("doc_id"))).select("doc_id")
+    best = rows.join(known, "doc_id").orderBy(F.xxhash64("doc_id")).limit(20)
+    assert sorted(taken) == sorted(map(tuple, best.select(*op6_quality.FEATURES).collect()))
+
+
 def test_quality_edges(spark, sf_dir, odd, none):
     labels = table(spark, sf_dir, "labels")
     rows = op6_quality.classify(odd, labels).collect()
