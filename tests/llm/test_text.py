@@ -282,6 +282,26 @@ def test_page_lines(spark):
     assert op8_html.main_text(pages.union(pages)).count() == 2 * len(PAGES)
 
 
+WRAPPED = [
+    ("<div class='content no-sidebar'><p>a</div>", "a"), ("<div class='with-sidebar'>a</div>", "a"),
+    ("<div class='has-comments ad-free'><article>a</article></div>", "a"),
+    ("<div id='right-sidebar' class='menu-open'><main>a</main></div>", "a"),
+    ("<article class='post has-comments'>a</article>", "a"),
+    ("<article><h2 id='related-work'>a</h2><h2 id='search-algorithms'>b</h2><h3 id='copyright'>c</h3>"
+     "<h2 id=notice-period class=notice>d</h2><p class='notice'>e</article>", "a\nb\nc\nd\ne"),
+    ("<h2 id='copyright'>a</h2><div id='site-footer'>x</div><div class='x ad-box-2'>y</div>", "a"),
+    ("<main><section id='notice'>a</section><section id='comments'>x</section>"
+     "<div class='comment-list'>y</div><div class='share-buttons'>z</div></main>", "a"),
+    ("<article class='comment-body'>x</article><div class='cookie_banner'>y</div><p>a", "a"),
+    ("<div class='page-header'>x</div><div class='entry-header'>a</div>", "a"),
+]
+
+
+def test_names_count_as_whole_tokens():
+    for html, text in WRAPPED:
+        assert "\n".join(line for line, _ in op8_html.page_lines(html)) == text, html
+
+
 def test_shared_lines_of_the_nearest_page_go(spark):
     def page(i, *lines):
         return (i, f"http://h/{'a' if i < 100 else 'b'}/{i:05}", "".join(f"<p>{x}</p>" for x in lines))
