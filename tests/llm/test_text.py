@@ -315,6 +315,36 @@ def test_shared_lines_of_the_nearest_page_go(spark):
     assert one == found
 
 
+def test_copies_and_near_copies_are_looked_past(spark):
+    """Runs of copies longer than any block, near copies next door, a page inside its neighbour."""
+    def page(i, lines):
+        return (i, f"http://h/{i:05}", "".join(f"<p>{x}</p>" for x in lines))
+    menu, foot = ["Home", "News"], ["Contact"]
+    story = lambda n: [f"{w} of story {n} {w}" for w in ("begin", "middle", "turn", "close")]
+    rows, wanted = [], {}
+
+    def add(body, kept):
+        wanted[len(rows)] = "\n".join(kept)
+        rows.append(page(len(rows), menu + body + foot))
+    for i in range(20):
+        add(story(f"x{i}"), story(f"x{i}"))
+    for _ in range(300):
+        add(story("same"), story("same"))
+    for i in range(300):
+        near = [*story("near")[:3], f"edited {i}"]
+        add(near, near)
+    add(story("long") + ["an end"], story("long") + ["an end"])
+    add(story("long"), story("long"))
+    for i in range(3):
+        add(story(f"y{i}"), story(f"y{i}"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    found = {r.page_id: r.text for r in op8_html.main_text(pages).collect()}
+    assert [i for i in wanted if found[i] != wanted[i]] == []
+    # A host of copies alone has nothing to tell its menu by.
+    alone = op8_html.main_text(pages.filter("page_id between 100 and 200")).collect()
+    assert {r.text for r in alone} == {"\n".join(menu + story("same") + foot)}
+
+
 def test_page_query_keeps_the_article(spark, sf_dir):
     import html
     rows = {r.page_id: r.text for r in queries()["op8_html_text"](spark, sf_dir).collect()}
