@@ -1,7 +1,7 @@
 """Licence scan: canonical digests of whole texts, joined to the digests of known licences.
 
 Two texts with the same canonical form are the same licence text: case, punctuation, white space,
-comment marks, copyright lines and equivalent spellings do not matter. The canonical form of a
+comment marks, lines that state a copyright and equivalent spellings do not matter. The canonical form of a
 document's whole text and of each of its lines is hashed, so a document that is a licence and a
 document that carries a licence notice as a line of its own, are both found by the same equality
 join. Everything is built from SQL functions.
@@ -88,7 +88,16 @@ KNOWN = [
     ("CC0-1.0", "notice", "SPDX-License-Identifier: CC0-1.0"),
 ]
 
-# A line that states a copyright, after comment marks.
+# A line that states a copyright, after comment marks: with a sign or a year anywhere, with a name
+# alone only before the body, at most after a title. Other lines that begin with the word are lines
+# of a body that wrap there.
+STATED_LINE = (r"(?m)^[ \t/*#;-]*(?:©|&copy;|(?:copyright|\(c\))[ \t:,]*(?:\(c\)|©|&copy;|copyright|"
+               r"(?:by[ \t]+)?[0-9]{4}|[\[<{](?:year|yyyy)))[^\n]*$")
+NAMED_LINES = (r"\A([\s/*#;-]*+(?:[^\n]{0,40}licen[cs]e[^\n]{0,20}\n[\s/*#;-]*+)?)"
+               r"(?:(?:copyright|\(c\))[ \t:,]+(?!(?:notices?|holders?|owners?|laws?|statements?|"
+               r"licen[cs]\w*|interests?|protection|permission|and|or|in|of|is|on|to|you|as)\b)"
+               r"[^\n]*+[\s/*#;-]*+)+")
+# The SQL twin's pattern: every line that begins so. Equal on texts whose body has no such line.
 COPYRIGHT_LINE = r"(?m)^[ \t/*#;-]*(copyright|\(c\)|©)[^\n]*$"
 NOT_WORD = r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
 # Every known notice holds this, so lines without it need no digest.
@@ -108,7 +117,7 @@ def canonical(text: Column) -> Column:
             spelling = F.when(word == other, F.lit(one)).otherwise(spelling)
         return spelling
 
-    text = F.regexp_replace(lowered(text), COPYRIGHT_LINE, "")
+    text = F.regexp_replace(F.regexp_replace(lowered(text), STATED_LINE, ""), NAMED_LINES, "$1")
     words = F.split(F.trim(F.regexp_replace(text, NOT_WORD, " ")), " ")
     return F.array_join(F.transform(words, chosen), " ")
 
@@ -157,7 +166,8 @@ def scan(documents: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def oracle(known=None) -> str:
-    """DuckDB SQL for the same rows over the view ``documents``."""
+    """DuckDB SQL for the same rows over the view ``documents``, where no line of a text's body
+    begins with the word copyright or (c): this form takes every such line out."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     spelling = " ".join(f"when {quote(a)} then {quote(b)}" for a, b in SPELLINGS)
 

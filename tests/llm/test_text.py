@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -109,6 +110,40 @@ def test_licence_canonical_form(spark, odd, none):
     assert op2_license_scan.scan(odd, known.limit(0)).count() == odd.count()
 
 
+ISC_AS_USUAL = """ISC License
+
+Copyright (c) 2004-2010 by Internet Systems Consortium, Inc. ("ISC")
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+""" + op2_license_scan.ISC[op2_license_scan.ISC.index("\n\nTHE"):]
+HEADS = ["", "Copyright (c) 2020 Jo\n\n", "Copyright The Foo Authors\n(c) Jo Doe\n\n",
+         "/*\n * (C) Copyright Jo\n * © Jo\n * Copyright 2001, Jo\n */\n"]
+
+
+def test_licence_texts_in_any_wrapping(spark):
+    """Lines of a body that begin with the word copyright belong to it."""
+    cases = [("ISC", ISC_AS_USUAL)]
+    for licence, _, text in op2_license_scan.KNOWN:
+        for head in HEADS:
+            for width in (20, 33, 47, 60, 72, 76, 80, 100, 10_000):
+                body = "\n\n".join(textwrap.fill(" ".join(p.split()), width, break_long_words=False,
+                                                 break_on_hyphens=False) for p in text.split("\n\n"))
+                cases.append((licence, head + body))
+    assert any(re.search("(?mi)^copyright (notice|holders)", t) for _, t in cases[1:])
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)],
+                                 "doc_id long, text string")
+    rows = op2_license_scan.scan(docs, op2_license_scan.known_digests(spark)).collect()
+    assert [cases[r.doc_id] for r in rows if r.whole_licences != cases[r.doc_id][0]] == []
+    # Lists with letters and sentences about copyright are no statements.
+    plain = ["(c) You must keep this", "copyright holders be liable", "a\nCopyright Jo"]
+    kept = spark.createDataFrame([(t,) for t in plain], "text string").select(
+        op2_license_scan.canonical(F.col("text"))).collect()
+    assert [r[0] for r in kept] == ["c you must keep this", "copyright holders be liable",
+                                    "a copyright jo"]
+
+
 # -- personal data -----------------------------------------------------------------------------
 
 PLAIN = {
