@@ -2,13 +2,18 @@
 
 Two texts with the same canonical form are the same licence text: case, punctuation, white space,
 comment marks, lines that state a copyright and equivalent spellings do not matter. The canonical form of a
-document's whole text and of each of its lines is hashed, so a document that is a licence and a
-document that carries a licence notice as a line of its own, are both found by the same equality
-join. Everything is built from SQL functions.
-
-The known licences are a table (licence, scope, text): scope ``text`` is compared with whole
-texts and ``notice`` with whole texts and single lines. Its digests join as an ordinary table,
-whose size Spark knows.
+document's whole text, of each of its lines and of each of its paragraphs is hashed, so a document
+that is a licence, one that carries a licence notice as a line of its own and one whose code stands
+below a licence header are all found by the same equality join. Everything is built from SQL
+functions.
+
+The known licences are a table (licence, scope, text): scope ``text`` is compared with whole texts,
+``notice`` with whole texts and single lines, ``header`` with whole texts and paragraphs. A header
+is the paragraph that names the licence. Paragraphs end at lines without words, where block comments open
+and close and, in a second reading, where lines with and without a comment mark meet. The table is ``KNOWN`` and the file ``licences.jsonl``
+beside this module, read by the driver. Its digests join as an ordinary table, whose size Spark
+knows. Identifier expressions count only as far as they stand in the table; a ``+`` after a version
+in a line reads as "or later".
 
 Edge cases: a NULL or empty text, or one of copyright lines alone, has the canonical form "" and
 no licence; texts that match several known texts list each licence once, sorted; repeated rows
@@ -17,6 +22,10 @@ are scanned each; other columns are not read.
 
 from __future__ import annotations
 
+import json
+from functools import cache
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,8 +109,16 @@ NAMED_LINES = (r"\A([\s/*#;-]*+(?:[^\n]{0,40}licen[cs]e[^\n]{0,20}\n[\s/*#;-]*+)
 # The SQL twin's pattern: every line that begins so. Equal on texts whose body has no such line.
 COPYRIGHT_LINE = r"(?m)^[ \t/*#;-]*(copyright|\(c\)|©)[^\n]*$"
 NOT_WORD = r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
-# Every known notice holds this, so lines without it need no digest.
+# Every known notice and header holds this, so lines and paragraphs without it need no digest.
 NOTICE_MARK = "licen"
+# Between paragraphs: lines without words and the marks of a block comment; after a ``#!``. Also
+# where lines with and without a comment mark meet.
+NO_WORDS = r"\n(?:[ \t/*#;!<>-]*\n)+"
+SHEBANG = r"\A#![^\n]*"
+BLOCK_OPENS = r"\n([ \t]*(?:/\*|<!--))"
+BLOCK_CLOSES = r"((?:\*/|-->)[ \t]*\n)"
+COMMENT_ENDS = r"(?m)^([ \t]*(?:[/*#;-]|<!)[^\n]*\n)(?=[ \t]*[^ \t/*#;<\n-])"
+CODE_ENDS = r"(?m)^([ \t]*[^ \t/*#;<\n-][^\n]*\n)(?=[ \t]*(?:[/*#;]|--|<!))"
 
 
 def lowered(text: Column) -> Column:
@@ -126,35 +143,59 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
+@cache
+def known_texts() -> list[tuple[str, str, str]]:
+    """The table of known licences: KNOWN and the rows of the data file."""
+    with Path(__file__).with_name("licences.jsonl").open(encoding="utf-8") as lines:
+        rows = [json.loads(line) for line in lines]
+    return KNOWN + [(r["licence"], r["scope"], r["text"]) for r in rows]
+
+
 def known_digests(spark: SparkSession, known=None) -> DataFrame:
     """(scope, digest, licences) of the known texts; licences is a sorted list in one string."""
-    known = KNOWN if known is None else known
+    known = known_texts() if known is None else known
     for _, scope, text in known:
-        if scope == "notice" and NOTICE_MARK not in text.lower():
-            raise ValueError(f"a notice must hold {NOTICE_MARK!r}: {text!r}")
+        if scope in ("notice", "header") and NOTICE_MARK not in text.lower():
+            raise ValueError(f"a {scope} must hold {NOTICE_MARK!r}: {text!r}")
     table = spark.createDataFrame(known, "licence string, scope string, text string")
     licences = F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("licences")
     return (table.withColumn("digest", digest(F.col("text")))
             .groupBy("scope", "digest").agg(licences))
 
 
+def pieces(text: Column) -> Column:
+    """The lines of a text as notices and its paragraphs as headers: an array of (scope, piece)."""
+    def of(scope: str, parts: Column) -> Column:
+        return F.transform(F.filter(parts, lambda p: p.contains(NOTICE_MARK)),
+                           lambda p: F.struct(F.lit(scope).alias("scope"), p.alias("piece")))
+
+    low = lowered(text)
+    lines = F.split(F.regexp_replace(low, r"([0-9])\+(?=\s|$)", "$1 or later"), "\n")
+    bare = F.regexp_replace(low, SHEBANG, "")
+    bare = F.regexp_replace(F.regexp_replace(bare, BLOCK_OPENS, "\n\n$1"), BLOCK_CLOSES, "$1\n")
+    parted = F.regexp_replace(F.regexp_replace(bare, COMMENT_ENDS, "$1\n"), CODE_ENDS, "$1\n")
+    paragraphs = F.array_union(F.split(bare, NO_WORDS), F.split(parted, NO_WORDS))
+    return F.concat(of("notice", lines), of("header", paragraphs))
+
+
 def scan(documents: DataFrame, known: DataFrame) -> DataFrame:
     """Per document row: doc_id, digest of the canonical text, ``whole_licences`` of the text as
-    a whole and ``line_licences`` of its lines; each a sorted comma-joined list, empty if none."""
+    a whole and ``line_licences`` of its lines and, for headers, its paragraphs; each a sorted
+    comma-joined list, empty if none."""
     texts = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    of_text = (known.groupBy("digest")
-               .agg(F.array_join(F.array_sort(F.collect_set("licences")), ",").alias("whole")))
-    of_line = known.filter(F.col("scope") == "notice").select(
-        F.col("digest").alias("line_digest"), "licences")
+    one_list = lambda c: F.array_join(F.array_sort(F.array_distinct(F.flatten(
+        F.collect_list(F.split(c, ","))))), ",")
+    of_text = known.groupBy("digest").agg(one_list("licences").alias("whole"))
+    of_piece = known.filter(F.col("scope").isin("notice", "header")).select(
+        "scope", F.col("digest").alias("piece_digest"), "licences")
 
-    # Rows with the same id and the same text have the same lines; the pair is their key.
+    # Rows with the same id and the same text have the same pieces; the pair is their key.
     row = [F.col("doc_id"), F.xxhash64("text").alias("row_hash")]
-    lines = (texts.filter(lowered(F.col("text")).contains(NOTICE_MARK))
-             .select(*row, F.explode(F.split(lowered(F.col("text")), "\n")).alias("line"))
-             .filter(F.col("line").contains(NOTICE_MARK))
-             .select("doc_id", "row_hash", digest(F.col("line")).alias("line_digest")))
-    by_line = (lines.join(of_line, "line_digest").groupBy("doc_id", "row_hash")
-               .agg(F.array_join(F.array_sort(F.collect_set("licences")), ",").alias("by_line")))
+    found_pieces = (texts.filter(lowered(F.col("text")).contains(NOTICE_MARK))
+                    .select(*row, F.inline(pieces(F.col("text"))))
+                    .select("doc_id", "row_hash", "scope", digest(F.col("piece")).alias("piece_digest")))
+    by_line = (found_pieces.join(of_piece, ["scope", "piece_digest"]).groupBy("doc_id", "row_hash")
+               .agg(one_list("licences").alias("by_line")))
     whole = texts.select(*row, digest(F.col("text")).alias("digest"))
     found = whole.join(of_text, "digest", "left")
     same = found["doc_id"].eqNullSafe(by_line["doc_id"]) & (
@@ -166,7 +207,8 @@ def scan(documents: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def oracle(known=None) -> str:
-    """DuckDB SQL for the same rows over the view ``documents``, where no line of a text's body
+    """DuckDB SQL for the same rows over the view ``documents``, where no document holds a licence
+    of the data file alone and no line of a text's body
     begins with the word copyright or (c): this form takes every such line out."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     spelling = " ".join(f"when {quote(a)} then {quote(b)}" for a, b in SPELLINGS)

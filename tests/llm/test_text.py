@@ -144,6 +144,39 @@ def test_licence_texts_in_any_wrapping(spark):
                                     "a copyright jo"]
 
 
+def test_licence_table_covers_texts_headers_and_identifiers(spark):
+    rows = op2_license_scan.known_texts()
+    whole = {licence for licence, scope, _ in rows if scope == "text"}
+    assert whole >= {"MIT", "ISC", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0",
+                     "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense", "CC0-1.0", "CC-BY-4.0"}
+    apache = op2_license_scan.APACHE_HEADER
+    mpl = next(t for k, s, t in rows if (k, s) == ("MPL-2.0", "header") and "http" in t)
+    gpl = next(t for k, s, t in rows if (k, s) == ("GPL-2.0-or-later", "header"))
+    marked = lambda text, mark: "\n".join(
+        (mark + " " + x).rstrip() for p in text.split("\n\n") for x in [*textwrap.wrap(p, 50), ""])
+    cases = [
+        ("#!/bin/sh\n# Copyright 2020 Jo\n" + marked(apache, "#") + "\nimport os\n", "Apache-2.0"),
+        ("package x;\n/*\n * Copyright Jo\n *\n" + marked(apache, " *") + "/\nclass A {}", "Apache-2.0"),
+        (marked(gpl, "//").rstrip("/\n ") + "\nint main() {}", "GPL-2.0-or-later"),
+        ("/* " + "\n   ".join(textwrap.wrap(mpl, 60)) + " */\nx = 1;", "MPL-2.0"),
+        ("<!--\n" + mpl + "\n-->\n<p>x", "MPL-2.0"),
+        ("// SPDX-License-Identifier: GPL-3.0-or-later\nx", "GPL-3.0-or-later"),
+        ("# SPDX-License-Identifier: GPL-2.0+\nx", "GPL-2.0-or-later"),
+        ("x\n/* SPDX-License-Identifier: BSD-3-Clause */", "BSD-3-Clause"),
+        ("SPDX-License-Identifier: MIT OR Apache-2.0\nx", "Apache-2.0,MIT"),
+        ("a\nThis project is licensed under the GNU Lesser General Public License v2.1.\nb", "LGPL-2.1"),
+        ("the GPL and the Apache License, in prose", ""), (apache.split("\n\n")[-1] + "\nx", ""),
+    ]
+    texts = [(k, t) for k, s, t in rows if s == "text"]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)]
+                                 + [(100 + i, t) for i, (_, t) in enumerate(texts)],
+                                 "doc_id long, text string")
+    found = {r.doc_id: r for r in op2_license_scan.scan(
+        docs, op2_license_scan.known_digests(spark)).collect()}
+    assert [found[i].line_licences for i in range(len(cases))] == [want for _, want in cases]
+    assert [k for i, (k, _) in enumerate(texts) if found[100 + i].whole_licences != k] == []
+
+
 # -- personal data -----------------------------------------------------------------------------
 
 PLAIN = {
