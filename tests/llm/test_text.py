@@ -423,6 +423,46 @@ def test_page_query_keeps_the_article(spark, sf_dir):
         assert rows[page.page_id] == "\n".join(x for x in lines if x)
 
 
+def test_difference_matches_plain_on_pages_without_article(spark, sf_dir):
+    """The pages of the table without their article tags, on few hosts, some of them copies."""
+    rows = []
+    for p in table(spark, sf_dir, "pages").orderBy("page_id").limit(120).collect():
+        body = re.sub("</?article>", "", p.html)
+        site = p.page_id % 5
+        head = "".join(f"<p>menu {site} {w}</p>" for w in ("home", "news", "about"))
+        for copy in range(1 + 3 * (p.page_id % 7 == 0)):
+            edit = f"<p>edit {copy}" if p.page_id % 2 else ""
+            rows.append((len(rows), f"http://h{site}.org/{p.page_id // 9}/{p.page_id}/{copy}",
+                         head + body + edit))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    found = {r.page_id: r.text for r in op8_html.main_text(pages).collect()}
+
+    read = {i: [t for t, _ in op8_html.page_lines(h)] for i, _, h in rows}
+    order = sorted((u.split("/")[2], "/" + u.split("/", 3)[3], i) for i, u, _ in rows)
+
+    def other(i, path, places):
+        """The first page of other content on the way."""
+        for host_path_id in places:
+            p, j = host_path_id[1:]
+            same = [x for x, s in zip(read[i], op8_html.shared_lines(read[i], read[j])) if s]
+            least = min(sum(map(len, read[i])), sum(map(len, read[j])))
+            if read[j] and sum(map(len, same)) <= op8_html.COPY_SHARE * least:
+                return [(op8_html.common_beginning(path, p), j)]
+        return []
+    cut_lines = 0
+    for at, (host, path, i) in enumerate(order):
+        before = [o for o in order[:at][::-1] if o[0] == host]
+        after = [o for o in order[at + 1:] if o[0] == host]
+        near = other(i, path, before) + other(i, path, after)
+        text = read[i]
+        if near:
+            best = max(near, key=lambda o: o[0])[1]
+            text = [x for x, s in zip(text, op8_html.shared_lines(text, read[best])) if not s]
+        cut_lines += len(read[i]) - len(text)
+        assert found[i] == "\n".join(text), i
+    assert cut_lines >= 3 * len(rows) / 2
+
+
 # -- shingles ----------------------------------------------------------------------------------
 
 def plain_classes(rows):
