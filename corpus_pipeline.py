@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.llm import op4_pii, op5_jaccard, op6_quality, op9_packing, op10_decontamination
-from faultline.llm.common import shared_dir, table
+from faultline.llm.common import cut, shared_dir, table
 from faultline.llm.queries import PATTERN, TOKENIZER
 
 QUALITY_THRESHOLD = 0.3
@@ -29,13 +29,26 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of linked documents: that of the smallest id. Documents without
-    words or without an id link with nothing and stay; of rows that share their id one stays."""
-    classes = op5_jaccard.components(docs)
-    extra = classes.filter("component_id != doc_id").select("doc_id").distinct()
-    kept = docs.join(extra, "doc_id", "left_anti").select(*docs.columns)
-    with_id = kept.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    return with_id.union(kept.filter(F.col("doc_id").isNull()))
+    """One document of each class of linked documents: that of the smallest id. A document is a
+    row's id and text, taken by its 64-bit hash, so texts that share an id are documents of their
+    own and of equal rows one stays. Documents without words or without an id link with nothing and
+    stay."""
+    key = f"key_{uuid.uuid4().hex}"
+    doc_id = F.col("doc_id").cast("long")
+    keyed = docs.withColumn(key, F.when(doc_id.isNotNull(),
+                                        F.xxhash64(doc_id, F.col("text").cast("string"))))
+    classes = op5_jaccard.components(keyed.select(F.col(key).alias("doc_id"), "text"))
+    linked = cut(classes.filter("component_id != doc_id")
+                 .select(F.col("doc_id").alias(key), "component_id").distinct())
+    roots = linked.select(F.col("component_id").alias(key), "component_id").distinct()
+    ids = keyed.filter(F.col(key).isNotNull()).select(key, doc_id.alias("doc_id"))
+    members = cut(linked.union(roots).join(ids, key).distinct())
+    first = members.groupBy("component_id").agg(F.min(F.struct("doc_id", key))[key].alias(key))
+    extra = members.select(key).join(first.select(key), key, "left_anti")
+    kept = keyed.join(extra, key, "left_anti")
+    one = kept.filter(F.col(key).isNotNull()).dropDuplicates([key])
+    return one.select(*docs.columns).union(
+        kept.filter(F.col(key).isNull()).select(*docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -289,3 +289,14 @@ def test_pipeline_edges(spark, tmp_path, sf_dir):
     none = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, sf_dir).count() == 0
+
+
+def test_near_duplicates_of_texts_that_share_an_id(spark, sf_dir):
+    """Different texts under one id stay; copies go whatever their ids, the smallest id stays."""
+    one, two, three = ("a b c d e f g", "other words that say something else", "neither of the two")
+    rows = [(5, one), (5, two), (5, two), (2, three), (9, one), (7, two), (2, one), (8, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string").repartition(4)
+    kept = corpus_pipeline.near_duplicates(spark, docs, sf_dir)
+    assert kept.schema == docs.schema
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(
+        [(2, one), (5, two), (2, three), (8, None), (8, "")], key=str)
