@@ -598,5 +598,31 @@ def test_contamination_query_matches_plain(spark, sf_dir):
         assert (r.n_words, r.n_hit, r.n_items) == (n, len(hit), len(met))
 
 
+def test_contamination_query_matches_plain_on_all_documents(spark, sf_dir):
+    """Every document and every column, by a set of the benchmark's windows."""
+    find = lambda t: re.findall("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", (t or "").translate(
+        {c: c + 32 for c in range(65, 91)}))
+    size, windows = op10_decontamination.WINDOW, {}
+    for r in table(spark, sf_dir, "benchmark").collect():
+        own = find(r.text)
+        for i in range(max(1, len(own) - size + 1) if own else 0):
+            windows.setdefault(tuple(own[i:i + size]), set()).add(str(r.item_id))
+    lengths = {len(w) for w in windows}
+    wanted = []
+    for doc, text in texts(spark, sf_dir).items():
+        words, hit, met = find(text), set(), set()
+        for n in lengths:
+            for j in range(len(words) - n + 1):
+                if (of := windows.get(tuple(words[j:j + n]))) is not None:
+                    hit.update(range(j, j + n))
+                    met |= of
+        digest = hashlib.sha256(",".join(sorted(met)).encode()).hexdigest()
+        wanted.append((doc, len(words), len(hit), len(met), digest, bool(hit)))
+    rows = queries()["op10_decontamination"](spark, sf_dir)
+    assert rows.columns == ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    assert sorted(map(tuple, rows.collect())) == sorted(wanted)
+    assert 0 < sum(r[-1] for r in wanted) < len(wanted)
+
+
 def test_duckdb_is_here():
     assert duckdb.sql("select 1").fetchall() == [(1,)]
