@@ -66,6 +66,23 @@ def number_within(df: DataFrame, group: str, order: list[str], name: str, rows:
             .drop("_cell", "_start"))
 
 
+def finite_vectors(embeddings: DataFrame, scale: int) -> DataFrame:
+    """vec_id and x, floor(scale * c) of every component c as a double, for the vectors that are
+    not NULL and hold no NULL or non-finite component. Whole numbers end at 2^52."""
+    c = F.col("embedding").cast("array<double>")
+    good = F.forall(c, lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) < float("inf")), F.lit(False)))
+    end = F.lit(float(1 << 52))
+    whole = lambda v: F.floor(F.greatest(-end, F.least(v * scale, end)))
+    return (embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), c.alias("embedding"))
+            .filter(F.col("embedding").isNotNull() & good)
+            .select("vec_id", F.transform("embedding", whole).alias("x")))
+
+
+def matrix_of(column: pa.Array, width: int) -> np.ndarray:
+    """A column of arrays of ``width`` whole numbers as the rows of a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, width)
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -9,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from faultline.llm import (
     op1_url_filter, op2_license_scan, op3_topk, op4_pii, op5_jaccard, op6_quality, op7_sharding,
-    op8_html, op9_packing, op10_decontamination,
+    op8_html, op9_packing, op10_decontamination, op11_whitening, op12_centroids, op13_token_files,
 )
-from faultline.llm.common import table
+from faultline.llm.common import shared_dir, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 PATTERN = public_tokenizers.PATTERN
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_url_filter_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,17 +61,40 @@ def op10_decontamination_documents(spark: SparkSession, sf_dir: str) -> DataFram
                                        table(spark, sf_dir, "benchmark"))
 
 
+def op11_whitening_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_whitening.whiten(table(spark, sf_dir, "embeddings"), count=16)
+
+
+def op12_centroids_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_centroids.cluster(table(spark, sf_dir, "embeddings"), centroids=16, rounds=3)
+
+
+def op13_token_files_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    return op13_token_files.write_and_read(table(spark, sf_dir, "documents"), path, WORD_TOKENIZER)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__.replace("_pages", "").replace("_documents", ""): f for f in (
+    def named(f: Callable) -> str:
+        for of_table in ("_pages", "_documents", "_embeddings"):
+            f_name = f.__name__.removesuffix(of_table)
+            if f_name != f.__name__:
+                return f_name
+        return f.__name__
+
+    return {named(f): f for f in (
         op1_url_filter_pages, op2_license_scan_documents, op3_exact_topk, op4_pii_spans,
         op5_ngram_jaccard, op6_quality_scores, op7_shards, op8_html_text,
-        op9_packing_documents, op10_decontamination_documents, pipeline)}
+        op9_packing_documents, op10_decontamination_documents,
+        op11_whitening_embeddings, op12_centroids_embeddings, op13_token_files_documents,
+        pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": op2_license_scan.oracle()}
+    return {"op2_license_scan": op2_license_scan.oracle(),
+            "op12_centroids": op12_centroids.oracle()}
