@@ -13,7 +13,7 @@ the separator is the end mark, so the file holds ids and nothing else. (Of an en
 are no ASCII, the separator is a padding id 0 behind it.)
 
 Documents are dealt into ranges of (doc_id, hash of the text), sorted, encoded and cut into shards
-of at most ``SHARD_BYTES`` and one document; so shards in the order of their names hold the
+of at most a bounded size and one document; so shards in the order of their names hold the
 documents in ascending order, NULL ids first.
 
 A key is (doc_id, copy): equal ids are numbered from 0 in file order. Each index part holds about
@@ -31,6 +31,10 @@ are not read.
 from __future__ import annotations
 
 import io
+import json
+import os
+import re
+import string
 import zlib
 from dataclasses import dataclass
 
@@ -41,11 +45,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.llm.common import mix
+from faultline.llm.op9_packing import _byte_names
 
-RANGE_BYTES = 32 << 20
-SHARD_BYTES = 32 << 20
+# Bytes of a shard: a hundred-thousandth of the texts within these bounds.
+SHARD_BYTES = (8 << 20, 256 << 20)
 PART_KEYS = 500_000
-CACHED_WORDS = 200_000
+REMEMBERED = 150_000
 END = 2
 # Bits of a level per key that reaches it.
 ROOM = 2
@@ -58,25 +63,88 @@ _U = np.uint64
 # -- encoding ------------------------------------------------------------------------------------
 
 class Encoder:
-    """Ids of whole texts as bytes. White space parts no fewer words than the tokenizer does, so a
-    text is the sequence of its pieces between ASCII white space; each goes to the library once."""
+    """Ids of whole texts as bytes.
+
+    Of a tokenizer that drops white space, lower-cases and merges inside words (``_by_word``), a text
+    is the sequence of its pieces between ASCII white space, so each piece is encoded once and
+    remembered while it is in use. A piece of letters alone, or these before punctuation, needs
+    only the merges of the file's model; any other goes through the whole library, as do whole texts
+    under any other tokenizer.
+    """
 
     def __init__(self, path: str, width: int | None = None):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
         self.width = width or id_width(self.library.get_vocab_size())
-        self.known: dict[bytes, bytes] = {}
-
-    def _ids(self, piece: bytes) -> bytes:
-        ids = self.library.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids
-        out = np.array(ids, f"<u{self.width}").tobytes()
-        if len(self.known) < CACHED_WORDS and len(piece) < 64:
-            self.known[piece] = out
+        with open(path, encoding="utf-8") as f:
+            self.by_word = _by_word(json.load(f))
+        # Words met of late and, beside them, those met before; each kind is bounded.
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return np.array(ids, f"<u{self.width}").tobytes()
+
+    def _whole(self, text: bytes) -> bytes:
+        return self._bytes(self.library.encode(text.decode("utf-8", "replace"),
+                                               add_special_tokens=False).ids)
+
+    def _fresh(self, piece: bytes) -> bytes:
+        word = piece.rstrip(_PUNCTUATION)
+        if word.isalpha() or _LETTERS.fullmatch(word.decode("utf-8", "replace")):
+            marks = piece[len(word):]
+            return self._word(word) + (self._piece(marks) if marks else b"")
+        return self._whole(piece)
+
+    def _word(self, word: bytes) -> bytes:
+        low = word.decode().lower().encode().decode("latin-1").translate(_BYTE_NAMES)
+        return self._bytes([t.id for t in self.library.model.tokenize(low)])
+
+    def _piece(self, piece: bytes) -> bytes:
+        out = self.old.get(piece)
+        if out is None:
+            out = self._fresh(piece)
+            if len(piece) > 64:
+                return out
+        if len(self.young) >= REMEMBERED:
+            self.old, self.young = self.young, {}
+        self.young[piece] = out
         return out
 
     def __call__(self, text: bytes) -> bytes:
-        known = self.known
-        return b"".join([known[p] if p in known else self._ids(p) for p in text.split()])
+        if not self.by_word:
+            return self._whole(text)
+        find, piece = self.young.get, self._piece
+        out = []
+        for p in text.split():
+            ids = find(p)
+            if ids is None:
+                ids = piece(p)
+                find = self.young.get
+            out.append(ids)
+        return b"".join(out)
+
+
+# Letters that stay letters, one for one, under normalisation and lower case.
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ]+")
+_PUNCTUATION = string.punctuation.encode()
+_BYTE_NAMES = {i: c for i, c in _byte_names().items()}
+
+
+def _by_word(file: dict) -> bool:
+    """Whether the tokenizer file normalises, parts and merges as ``Encoder`` needs for words."""
+    parts = (file.get("pre_tokenizer") or {}).get("pretokenizers") or [{}, {}]
+    split, level = parts[0], parts[-1]
+    steps = [n["type"] for n in (file.get("normalizer") or {}).get("normalizers") or []]
+    pattern = (split.get("pattern") or {}).get("Regex", "")
+    return (steps == ["NFC", "Replace", "Lowercase"] and len(parts) == 2
+            and split.get("type") == "Split" and split.get("behavior") == "Removed"
+            and split.get("invert") is True and pattern.endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+            and level.get("type") == "ByteLevel" and not level.get("add_prefix_space")
+            and not level.get("use_regex") and file["model"]["type"] == "BPE"
+            and not any(any(c.isspace() for c in t["content"]) or t.get("lstrip") or t.get("rstrip")
+                        for t in file.get("added_tokens") or []))
 
 
 def id_width(vocabulary: int) -> int:
@@ -116,13 +184,14 @@ def write_ids(documents: DataFrame, path: str, tokenizer: str, end: int = END) -
                             F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     cores = spark.sparkContext.defaultParallelism
-    ranges = max(-(-size // RANGE_BYTES), min(cores, -(-size // (1 << 20))), 1)
+    limit = min(max(size // 100_000, SHARD_BYTES[0]), SHARD_BYTES[1])
+    # The ids take about half the bytes of a text.
+    ranges = max(-(-size // (2 * limit)), min(cores, -(-size // (1 << 20))), 1)
     hashed = rows.withColumn("hash", F.xxhash64("text"))
     ordered = (hashed.repartitionByRange(int(ranges), F.col("doc_id").asc_nulls_first(), "hash")
                .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "hash", "text")
                .select(F.spark_partition_id().alias("range"), "doc_id",
                        F.col("text").cast("binary").alias("text")))
-    limit = SHARD_BYTES
 
     def encode(batches):
         encoder, piece, filled, number = Encoder(tokenizer, width), 0, 0, 0
@@ -144,7 +213,7 @@ def write_ids(documents: DataFrame, path: str, tokenizer: str, end: int = END) -
                 record = np.array([(doc or 0, len(whole) // width, crc, doc is None)], RECORD)
                 out += [("ids", shard, number, ids + tail), ("rows", shard, number, record.tobytes())]
                 number, held = number + 1, held + len(whole)
-                if held > 8 << 20:
+                if held > 4 << 20:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
                     out, held = [], 0
@@ -476,24 +545,25 @@ def read_documents(keys: DataFrame, layout: Layout, with_ids: bool = False) -> D
                .join(shards.select("shard", "number", "start"), "shard")
                .select("number", "start", "content"))
 
-    def read(rows: pd.DataFrame, files: pd.DataFrame) -> pd.DataFrame:
-        columns = [c.split()[0] for c in schema.split(", ")]
-        if rows.empty or files.empty:
-            return pd.DataFrame({c: pd.Series(dtype="object") for c in columns})
-        content, start = files["content"].iloc[0], int(files["start"].iloc[0])
-        rows = rows.sort_values("at", kind="stable")
-        crcs, ids = [], []
-        for at, row, n in zip(rows["at"], rows["row"], rows["n"]):
-            wide = np.frombuffer(content, f"<u{width}", int(n), int(at * width + row * padding))
-            wide = wide.astype("<u4").tobytes()
-            crcs.append(zlib.crc32(wide))
-            ids.append(wide if with_ids else None)
-        out = pd.DataFrame({
-            "doc_id": rows["doc_id"].where(rows["null"] == 0).astype("Int64"), "copy": rows["copy"],
-            "start": start + rows["at"], "n_tokens": rows["n"], "ids_crc32": crcs, "ids": ids})
-        return out[columns]
-
-    return places.groupBy("number").cogroup(payload.groupBy("number")).applyInPandas(read, schema)
+    # The slices are cut out where the shard is joined, so no task holds more than a shard of ids.
+    cut_out = places.join(payload, "number").select(
+        F.when(F.col("null") == 0, F.col("doc_id")).alias("doc_id"), "copy",
+        (F.col("start") + F.col("at")).alias("start"), F.col("n").alias("n_tokens"),
+        F.expr(f"substring(content, cast(at * {width} + row * {padding} + 1 as int), "
+               f"cast(n * {width} as int))").alias("ids"))
+
+    def digest(batches):
+        for batch in batches:
+            wide = [np.frombuffer(ids.as_buffer(), f"<u{width}").astype("<u4").tobytes()
+                    for ids in batch.column("ids")]
+            columns = [batch.column(c) for c in ("doc_id", "copy", "start", "n_tokens")]
+            columns.append(pa.array([zlib.crc32(w) for w in wide], pa.int64()))
+            names = ["doc_id", "copy", "start", "n_tokens", "ids_crc32"]
+            if with_ids:
+                columns, names = [*columns, pa.array(wide, pa.binary())], [*names, "ids"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return cut_out.mapInArrow(digest, schema)
 
 
 def write_and_read(documents: DataFrame, path: str, tokenizer: str) -> DataFrame:

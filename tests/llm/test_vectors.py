@@ -16,7 +16,7 @@ from faultline.llm.common import table
 from faultline.llm.op11_whitening import top_eigenpairs, whiten
 from faultline.llm.op12_centroids import VantageTree, cluster
 from faultline.llm.op13_token_files import IndexPart, build_index, read_documents, write_ids
-from faultline.llm.queries import WORD_TOKENIZER, oracle_sql, queries
+from faultline.llm.queries import TOKENIZER, WORD_TOKENIZER, oracle_sql, queries
 from tests.compare import connect, differences
 
 VECTORS = "vec_id long, embedding array<float>, x string, cluster int, n long"
@@ -242,7 +242,7 @@ ODD_DOCS = [(None, "no id"), (None, None), (5, None), (3, ""), (3, ""), (3, "sam
 
 @pytest.mark.parametrize("rows", [ODD_DOCS, [], [(1, None)], [(4, "same")] * 30])
 def test_token_files_of_odd_tables(spark, tmp_path, rows, monkeypatch):
-    monkeypatch.setattr(op13_token_files, "SHARD_BYTES", 200)
+    monkeypatch.setattr(op13_token_files, "SHARD_BYTES", (200, 200))
     df = spark.createDataFrame([(i, t, 1, 2, "n") for i, t in rows], DOCS)
     found = op13_token_files.write_and_read(df, str(tmp_path / "files"), WORD_TOKENIZER).collect()
     check_tokens(rows, found)
@@ -257,6 +257,32 @@ def test_pieces_give_the_ids_of_the_whole_text(parts):
     assert ids.tolist() == encoder.library.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(
+    list("aZé9Ǆİß²Σ.,'!*|<> ") + ["ll", "'s", "The", "<|endoftext|>", "=\u0338", "~~~", "ŉ"])))
+def test_words_and_punctuation_give_the_ids_of_the_whole_text(parts):
+    text, encoder = "".join(parts), _encoder()
+    ids = np.frombuffer(encoder(text.encode()), "<u2")
+    assert ids.tolist() == encoder.library.encode(text, add_special_tokens=False).ids
+
+
+def test_forgetting_words_changes_no_ids(monkeypatch):
+    monkeypatch.setattr(op13_token_files, "REMEMBERED", 3)
+    encoder = op13_token_files.Encoder(WORD_TOKENIZER)
+    text = "a few words, a few more words and a few of the first words again " * 3
+    expected = encoder.library.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(encoder(text.encode()), "<u2").tolist() == expected
+    assert len(encoder.young) <= 3 and len(encoder.old) <= 3
+
+
+def test_other_tokenizers_get_whole_texts():
+    encoder = op13_token_files.Encoder(TOKENIZER)
+    text = "two  spaces\nand <|endoftext|> more"
+    assert not encoder.by_word
+    assert np.frombuffer(encoder(text.encode()), "<u2").tolist() == (
+        encoder.library.encode(text, add_special_tokens=False).ids)
+
+
 def _encoder(known=[]):  # noqa: B006
     if not known:
         known.append(op13_token_files.Encoder(WORD_TOKENIZER))
@@ -265,7 +291,7 @@ def _encoder(known=[]):  # noqa: B006
 
 @pytest.mark.parametrize("end", [2, 49407])
 def test_keyed_access_by_small_reads(spark, sf_dir, tmp_path, end, monkeypatch):
-    monkeypatch.setattr(op13_token_files, "SHARD_BYTES", 20_000)
+    monkeypatch.setattr(op13_token_files, "SHARD_BYTES", (20_000, 20_000))
     monkeypatch.setattr(op13_token_files, "PART_KEYS", 50)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     docs = docs.union(docs.filter("doc_id < 3")).union(
