@@ -34,9 +34,9 @@ import io
 import json
 import os
 import re
-import string
 import zlib
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -50,7 +50,6 @@ from faultline.llm.op9_packing import _byte_names
 # Bytes of a shard: a hundred-thousandth of the texts within these bounds.
 SHARD_BYTES = (8 << 20, 256 << 20)
 PART_KEYS = 500_000
-REMEMBERED = 150_000
 END = 2
 # Bits of a level per key that reaches it.
 ROOM = 2
@@ -65,71 +64,84 @@ _U = np.uint64
 class Encoder:
     """Ids of whole texts as bytes.
 
-    Of a tokenizer that drops white space, lower-cases and merges inside words (``_by_word``), a text
-    is the sequence of its pieces between ASCII white space, so each piece is encoded once and
-    remembered while it is in use. A piece of letters alone, or these before punctuation, needs
-    only the merges of the file's model; any other goes through the whole library, as do whole texts
-    under any other tokenizer.
+    Of a tokenizer that drops white space, lower-cases and merges inside words (``_by_word``), texts
+    of settled characters are parted into words here and merged by a faster reader of the same
+    vocabulary: a mark ends each word in place of the file's suffix, and as the tokens with a suffix
+    of one byte come first, the mark joins the last byte before any other merge. White space parts
+    no fewer words than the tokenizer does, so of other texts only the pieces between white space
+    that hold an unsettled character go through the file's own library, as do very long words,
+    pieces with the beginning of a special token, and whole texts under any other tokenizer.
     """
 
     def __init__(self, path: str, width: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-        self.library = Tokenizer.from_file(path)
-        self.width = width or id_width(self.library.get_vocab_size())
+        self.path, self._library = path, None
         with open(path, encoding="utf-8") as f:
-            self.by_word = _by_word(json.load(f))
-        # Words met of late and, beside them, those met before; each kind is bounded.
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+            file = json.load(f)
+        vocabulary = file["model"]["vocab"]
+        special = {t["content"] for t in file.get("added_tokens") or []}
+        size = max([*vocabulary.values(), *(t["id"] for t in file.get("added_tokens") or [])]) + 1
+        self.width = width or id_width(size)
+        self.fast = _word_merges(vocabulary, special) if _by_word(file) else None
 
-    def _bytes(self, ids: list[int]) -> bytes:
+    @property
+    def library(self):
+        if self._library is None:
+            from tokenizers import Tokenizer
+            self._library = Tokenizer.from_file(self.path)
+        return self._library
+
+    def _whole(self, text: str) -> list[int]:
+        return self.library.encode(text, add_special_tokens=False).ids
+
+    def _settled(self, text: str) -> list[int]:
+        words = _WORDS.findall(text.lower())
+        if not words:
+            return []
+        if max(map(len, words)) > LONG_WORD:
+            return self._whole(text)
+        return self.fast.encode_ordinary(_MARK.join(words) + _MARK)
+
+    def __call__(self, text: bytes) -> bytes:
+        whole = text.decode("utf-8", "replace")
+        if self.fast is None:
+            ids = self._whole(whole)
+        elif "<|" not in whole and _SETTLED.fullmatch(whole):
+            ids = self._settled(whole)
+        else:
+            ids = []
+            for odd, run in groupby(text.split(), key=_odd):
+                part = b" ".join(run).decode("utf-8", "replace")
+                ids += self._whole(part) if odd else self._settled(part)
         return np.array(ids, f"<u{self.width}").tobytes()
 
-    def _whole(self, text: bytes) -> bytes:
-        return self._bytes(self.library.encode(text.decode("utf-8", "replace"),
-                                               add_special_tokens=False).ids)
-
-    def _fresh(self, piece: bytes) -> bytes:
-        word = piece.rstrip(_PUNCTUATION)
-        if word.isalpha() or _LETTERS.fullmatch(word.decode("utf-8", "replace")):
-            marks = piece[len(word):]
-            return self._word(word) + (self._piece(marks) if marks else b"")
-        return self._whole(piece)
-
-    def _word(self, word: bytes) -> bytes:
-        low = word.decode().lower().encode().decode("latin-1").translate(_BYTE_NAMES)
-        return self._bytes([t.id for t in self.library.model.tokenize(low)])
-
-    def _piece(self, piece: bytes) -> bytes:
-        out = self.old.get(piece)
-        if out is None:
-            out = self._fresh(piece)
-            if len(piece) > 64:
-                return out
-        if len(self.young) >= REMEMBERED:
-            self.old, self.young = self.young, {}
-        self.young[piece] = out
-        return out
 
-    def __call__(self, text: bytes) -> bytes:
-        if not self.by_word:
-            return self._whole(text)
-        find, piece = self.young.get, self._piece
-        out = []
-        for p in text.split():
-            ids = find(p)
-            if ids is None:
-                ids = piece(p)
-                find = self.young.get
-            out.append(ids)
-        return b"".join(out)
+# Characters whose class, lower case and normal form are settled; letters, others.
+_LETTERS = "a-zA-ZªµºÀ-ÖØ-öø-įı-ɏ"
+_OTHERS = "!-/:-@\\[-`{-~¡-©«-±´¶-¸»¿×÷‐-‧‰-⁞€"
+_SETTLED = re.compile(f"[ \t\n\r\x0b\x0c0-9{_LETTERS}{_OTHERS}]*")
+_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[{_OTHERS}]+")
+_MARK = "\x01"
+LONG_WORD = 500
+
+
+def _odd(piece: bytes) -> bool:
+    return b"<|" in piece or not _SETTLED.fullmatch(piece.decode("utf-8", "replace"))
 
 
-# Letters that stay letters, one for one, under normalisation and lower case.
-_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ]+")
-_PUNCTUATION = string.punctuation.encode()
-_BYTE_NAMES = {i: c for i, c in _byte_names().items()}
+def _word_merges(vocabulary: dict[str, int], special: set[str]):
+    import tiktoken
+    to_byte = {c: b for b, c in _byte_names().items()}
+    ranks = {}
+    for token, i in vocabulary.items():
+        if token not in special:
+            word = token.removesuffix("</w>")
+            end = _MARK.encode() if word != token else b""
+            ranks[bytes(to_byte[c] for c in word) + end] = i
+    if len(ranks) != len(vocabulary) - len(special & set(vocabulary)):
+        raise ValueError("the vocabulary has a token with the byte of the mark")
+    return tiktoken.Encoding("words", pat_str="[^\x01]+\x01", mergeable_ranks=ranks,
+                             special_tokens={})
 
 
 def _by_word(file: dict) -> bool:
@@ -143,6 +155,7 @@ def _by_word(file: dict) -> bool:
             and split.get("invert") is True and pattern.endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
             and level.get("type") == "ByteLevel" and not level.get("add_prefix_space")
             and not level.get("use_regex") and file["model"]["type"] == "BPE"
+            and file["model"].get("end_of_word_suffix") == "</w>"
             and not any(any(c.isspace() for c in t["content"]) or t.get("lstrip") or t.get("rstrip")
                         for t in file.get("added_tokens") or []))
 
@@ -545,12 +558,14 @@ def read_documents(keys: DataFrame, layout: Layout, with_ids: bool = False) -> D
                .join(shards.select("shard", "number", "start"), "shard")
                .select("number", "start", "content"))
 
-    # The slices are cut out where the shard is joined, so no task holds more than a shard of ids.
-    cut_out = places.join(payload, "number").select(
-        F.when(F.col("null") == 0, F.col("doc_id")).alias("doc_id"), "copy",
-        (F.col("start") + F.col("at")).alias("start"), F.col("n").alias("n_tokens"),
-        F.expr(f"substring(content, cast(at * {width} + row * {padding} + 1 as int), "
-               f"cast(n * {width} as int))").alias("ids"))
+    # All slices of a shard are cut out at once, so its bytes are copied once and not per document.
+    piece = F.struct(F.when(F.col("null") == 0, F.col("doc_id")).alias("doc_id"), "copy",
+                     *[F.col(c).cast("int").alias(c) for c in ("row", "at", "n")])
+    asked_of = places.groupBy("number").agg(F.collect_list(piece).alias("pieces"))
+    cut_out = asked_of.join(payload, "number").select(F.inline(F.transform("pieces", lambda p: F.struct(
+        p["doc_id"].alias("doc_id"), p["copy"].alias("copy"), (F.col("start") + p["at"]).alias("start"),
+        p["n"].cast("long").alias("n_tokens"),
+        F.substr("content", p["at"] * width + p["row"] * padding + 1, p["n"] * width).alias("ids")))))
 
     def digest(batches):
         for batch in batches:

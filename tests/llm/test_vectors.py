@@ -266,19 +266,19 @@ def test_words_and_punctuation_give_the_ids_of_the_whole_text(parts):
     assert ids.tolist() == encoder.library.encode(text, add_special_tokens=False).ids
 
 
-def test_forgetting_words_changes_no_ids(monkeypatch):
-    monkeypatch.setattr(op13_token_files, "REMEMBERED", 3)
-    encoder = op13_token_files.Encoder(WORD_TOKENIZER)
-    text = "a few words, a few more words and a few of the first words again " * 3
-    expected = encoder.library.encode(text, add_special_tokens=False).ids
-    assert np.frombuffer(encoder(text.encode()), "<u2").tolist() == expected
-    assert len(encoder.young) <= 3 and len(encoder.old) <= 3
+def test_long_words_and_other_texts_give_the_ids_of_the_library(spark, sf_dir):
+    encoder = _encoder()
+    texts = [r.text or "" for r in table(spark, sf_dir, "documents").collect()]
+    texts += ["a" * 3000 + " b", "日本 a few words 語 x", "", "  ", "\x01 x\x01", "²³ ª º µ ½"]
+    for text in texts:
+        ids = np.frombuffer(encoder(text.encode()), "<u2")
+        assert ids.tolist() == encoder.library.encode(text, add_special_tokens=False).ids
 
 
 def test_other_tokenizers_get_whole_texts():
     encoder = op13_token_files.Encoder(TOKENIZER)
     text = "two  spaces\nand <|endoftext|> more"
-    assert not encoder.by_word
+    assert encoder.fast is None
     assert np.frombuffer(encoder(text.encode()), "<u2").tolist() == (
         encoder.library.encode(text, add_special_tokens=False).ids)
 
