@@ -558,27 +558,23 @@ def read_documents(keys: DataFrame, layout: Layout, with_ids: bool = False) -> D
                .join(shards.select("shard", "number", "start"), "shard")
                .select("number", "start", "content"))
 
-    # All slices of a shard are cut out at once, so its bytes are copied once and not per document.
-    piece = F.struct(F.when(F.col("null") == 0, F.col("doc_id")).alias("doc_id"), "copy",
-                     *[F.col(c).cast("int").alias(c) for c in ("row", "at", "n")])
-    asked_of = places.groupBy("number").agg(F.collect_list(piece).alias("pieces"))
-    cut_out = asked_of.join(payload, "number").select(F.inline(F.transform("pieces", lambda p: F.struct(
-        p["doc_id"].alias("doc_id"), p["copy"].alias("copy"), (F.col("start") + p["at"]).alias("start"),
-        p["n"].cast("long").alias("n_tokens"),
-        F.substr("content", p["at"] * width + p["row"] * padding + 1, p["n"] * width).alias("ids")))))
-
-    def digest(batches):
-        for batch in batches:
-            wide = [np.frombuffer(ids.as_buffer(), f"<u{width}").astype("<u4").tobytes()
-                    for ids in batch.column("ids")]
-            columns = [batch.column(c) for c in ("doc_id", "copy", "start", "n_tokens")]
-            columns.append(pa.array([zlib.crc32(w) for w in wide], pa.int64()))
-            names = ["doc_id", "copy", "start", "n_tokens", "ids_crc32"]
-            if with_ids:
-                columns, names = [*columns, pa.array(wide, pa.binary())], [*names, "ids"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return cut_out.mapInArrow(digest, schema)
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def read(rows: pa.Table, files: pa.Table) -> pa.Table:
+        # A group is a shard: its bytes are shared by all slices, and nothing else is held.
+        if not rows.num_rows or not files.num_rows:
+            return pa.table({c: pa.array([], pa.int64() if c != "ids" else pa.binary())
+                             for c in names})
+        content = files.column("content")[0].as_buffer()
+        doc, null, copy, row, at, n = (rows.column(c).to_numpy()
+                                       for c in ("doc_id", "null", "copy", "row", "at", "n"))
+        wide = [np.frombuffer(content, f"<u{width}", b, a).astype("<u4").tobytes()
+                for a, b in zip((at * width + row * padding).tolist(), n.tolist())]
+        columns = [pa.array(doc, mask=null == 1), copy, at + files.column("start")[0].as_py(), n,
+                   pa.array([zlib.crc32(w) for w in wide], pa.int64()), pa.array(wide, pa.binary())]
+        return pa.table(dict(zip(names, columns)))
+
+    return places.groupBy("number").cogroup(payload.groupBy("number")).applyInArrow(read, schema)
 
 
 def write_and_read(documents: DataFrame, path: str, tokenizer: str) -> DataFrame:
