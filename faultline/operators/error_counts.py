@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions.errors import is_error, is_legacy_error, is_reportable
 from faultline.functions.text import extract_bad_ip
-from faultline.functions.times import Bucket, until, within
+from faultline.functions.times import Bucket, instant, interval, until, within
 from faultline.operators.failures import recent_passes
 
 
@@ -26,11 +26,22 @@ def tests_in_context(passes: DataFrame, results: DataFrame, *, as_of=None,
         recent.select("test_pass_id", *pass_columns), "test_pass_id", how).drop("test_pass_id")
 
 
+def recent_log(actions: DataFrame, as_of, lookback: tuple[int, str] | None) -> DataFrame:
+    """The actions that a report over the lookback can hold. In a stored log an action starts no
+    earlier than its test, so of a log that carries its date only the days of the lookback are
+    read; a log without dates is cut at its end alone."""
+    if lookback is not None and "event_date" in actions.columns:
+        first = (instant(as_of) - interval(*lookback)).cast("date")
+        actions = actions.filter(F.col("event_date") >= first)
+    return until(actions, as_of)
+
+
 def errors_per_test(actions: DataFrame, keep: Column, as_of, keys: tuple[str, ...],
-                    loose: tuple[str, ...] = ()) -> DataFrame:
+                    loose: tuple[str, ...] = (), lookback: tuple[int, str] | None = None
+                    ) -> DataFrame:
     """Errors counted per test and ``keys`` before any join: the log is combined where it is
     read, so a test that owns much of it becomes a few rows."""
-    return (until(actions, as_of).filter(keep).groupBy("test_id", *keys)
+    return (recent_log(actions, as_of, lookback).filter(keep).groupBy("test_id", *keys)
             .agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in loose]))
 
 
@@ -45,7 +56,7 @@ def error_counts(passes: DataFrame, results: DataFrame, actions: DataFrame, *,
     errors = errors_per_test(
         actions, is_error(F.col("error_type")) if keep is None else keep, as_of,
         keys=tuple(c for c in keys if c in ACTION_COLUMNS),
-        loose=tuple(c for c in loose if c in ACTION_COLUMNS))
+        loose=tuple(c for c in loose if c in ACTION_COLUMNS), lookback=lookback)
     tests = tests_in_context(
         passes, results, as_of=as_of, lookback=lookback, environ=environ,
         min_concurrency=min_concurrency,
@@ -68,7 +79,7 @@ def errors_by_bucket(passes: DataFrame, results: DataFrame, actions: DataFrame,
     per zone; the smallest function name of each group is shown."""
     zones = ("zone",) if zone else ()
     errors = errors_per_test(actions, is_reportable(F.col("error_type")), as_of,
-                             keys=("error_type",), loose=("function_name",))
+                             keys=("error_type",), loose=("function_name",), lookback=lookback)
     tests = tests_in_context(
         passes, results, as_of=as_of, lookback=lookback, environ=environ,
         min_concurrency=min_concurrency, test_columns=("concurrency_count", "time_started"),
@@ -89,7 +100,7 @@ def unpingable_ips(passes: DataFrame, results: DataFrame, actions: DataFrame, *,
     """How often each address failed to answer, per day."""
     pings = actions.withColumn("bad_ip", extract_bad_ip(F.col("error_text")))
     errors = errors_per_test(pings, F.col("error_type") == "Ping Timeout", as_of,
-                             keys=("bad_ip", "error_type"))
+                             keys=("bad_ip", "error_type"), lookback=lookback)
     tests = tests_in_context(
         passes, results, as_of=as_of, lookback=lookback, environ=environ,
         test_columns=("time_started",), pass_columns=("environ_name", "zone"))
@@ -107,7 +118,7 @@ def recent_error_detail(passes: DataFrame, results: DataFrame, actions: DataFram
     """The error rows themselves."""
     tests = tests_in_context(passes, results, as_of=as_of, lookback=lookback,
                              pass_columns=("environ_name",))
-    errors = until(actions, as_of).filter(is_error(F.col("error_type")))
+    errors = recent_log(actions, as_of, lookback).filter(is_error(F.col("error_type")))
     return errors.join(tests, "test_id").select(
         "environ_name", "function_name", "error_type", "error_text")
 

@@ -83,6 +83,56 @@ def retry_attempts(actions: DataFrame, *, delay: int = 5, back_off: int = 2,
                            gap.alias("gap_seconds"), expected.alias("expected_gap"))
 
 
+def retry_episodes(actions: DataFrame, *, tries: int = 5, delay: int = 5, back_off: int = 2,
+                   grain: str = "hour") -> DataFrame:
+    """Attempts as the retry policy makes them: numbered anew after a success and after the last of
+    ``tries``, with the gap to the attempt before and the gap the policy asks for.
+
+    Islands between successes are numbered inside time chunks of a test and function; a chunk's
+    first island goes on from the failures that ended the chunks before it, which come as one
+    summary row per chunk. So no busy test is sorted in one task.
+    """
+    order = ["time_started", "time_end", F.col("error_type").asc_nulls_first()]
+    group = ["test_id", "function_name"]
+    rows = actions.select(*group, "time_started", "time_end", "error_type").withColumns({
+        "_ok": is_success(F.col("error_type")).cast("int"),
+        # Never NULL, so rows without a test or call have a key as well.
+        "_key": F.struct(*group), "_chunk": CHUNKS[grain](F.col("time_started"))})
+    local = Window.partitionBy("_key", "_chunk").orderBy(*order)
+    rows = rows.withColumn("_island", F.coalesce(
+        F.sum("_ok").over(local.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    island = Window.partitionBy("_key", "_chunk", "_island").orderBy(*order)
+    rows = rows.withColumns({"_n": F.row_number().over(island),
+                             "_prev": F.lag("time_end").over(island)})
+
+    # What a chunk leaves to the next: the attempts since its last success and the last one's end.
+    chunks = rows.groupBy("_key", "_chunk").agg(
+        F.max("_ok").alias("_any"),
+        F.max(F.struct("_island", "_n", "_ok", "time_end")).alias("_end"))
+    left = F.when(F.col("_end._ok") == 1, 0).otherwise(F.col("_end._n"))
+    across = Window.partitionBy("_key").orderBy("_chunk")
+    runs = chunks.withColumn("_run", F.sum("_any").over(
+        across.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_left", left)
+    so_far = F.sum("_left").over(Window.partitionBy("_key", "_run").orderBy("_chunk")
+                                 .rowsBetween(Window.unboundedPreceding, 0))
+    runs = runs.withColumn("_open", so_far)
+    carried = runs.select("_key", "_chunk", F.lag("_open").over(across).alias("_carry"),
+                          F.lag("_end.time_end").over(across).alias("_before"))
+
+    joined = rows.join(carried.filter("_carry > 0"), ["_key", "_chunk"], "left")
+    first = F.col("_island") == 0
+    place = F.col("_n") + F.when(first, F.coalesce("_carry", F.lit(0))).otherwise(0)
+    attempt = (place - 1) % tries + 1
+    previous = F.when(first & (F.col("_n") == 1), F.col("_before")).otherwise(F.col("_prev"))
+    later = F.col("attempt") > 1
+    return joined.withColumns({"attempt": attempt.cast("bigint"), "_previous": previous}).select(
+        *group, "time_started", "time_end", "error_type", "attempt",
+        F.when(later, elapsed_seconds(F.col("_previous"), F.col("time_started")))
+        .alias("gap_seconds"),
+        F.when(later, F.lit(float(delay)) * F.pow(F.lit(back_off), F.col("attempt") - 2))
+        .alias("expected_gap"))
+
+
 def effective_zone(zone: Column, label: Column) -> Column:
     """A label overrides the zone when given."""
     return F.coalesce(label, zone)

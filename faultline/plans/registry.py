@@ -15,9 +15,9 @@ from faultline.operators import (
     series, snapshots,
 )
 from faultline.plans import reports
-from faultline.sources import readers, storage
+from faultline.sources import readers, storage, versions
 from faultline.sources.derived import AS_OF, Tables
-from faultline.streaming import alerts, rates, sinks
+from faultline.streaming import alerts, keyed, rates, sinks
 
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
 
@@ -464,6 +464,14 @@ def _(t: Tables):
     return rollup.retry_attempts(t.test_actions())
 
 
+@query("r4_retry_episodes")
+def _(t: Tables):
+    # All calls of a hundredth of the tests as one call, so that episodes repeat and span chunks.
+    calls = t.test_actions().withColumns({"test_id": F.col("test_id") % 100,
+                                          "function_name": F.lit("call")})
+    return rollup.retry_episodes(calls)
+
+
 @query("r5_effective_zone")
 def _(t: Tables):
     label = F.when(F.col("test_pass_id") % 4 == 0, F.concat(F.col("zone"), F.lit("-v1")))
@@ -722,6 +730,32 @@ for _index, _name in enumerate(["passes", "results", "actions"]):
         *_log(t), F.col("zone").isin("NATION_2", "NATION_3"))[i])
 
 
+@query("w3_stored_upsert")
+def _(t: Tables):
+    tables = versions.VersionedTables(t.spark, storage.shared_dir(t.spark), grain="year")
+    tables.append(test_passes=t.test_passes())
+    tables.upsert_pass_ends(t.milestones_log())
+    return tables.read("test_passes")
+
+
+@query("w4_stored_scrub")
+def _(t: Tables):
+    tables = versions.VersionedTables(t.spark, storage.shared_dir(t.spark), grain="year")
+    tables.append(test_actions=t.test_actions())
+    tables.scrub("test_actions", maintenance.ERROR_SCRUBS)
+    return tables.read("test_actions").select(
+        "test_id", "function_name", "time_started", "error_type", "error_text")
+
+
+@query("w6_stored_cascade")
+def _(t: Tables):
+    tables = versions.VersionedTables(t.spark, storage.shared_dir(t.spark), grain="year")
+    passes, results, actions = _log(t)
+    tables.append(test_passes=passes, test_results=results, test_actions=actions)
+    tables.cascade_delete(F.col("zone").isin("NATION_2", "NATION_3"))
+    return tables.read("test_actions")
+
+
 # -- streams -------------------------------------------------------------------------------
 
 def _tests_env(t: Tables) -> DataFrame:
@@ -753,6 +787,27 @@ def _(t: Tables):
     return rates.failure_rates(t.spark, run)
 
 
+@query("t1_late_tests")
+def _(t: Tables):
+    run = sinks.StreamRun.new(t.spark)
+    log = _in_files(t.test_actions().select("test_id", "time_started"), run)
+    tests = _tests_env(t)
+    # While the stream runs only every third test is stored; the others come after their actions.
+    rates.run_request_counts(log, tests.filter("test_id % 3 = 0"), run, window="1 hour",
+                             slide="30 minutes")
+    return rates.request_rates(t.spark, run, 3600, tests=tests)
+
+
+@query("t2_late_passes")
+def _(t: Tables):
+    run = sinks.StreamRun.new(t.spark)
+    columns = ["test_pass_id", "time_started", "hard_errors_exist"]
+    passes = t.test_passes()
+    rates.run_failure_counts(_in_files(t.test_results().select(*columns), run),
+                             passes.filter("test_pass_id % 3 = 0"), run)
+    return rates.failure_rates(t.spark, run, passes=passes)
+
+
 class _StreamedEvents(Tables):
     """Tables whose events arrive as a stream."""
 
@@ -771,6 +826,24 @@ def _(t: Tables):
     return alerts.current_failures(t.spark, run, schema, 3)
 
 
+@query("t3_keyed_sequential_failures")
+def _(t: Tables):
+    arriving = _StreamedEvents(t.spark, t.sf_dir).build_details()
+    run = sinks.StreamRun.new(t.spark)
+    sinks.run_updates(keyed.sequential_failure_updates(arriving, 3), run)
+    return sinks.latest_rows(t.spark, run, keyed.FAILURES, ["name"])
+
+
+@query("t4_timed_orphaned_ips")
+def _(t: Tables):
+    run, events = sinks.StreamRun.new(t.spark), t.address_events()
+    path = f"{run.root}/in"
+    events.write.parquet(path)
+    sinks.run_appends(keyed.orphaned_ip_timers(
+        sinks.file_stream(t.spark, path, schema=events.schema)), run)
+    return t.spark.read.schema(keyed.ORPHANED).parquet(run.data)
+
+
 @query("t4_stream_orphaned_ips")
 def _(t: Tables):
     run, events = sinks.StreamRun.new(t.spark), t.address_events()

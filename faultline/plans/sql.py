@@ -685,6 +685,22 @@ def _statements() -> dict[str, str]:
         from (select *, row_number() over w as attempt, lag(time_end) over w as previous
               from test_actions window w as (partition by test_id, function_name
                 order by time_started, time_end))"""
+    # Islands end with a success; NULL types sort first on both sides.
+    order = "order by time_started, time_end, error_type nulls first"
+    calls = """select test_id % 100 as test_id, 'call' as function_name, time_started, time_end,
+        error_type, case when coalesce(error_type, '') in ('', 'None') then 1 else 0 end as ok
+      from test_actions"""
+    islands = f"""select *, coalesce(sum(ok) over (partition by test_id {order}
+        rows between unbounded preceding and 1 preceding), 0) as island from ({calls})"""
+    q["r4_retry_episodes"] = f"""select test_id, function_name, time_started, time_end,
+          error_type, attempt,
+          case when attempt > 1 then cast(epoch(time_started - previous) as double) end
+            as gap_seconds,
+          case when attempt > 1 then cast(5 * power(2, attempt - 2) as double) end
+            as expected_gap
+        from (select *, (row_number() over w - 1) % 5 + 1 as attempt,
+                lag(time_end) over w as previous
+              from ({islands}) window w as (partition by test_id, island {order}))"""
     q["r5_effective_zone"] = """select test_pass_id,
           coalesce(case when test_pass_id % 4 = 0 then zone || '-v1' end, zone) as zone
         from test_passes"""
@@ -855,6 +871,8 @@ def _statements() -> dict[str, str]:
         from test_results"""
     q["w5_assign_ids"] = """select (select max(test_id) from test_results)
           + row_number() over (order by time_started, test_id) as result_id, time_started, test_id from test_results"""
+    q["w3_stored_upsert"] = q["w3_upsert_pass_end"]
+    q["w4_stored_scrub"] = q["w4_scrub_errors"]
     q["w6_orphan_check"] = """
         select 'results-passes' as relation, count(*) as orphans from test_results
           where test_pass_id not in (select test_pass_id from test_passes
@@ -872,6 +890,7 @@ def _statements() -> dict[str, str]:
         where test_pass_id is null or test_pass_id not in {gone}"""
     q["w6_cascade_delete_actions"] = f"""select * from test_actions where test_id not in
         (select test_id from test_results where test_pass_id in {gone})"""
+    q["w6_stored_cascade"] = q["w6_cascade_delete_actions"]
 
     q["t1_stream_request_rate"] = f"""select w as window_start, environ_name,
           count(*) as requests, count(*) / 3600.0::double as rps
@@ -887,13 +906,19 @@ def _statements() -> dict[str, str]:
           avg(hard_errors_exist) as failure_rate
         from test_results t join test_passes tp on tp.test_pass_id = t.test_pass_id
         group by all"""
+    q["t1_late_tests"] = q["t1_stream_request_rate"]
+    q["t2_late_passes"] = q["t2_stream_failure_rate"]
     q["t3_stream_sequential_failures"] = _SEQUENTIAL
+    q["t3_keyed_sequential_failures"] = _SEQUENTIAL
     orphaned = """select ip, event_time as detached_at from address_events d
         where kind = 'detach' and not exists (select 1 from address_events a
           where a.kind = 'attach' and a.ip = d.ip and a.event_time > d.event_time
             and a.event_time <= d.event_time + interval {} second)"""
     q["t4_orphaned_ips_batch"] = orphaned.format(7200)
     q["t4_stream_orphaned_ips"] = orphaned.format(120)
+    # What is due when the watermark, ten minutes behind the newest event, has passed its wait.
+    q["t4_timed_orphaned_ips"] = orphaned.format(120) + """ and event_time + interval 120 second
+          < (select max(event_time) from address_events) - interval 10 minute"""
     return q
 
 

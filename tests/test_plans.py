@@ -77,8 +77,18 @@ def test_reports_read_only_the_days_of_their_lookback(spark, sf_dir, tmp_path):
         error_counts.error_counts(*log, keys=("environ_name", "error_type"), **back),
         requests.actions_per_env(*log, as_of=AS_OF, lookback=(60, "minute")),
     ]
+    reports += [
+        error_counts.errors_by_bucket(*log, bucket=DAY_ISO, environ="ASIA", min_concurrency=1, **back),
+        error_counts.unpingable_ips(*log, bucket=DAY_ISO, environ="ASIA", **back),
+        error_counts.recent_error_detail(*log, **back),
+    ]
     for report in reports:
         assert re.search(r"PartitionFilters: \[[^\]]*event_date", plan_of(report))
+    # The error reports read no day of any table, the log included, outside the lookback.
+    for report in [reports[1], *reports[3:]]:
+        for filters in re.findall(r"PartitionFilters: \[([^\]]*)\]", plan_of(report)):
+            assert re.search(r"event_date#\d+ >= 2001-06-26", filters), filters
+            assert re.search(r"event_date#\d+ <= 2001-07-03", filters), filters
     plain = [getattr(tables, n)() for n in kept]
     want = failures.failure_rate(*plain[:2], bucket=DAY_ISO, keys=("zone",), **back)
     assert reports[0].collect() == want.collect()

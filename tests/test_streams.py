@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from faultline.operators.builds import failures_in_last
 from faultline.sources.derived import Tables
-from faultline.streaming import alerts, rates, sinks
+from faultline.streaming import alerts, keyed, rates, sinks
 
 BASE = dt.datetime(2001, 6, 1, 12)
 
@@ -52,7 +52,7 @@ def test_failure_rate_over_several_batches(spark, tables, tmp_path):
     assert process() == expected(early)
     write_files(results.filter("test_id % 3 = 0"), path, "test_id", 2)
     assert process() == expected(results)
-    assert spark.read.parquet(run.data).select("batch_id").distinct().count() >= 4
+    assert max(int(f.stem) for f in (tmp_path / "run" / "manifest").glob("*.json")) >= 3
     results.unpersist()
 
 
@@ -115,3 +115,124 @@ def test_orphaned_ips_equal_the_batch(spark, tables, tmp_path, wait):
                     and not any(at < a <= at + limit for a in attach.get(ip, []))), key=repr)
     assert rows_of(got) == brute
     events.unpersist()
+
+
+# -- attributes that come later, compaction, keyed state ------------------------------------------
+
+def test_attributes_stored_after_the_facts_still_count(spark, tables, tmp_path, monkeypatch):
+    """Tests are stored in three steps while the stream runs; some only after it."""
+    monkeypatch.setattr(rates, "COMPACT", 3)
+    log = tables.test_actions().select("test_id", "time_started").cache()
+    tests = tables.test_results().select("test_id", (F.col("test_id") % 3).cast("string")
+                                         .alias("environ_name")).cache()
+    write_files(log, str(tmp_path / "in"), "test_id % 5, test_id", 8)
+    run, calls = sinks.StreamRun(str(tmp_path / "run")), []
+
+    def stored_by_now():
+        calls.append(1)
+        return tests.filter(F.col("test_id") % 10 < len(calls))
+
+    stream = sinks.file_stream(spark, str(tmp_path / "in"), files_per_trigger=1)
+    rates.run_request_counts(stream, stored_by_now, run, window="1 hour", slide="1 hour")
+    assert len(calls) == 8
+    known = log.join(tests, "test_id")
+    late = known.filter("test_id % 10 >= 8").count()
+    assert late > 0
+    waiting = rates.waiting_counts(spark, run, "test_id", ["requests"])
+    unknown = log.join(tests.select("test_id"), "test_id", "left_anti").count()
+    assert waiting.agg(F.sum("requests")).first()[0] == late + unknown
+    total = lambda df: df.agg(F.sum("requests")).first()[0]
+    assert total(rates.request_rates(spark, run, 3600)) == known.count() - late
+    rows = rates.request_rates(spark, run, 3600, tests=tests)
+    want = known.groupBy(F.window("time_started", "1 hour").alias("w"), "environ_name").agg(
+        F.count("*").alias("requests")).select("w.start", "environ_name", "requests")
+    assert rows_of(rows.select("environ_name", "requests", F.col("window_start").alias("start"))
+                   ) == rows_of(want.withColumn("start", F.col("start").cast("timestamp_ntz")))
+    # Folders: at most the compacted list, the waiting counts and those of the manifest before.
+    assert len(list((tmp_path / "run" / "data").iterdir())) <= 2 * (3 + 2)
+    assert len(list((tmp_path / "run" / "manifest").glob("*.json"))) == 2
+
+
+def test_a_repeated_batch_counts_once(spark, tables, tmp_path):
+    """The commit of the last batch is lost: the batch runs again and gives the same rates."""
+    results = tables.test_results().select("test_pass_id", "time_started", "hard_errors_exist")
+    write_files(results, str(tmp_path / "in"), "time_started", 3)
+    run = sinks.StreamRun(str(tmp_path / "run"))
+
+    def process():
+        stream = sinks.file_stream(spark, str(tmp_path / "in"), files_per_trigger=1)
+        rates.run_failure_counts(stream, tables.test_passes(), run)
+        return rows_of(rates.failure_rates(spark, run))
+
+    first = process()
+    commits = tmp_path / "run" / "checkpoint" / "commits"
+    for name in ("2", ".2.crc"):
+        (commits / name).unlink(missing_ok=True)
+    assert process() == first
+
+
+@pytest.mark.parametrize("files", [1, 4])
+def test_keyed_failures_equal_the_batch_and_survive_a_restart(spark, tables, tmp_path, files):
+    builds = tables.build_details().cache()
+    path, run = str(tmp_path / "in"), sinks.StreamRun(str(tmp_path / "run"))
+
+    def process():
+        stream = sinks.file_stream(spark, path, schema=builds.schema, files_per_trigger=1)
+        sinks.run_updates(keyed.sequential_failure_updates(stream, 3), run)
+        return rows_of(sinks.latest_rows(spark, run, keyed.FAILURES, ["name"]))
+
+    # The newest come first, so older ones must not push them out.
+    write_files(builds.filter("end_date >= timestamp_ntz'2024-01-15'"), path, "end_date desc", files)
+    assert process() == rows_of(failures_in_last(
+        builds.filter("end_date >= timestamp_ntz'2024-01-15'"), 3))
+    write_files(builds.filter("end_date < timestamp_ntz'2024-01-15'"), path, "end_date", files)
+    assert process() == rows_of(failures_in_last(builds, 3))
+
+
+def test_state_holds_no_more_than_the_last_builds():
+    """Whatever the history, a job's state is n rows."""
+    import pandas as pd
+
+    class Kept:
+        rows = []
+
+        def exists(self):
+            return bool(self.rows)
+
+        def get(self):
+            return iter(self.rows)
+
+        def put(self, rows):
+            self.rows = rows
+
+    processor = keyed.LastBuilds(3)
+    processor.kept = Kept()
+    for at in range(100):
+        part = pd.DataFrame({"at": range(at * 50, at * 50 + 50), "id": [str(i) for i in range(50)],
+                             "failed": [i % 2 == 0 for i in range(50)]})
+        list(processor.handleInputRows(("job",), iter([part]), None))
+        assert len(processor.kept.rows) == 3
+    assert [r[0] for r in processor.kept.rows] == [4999, 4998, 4997]
+
+
+@pytest.mark.parametrize("wait,swap", [(120, False), (7200, True)])
+def test_timed_orphans_equal_the_batch_for_any_order_within_the_delay(
+        spark, tables, tmp_path, wait, swap):
+    events = tables.address_events().cache()
+    ranked = events.withColumn("_slice", F.expr("ntile(8) over (order by event_time)")).cache()
+    path = str(tmp_path / "in")
+    for i in [2, 1, 4, 3, 6, 5, 8, 7] if swap else range(1, 9):
+        (ranked.filter(F.col("_slice") == i).drop("_slice").coalesce(1)
+         .write.mode("append").parquet(path))
+    stream = sinks.file_stream(spark, path, schema=events.schema, files_per_trigger=1)
+    run = sinks.StreamRun(str(tmp_path / "run"))
+    first, last = events.agg(F.min("event_time"), F.max("event_time")).first()
+    delay = (last - first) / 3 if swap else dt.timedelta(minutes=10)
+    seconds = int(delay.total_seconds())
+    sinks.run_appends(keyed.orphaned_ip_timers(
+        stream, wait_seconds=wait, delay=f"{seconds} seconds"), run)
+    got = spark.read.schema(keyed.ORPHANED).parquet(run.data)
+    due = last - dt.timedelta(seconds=seconds + wait)
+    want = alerts.orphaned_ips_batch(events, wait_seconds=wait).filter(F.col("detached_at") < F.lit(due))
+    assert want.count() > 0
+    assert rows_of(got) == rows_of(want)
