@@ -97,6 +97,7 @@ KNOWN = [
     ("CC0-1.0", "notice", "SPDX-License-Identifier: CC0-1.0"),
 ]
 
+# Groups that repeat over lines are possessive: such a loop takes no stack, however many lines.
 # A line that states a copyright, after comment marks: with a sign or a year anywhere, with a name
 # alone only before the body, at most after a title. Other lines that begin with the word are lines
 # of a body that wrap there.
@@ -105,7 +106,7 @@ STATED_LINE = (r"(?m)^[ \t/*#;-]*(?:©|&copy;|(?:copyright|\(c\))[ \t:,]*(?:\(c\
 NAMED_LINES = (r"\A([\s/*#;-]*+(?:[^\n]{0,40}licen[cs]e[^\n]{0,20}\n[\s/*#;-]*+)?)"
                r"(?:(?:copyright|\(c\))[ \t:,]+(?!(?:notices?|holders?|owners?|laws?|statements?|"
                r"licen[cs]\w*|interests?|protection|permission|and|or|in|of|is|on|to|you|as)\b)"
-               r"[^\n]*+[\s/*#;-]*+)+")
+               r"[^\n]*+[\s/*#;-]*+)++")
 # The SQL twin's pattern: every line that begins so. Equal on texts whose body has no such line.
 COPYRIGHT_LINE = r"(?m)^[ \t/*#;-]*(copyright|\(c\)|©)[^\n]*$"
 NOT_WORD = r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
@@ -113,7 +114,7 @@ NOT_WORD = r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
 NOTICE_MARK = "licen"
 # Between paragraphs: lines without words and the marks of a block comment; after a ``#!``. Also
 # where lines with and without a comment mark meet.
-NO_WORDS = r"\n(?:[ \t/*#;!<>-]*\n)+"
+NO_WORDS = r"\n(?:[ \t/*#;!<>-]*+\n)++"
 SHEBANG = r"\A#![^\n]*"
 BLOCK_OPENS = r"\n([ \t]*(?:/\*|<!--))"
 BLOCK_CLOSES = r"((?:\*/|-->)[ \t]*\n)"

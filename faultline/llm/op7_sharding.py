@@ -1,8 +1,9 @@
 """Sharding as vector bin packing: bytes, tokens and rows balanced jointly.
 
 Rows with equal texts form a group that stays together. The many small groups are gathered by
-hash into bundles; a group that alone weighs more than a bundle is an item of its own, cut by the
-hash of its ids into parts of about a bundle if it holds several rows. Bundles and large groups
+hash into bundles; a group that alone weighs more than a bundle is an item of its own. Only a group
+of more bytes than a shard's share cannot stay whole: it is cut by the hash of its ids into parts
+of about a bundle. Bundles, large groups and parts
 are at most a fixed number of items per shard, whatever the size of the corpus, and go to the
 driver as three sums each. There they are placed from large to small, each in the shard where the
 dot product of its vector with the residual capacities is highest.
@@ -64,10 +65,11 @@ def assign(documents: DataFrame, shards: int = 40, weights=WEIGHTS) -> DataFrame
     bundles = shards * BUNDLES
     share = max(total / bundles, 1)
 
-    # At most ``bundles`` groups weigh more than the share of a bundle.
+    # At most ``bundles`` groups weigh more than the share of a bundle, and their parts are no more.
     large = (rows.groupBy("group").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
              .filter(F.col("bytes") > share))
-    parts = F.least(F.ceil(F.col("bytes") / share), F.col("n")).cast("long")
+    parts = F.when(F.col("bytes") * shards <= total, 1).otherwise(
+        F.least(F.ceil(F.col("bytes") / share), F.col("n"))).cast("long")
     large = spark.createDataFrame(large.select("group", parts.alias("parts")).collect(),
                                   "group long, parts long")
     part = F.pmod(F.xxhash64("doc_id", "size"), F.col("parts"))
