@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.functions.numbers import ratio
-from faultline.functions.times import Bucket, instant, within
+from faultline.functions.times import Bucket, instant, micros, within
 
 
 def recent_passes(passes: DataFrame, as_of, lookback: tuple[int, str] | None,
@@ -88,16 +88,32 @@ def failure_rate_moving_avg(passes: DataFrame, results: DataFrame, *, as_of, per
         .groupBy("environ_name", "time_started")
         .agg(F.sum("n").alias("n"), F.sum("failed").alias("failed"))
     )
-    start = F.col("time_started")
-    ages = F.filter(
-        F.sequence(F.lit(0), F.lit(days - 1)),
-        lambda i: (start > instant(as_of) - F.make_dt_interval(i + period))
-        & (start < instant(as_of) - F.make_dt_interval(i)))
+    # Day i covers a start of age a if i < a < i + period, so from ``first`` to ``last``: a start
+    # is one rise and one fall of a running sum over the days, however many it is covered by.
+    day = 86_400_000_000
+    age = micros(instant(as_of)) - micros(F.col("time_started"))
+    over = age - F.lit(period * day)
+    first = F.when(over >= 0, F.floor(over / day) + 1).otherwise(0).cast("int")
+    last = F.least(F.floor((age - 1) / day), F.lit(days - 1)).cast("int")
+    steps = per_start.select("environ_name", "n", "failed", first.alias("i"), last.alias("j")).filter(
+        "i <= j").groupBy("environ_name", "i", "j").agg(
+        F.sum("n").alias("n"), F.sum("failed").alias("failed"))
+    rises = steps.select("environ_name", F.col("i").alias("days_ago"), "n", "failed")
+    falls = steps.select("environ_name", (F.col("j") + 1).alias("days_ago"),
+                         (-F.col("n")).alias("n"), (-F.col("failed")).alias("failed"))
+    spine = steps.select("environ_name").distinct().select(
+        "environ_name", F.explode(F.sequence(F.lit(0), F.lit(days - 1))).alias("days_ago"),
+        F.lit(0).alias("n"), F.lit(0).alias("failed"))
+    so_far = Window.partitionBy("environ_name").orderBy("days_ago").rowsBetween(
+        Window.unboundedPreceding, 0)
     return (
-        per_start.select("environ_name", "n", "failed", F.explode(ages).alias("days_ago"))
-        .groupBy("environ_name", "days_ago")
-        .agg(F.sum("n").alias("total_tests"),
-             ratio(F.sum("failed"), F.sum("n")).alias("failure_rate"))
+        rises.union(falls).union(spine).filter(F.col("days_ago") < days)
+        .groupBy("environ_name", "days_ago").agg(F.sum("n").alias("n"), F.sum("failed").alias("failed"))
+        .select("environ_name", "days_ago", F.sum("n").over(so_far).alias("total_tests"),
+                F.sum("failed").over(so_far).alias("failed"))
+        .filter("total_tests > 0")
+        .select("environ_name", "days_ago", "total_tests",
+                ratio(F.col("failed"), F.col("total_tests")).alias("failure_rate"))
         .orderBy("environ_name", "days_ago")
     )
 

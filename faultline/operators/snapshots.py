@@ -59,6 +59,53 @@ def first_match(images: DataFrame, needles: list[str]) -> DataFrame:
     return first.select("needle", "hit.name", "hit.id")
 
 
+def first_match_of(images: DataFrame, needles: DataFrame) -> DataFrame:
+    """``first_match`` for a table of needles of any size, column ``needle``.
+
+    Names and ids are indexed by their character trigrams. A needle is looked up by the trigram it
+    holds that fewest of them hold, and only rows with that trigram are tested, by an equality join.
+    Needles of one or two characters are looked up among the first rows per such piece, needles
+    without characters get the first row of all. NULL needles match nothing.
+    """
+    asked = needles.select("needle").filter("needle IS NOT NULL").distinct()
+    hit = F.struct("name", "id").alias("hit")
+
+    def index(size: int) -> DataFrame:
+        pieces = [F.explode(_pieces(F.col(c), size)).alias("piece") for c in ("name", "id")]
+        rows = images.select("name", "id")
+        return rows.select(hit, pieces[0]).union(rows.select(hit, pieces[1])).distinct()
+
+    # The rarest trigram of each needle; one that no row holds has no match at all.
+    long = asked.filter(F.length("needle") >= 3)
+    held = index(3)
+    counts = held.groupBy("piece").agg(F.count("*").alias("n"))
+    probes = (long.select("needle", F.explode(_pieces(F.col("needle"), 3)).alias("piece"))
+              .join(counts, "piece", "left")
+              .groupBy("needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece"))
+                                     .alias("p")).filter("p.n > 0"))
+    holds = lambda c: F.coalesce(F.contains(F.col(f"hit.{c}"), F.col("needle")), F.lit(False))
+    found = (probes.select("needle", F.col("p.piece").alias("piece")).join(held, "piece")
+             .filter(holds("name") | holds("id"))
+             .groupBy("needle").agg(F.min("hit").alias("hit")))
+
+    for size in (1, 2):
+        firsts = index(size).groupBy(F.col("piece").alias("needle")).agg(F.min("hit").alias("hit"))
+        found = found.union(asked.filter(F.length("needle") == size).join(firsts, "needle")
+                            .select("needle", "hit"))
+    named = images.filter("name IS NOT NULL OR id IS NOT NULL")
+    # One row, so the join has as many rows as there are empty needles: one.
+    whole = asked.filter(F.length("needle") == 0).join(
+        F.broadcast(named.agg(F.min(F.struct("name", "id")).alias("hit")).filter("hit IS NOT NULL")))
+    return found.union(whole).select("needle", "hit.name", "hit.id")
+
+
+def _pieces(text: Column, size: int) -> Column:
+    """The distinct runs of ``size`` characters of a text."""
+    last = F.length(text) - size + 1
+    starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, size)))
+
+
 def add_if_absent(new: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """``known`` plus one row for each new key it does not hold."""
     rest = [c for c in known.columns if c != key]

@@ -206,6 +206,15 @@ def _(t: Tables):
     return snapshots.first_match(t.servers(), ["srv-12", "0001", "Customer#00000010", "absent"])
 
 
+@query("j8_first_match_of_table")
+def _(t: Tables):
+    # Pieces of every part's key as needles, of one to five characters.
+    text = F.concat(F.lit("#00"), F.col("p_partkey").cast("string"))
+    needles = t.raw("part").select(F.substring(
+        text, F.lit(1) + F.col("p_partkey") % 4, F.lit(1) + F.col("p_partkey") % 5).alias("needle"))
+    return snapshots.first_match_of(t.servers(), needles)
+
+
 @query("j9_add_if_absent")
 def _(t: Tables):
     customer = t.raw("customer").select(F.col("c_name").alias("name"), "c_custkey",
@@ -242,6 +251,12 @@ def _(t: Tables):
                                             period=10, days=7, environ="ASIA")
 
 
+@query("wp5_failure_rate_moving_avg_360d")
+def _(t: Tables):
+    return failures.failure_rate_moving_avg(t.test_passes(), t.test_results(), as_of=AS_OF,
+                                            period=90, days=360)
+
+
 # -- latency -------------------------------------------------------------------------------
 
 for _environ in reports.LATENCY_ENVIRONMENTS:

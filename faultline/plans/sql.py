@@ -546,6 +546,12 @@ def _statements() -> dict[str, str]:
             row_number() over (partition by needle order by name, id) as rn
           from servers join (select unnest(['srv-12', '0001', 'Customer#00000010', 'absent'])
             as needle) on contains(name, needle) or contains(id, needle)) where rn = 1"""
+    q["j8_first_match_of_table"] = """select needle, name, id from (
+          select needle, name, id,
+            row_number() over (partition by needle order by name, id) as rn
+          from servers join (select distinct substring('#00' || p_partkey,
+              1 + p_partkey::int % 4, 1 + p_partkey::int % 5) as needle from part) n
+            on contains(name, needle) or contains(id, needle)) where rn = 1"""
     q["j9_add_if_absent"] = """select c_name as name, 'known' as origin from customer
         where c_custkey % 3 <> 0
         union all
@@ -562,6 +568,7 @@ def _statements() -> dict[str, str]:
           and tp.time_started <= {_AS_OF} {_TESTS_UNTIL}
         group by window_days, tp.environ_name"""
     q["wp5_failure_rate_moving_avg"] = _moving_avg(30, 10, None)
+    q["wp5_failure_rate_moving_avg_360d"] = _moving_avg(90, 360, None)
     q["wp5_failure_rate_moving_avg_env"] = _moving_avg(10, 7, "ASIA")
 
     for environ in reports.LATENCY_ENVIRONMENTS:

@@ -277,3 +277,64 @@ def test_zero_fill_covers_every_day(spark):
     rows = spark.createDataFrame([("s", NOW, 5)], "series string, point timestamp_ntz, pct int")
     got = series.zero_filled(rows, AS_OF, days=10).collect()
     assert len(got) == 10 and sum(r.pct for r in got) == 5
+
+
+# -- needles and moving averages -----------------------------------------------------------------
+
+def test_needles_of_every_length_equal_brute_force(spark):
+    from faultline.operators.snapshots import first_match, first_match_of
+
+    servers = [("srv-1", "abcabc"), ("srv-2", "zabc"), (None, "ab"), ("é😀x", None), (None, None),
+               ("a", ""), ("bcd", "a")] + [(f"srv-{i}", f"name{i % 7}") for i in range(50)]
+    images = spark.createDataFrame(servers, "id string, name string")
+    needles = ["", "a", "b", "ab", "abc", "cab", "bca", "abcabc", "srv-1", "srv-49", "é", "😀", "é😀",
+               "é😀x", "e4", "name", "nobody", "zz", "q", "zabcd", "-1", "v-1"]
+    table = spark.createDataFrame([(n,) for n in [*needles, None, "a"]], "needle string")
+    plain = {}
+    for needle in needles:
+        hits = [(n, i) for i, n in servers if needle in (n or "\0") or needle in (i or "\0")]
+        hits = [h for h in hits if h != (None, None)]
+        if hits:
+            plain[needle] = min(hits, key=lambda h: tuple((v is not None, v or "") for v in h))
+    found = {r.needle: (r.name, r.id) for r in first_match_of(images, table).collect()}
+    assert found == plain
+    listed = {r.needle: (r.name, r.id) for r in first_match(images, [n for n in needles if n]).collect()}
+    assert {k: v for k, v in found.items() if k} == listed
+
+
+def test_many_needles_make_no_nested_loop(spark):
+    from faultline.operators.snapshots import first_match_of
+
+    images = spark.range(20_000).select(F.concat(F.lit("srv-"), "id").alias("id"),
+                                        F.concat(F.lit("Customer#"), "id").alias("name"))
+    needles = spark.range(100_000).select(F.concat(F.lit("r#"), "id").alias("needle"))
+    found = first_match_of(images, needles)
+    plan = found._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    # The only product has one row on one side: the first row of all, for the empty needle.
+    assert plan.count("BroadcastNestedLoopJoin") <= 1 and "CartesianProduct" not in plan
+    assert found.count() == 20_000
+
+
+def test_moving_average_counts_each_day_once(spark):
+    from faultline.operators.failures import failure_rate_moving_avg
+
+    as_of, day = dt.datetime(2001, 7, 1), dt.timedelta(days=1)
+    starts = [as_of - k * day + d for k in range(0, 14)
+              for d in (-dt.timedelta(seconds=1), dt.timedelta(0), dt.timedelta(microseconds=1))]
+    starts = [s for s in starts if s <= as_of]
+    passes = spark.createDataFrame([(i, "E", "z", s) for i, s in enumerate(starts)],
+                                   "test_pass_id long, environ_name string, zone string, "
+                                   "time_started timestamp_ntz")
+    results = spark.createDataFrame([(i, s, i % 2) for i, s in enumerate(starts)],
+                                    "test_pass_id long, time_started timestamp_ntz, "
+                                    "hard_errors_exist int")
+    found = failure_rate_moving_avg(passes, results, as_of=as_of, period=4, days=6).collect()
+    plain = {}
+    for i in range(6):
+        # The report looks back from the reference time, beginning excluded.
+        inside = [n for n, s in enumerate(starts) if as_of - (i + 4) * day < s < as_of - i * day
+                  and s > as_of - 9 * day]
+        if inside:
+            plain[i] = (len(inside), sum(n % 2 for n in inside) / len(inside))
+    assert {r.days_ago: (r.total_tests, r.failure_rate) for r in found} == plain
