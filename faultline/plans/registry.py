@@ -12,7 +12,7 @@ from faultline.functions import errors, text, times
 from faultline.functions.numbers import humanize_units
 from faultline.operators import (
     builds, error_counts, failures, identity, latency, maintenance, ranks, requests, rollup,
-    series, snapshots,
+    series, snapshots, summaries,
 )
 from faultline.plans import reports
 from faultline.sources import readers, storage, versions
@@ -432,6 +432,29 @@ def _(t: Tables):
     return ranks.percentile_rows(rows, keys=("environ_name", "function_name"))
 
 
+@query("wp1_sketched_percentiles")
+def _(t: Tables):
+    # The sketches are stored by day and merged; whether each value lies at its rank is counted
+    # from the log itself, as the values differ from run to run within their bound.
+    path, actions = storage.shared_dir(t.spark), t.test_actions()
+    early = F.col("time_started") < F.lit("1998-01-01").cast("timestamp_ntz")
+    for part in (actions.filter(early), actions.filter(~early)):
+        months = summaries.duration_sketches(part.withColumn(
+            "time_started", F.trunc(F.col("time_started").cast("date"), "year")))
+        summaries.store_sketches(months, path)
+    schema = T.StructType().add("function_name", T.StringType()).add("sketch", T.BinaryType()).add(
+        "n", T.LongType()).add("event_date", T.DateType())
+    picks = summaries.sketched_percentiles(t.spark.read.schema(schema).parquet(path))
+    slower = actions.select("function_name", F.col("time_total").alias("v")).join(
+        picks, "function_name").groupBy("function_name", "divisor", "n", "row_offset").agg(
+        F.count_if(F.col("v") > F.col("time_total")).alias("above"),
+        F.count_if(F.col("v") >= F.col("time_total")).alias("upto"))
+    room = F.col("n") * summaries.RANK_ERROR * 2 + 1
+    return slower.select("function_name", "divisor", "n", (
+        (F.col("above") - room <= F.col("row_offset"))
+        & (F.col("row_offset") <= F.col("upto") + room)).cast("int").alias("within_bound"))
+
+
 @query("wp2_percentile_offsets")
 def _(t: Tables):
     return ranks.percentile_offsets(t.test_actions(), "wait_for_active_status")
@@ -740,6 +763,18 @@ def _(t: Tables):
     ])
 
 
+@query("w6_orphan_check_bitmaps")
+def _(t: Tables):
+    passes = t.test_passes().filter(F.col("test_pass_id") % 3 != 0)
+    results = t.test_results().filter(F.col("test_id") % 5 != 0)
+    # Bitmaps of two appends each.
+    halves = lambda df, key: summaries.key_bitmaps(df.filter(F.col(key) % 2 == 0), key).union(
+        summaries.key_bitmaps(df.filter(F.col(key) % 2 != 0), key))
+    return summaries.orphan_counts_by_bitmap([
+        ("results-passes", t.test_results(), "test_pass_id", halves(passes, "test_pass_id")),
+        ("actions-results", t.test_actions(), "test_id", halves(results, "test_id"))])
+
+
 for _index, _name in enumerate(["passes", "results", "actions"]):
     query(f"w6_cascade_delete_{_name}")(lambda t, i=_index: maintenance.cascade_delete(
         *_log(t), F.col("zone").isin("NATION_2", "NATION_3"))[i])

