@@ -92,10 +92,10 @@ def first_match_of(images: DataFrame, needles: DataFrame) -> DataFrame:
         firsts = index(size).groupBy(F.col("piece").alias("needle")).agg(F.min("hit").alias("hit"))
         found = found.union(asked.filter(F.length("needle") == size).join(firsts, "needle")
                             .select("needle", "hit"))
-    named = images.filter("name IS NOT NULL OR id IS NOT NULL")
-    # One row, so the join has as many rows as there are empty needles: one.
-    whole = asked.filter(F.length("needle") == 0).join(
-        F.broadcast(named.agg(F.min(F.struct("name", "id")).alias("hit")).filter("hit IS NOT NULL")))
+    first = images.filter("name IS NOT NULL OR id IS NOT NULL").agg(
+        F.min(F.struct("name", "id")).alias("hit")).scalar()
+    whole = asked.filter(F.length("needle") == 0).select("needle", first.alias("hit")).filter(
+        "hit IS NOT NULL")
     return found.union(whole).select("needle", "hit.name", "hit.id")
 
 
