@@ -552,13 +552,12 @@ TEXTS = ["zero one TWO three-four five six seven eight nine ten eleven, twelve",
          "item short item", "ünï 日本 x9 y8"]
 
 
-def test_contamination_matches_plain(spark, odd, none, monkeypatch):
+def test_contamination_matches_plain(spark, odd, none):
     benchmark = spark.createDataFrame(ITEMS, "item_id long, text string")
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
-    for size in (1 << 20, 20):
-        monkeypatch.setattr(op10_decontamination, "AUTOMATON_CHARS", size)
-        for r in op10_decontamination.judged(docs, benchmark).collect():
-            n, hit, met = plain_hits(TEXTS[r.doc_id], ITEMS)
+    for window in (10, 7, 2, 1):
+        for r in op10_decontamination.judged(docs, benchmark, window).collect():
+            n, hit, met = plain_hits(TEXTS[r.doc_id], ITEMS, window)
             assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (n, len(hit), len(met), bool(hit))
             assert r.items_sha256 == hashlib.sha256(",".join(sorted(met)).encode()).hexdigest()
     assert [r.doc_id for r in op10_decontamination.clean(docs, benchmark).collect()] == [2, 5, 6, 7, 9]
@@ -587,15 +586,33 @@ def test_contamination_offsets(spark):
     assert [text[p["first"]:p["end"]] for p in row.passages] == ["SHORT--item", "short item"]
 
 
-def test_contamination_query_matches_plain(spark, sf_dir):
-    items = [(r.item_id, r.text) for r in table(spark, sf_dir, "benchmark").collect()]
-    of = texts(spark, sf_dir)
-    rows = queries()["op10_decontamination"](spark, sf_dir).collect()
-    assert len(rows) == len(of)
-    for r in rows:
-        n, hit, met = plain_hits(of[r.doc_id], items) if r.contaminated or r.doc_id % 5 == 0 else (
-            r.n_words, range(r.n_hit), range(r.n_items))
-        assert (r.n_words, r.n_hit, r.n_items) == (n, len(hit), len(met))
+def test_contamination_anchors_find_every_window():
+    """Texts over few words, so that anchors repeat inside items, across items and at borders."""
+    import random
+    rng = random.Random(3)
+    some = lambda n: " ".join(rng.choice("abc") for _ in range(n))
+    for window in (1, 2, 3, 5, 8, 10):
+        items = [(str(i), some(rng.randint(0, 30))) for i in range(12)] + [("x", some(4))] * 2
+        matcher = op10_decontamination.Matcher(op10_decontamination.Matcher.facts_of(items, window))
+        for _ in range(40):
+            text = some(rng.randint(0, 20)) + " z " + rng.choice(items)[1] + some(3)
+            n, hit, met = plain_hits(text, items, window)
+            words, runs, found = matcher.scan(text)
+            assert (words, {w for a, b in runs for w in range(a, b)}, found) == (n, hit, met)
+
+
+def test_contamination_long_benchmark_is_one_scan(spark):
+    """A benchmark of several million characters is one automaton and one pass."""
+    items = spark.range(4000).selectExpr(
+        "id AS item_id",
+        "array_join(transform(sequence(0, 199), i -> concat('w', pmod(hash(id, i), 5000))), ' ') AS text")
+    docs = items.filter("item_id % 400 = 7").selectExpr(
+        "item_id AS doc_id", "concat('so ', substring_index(text, ' ', 12), ' end') AS text")
+    docs = docs.unionAll(spark.createDataFrame([(-1, "w1 w2 w3")], docs.schema))
+    found = op10_decontamination.judged(docs, items)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    rows = {r.doc_id: (r.n_hit, r.n_items) for r in found.collect()}
+    assert rows == {-1: (0, 0), **{i: (12, 1) for i in range(7, 4000, 400)}}
 
 
 def test_contamination_query_matches_plain_on_all_documents(spark, sf_dir):
