@@ -115,9 +115,9 @@ def number_in_order(df: DataFrame, *, group: list[str], chunk: Column, order: li
 
 
 def assign_ids(df: DataFrame, *, id_name: str, time: str, order: list[str],
-               existing: DataFrame | None = None) -> DataFrame:
+               existing: DataFrame | None = None, start: int = 0) -> DataFrame:
     """Dense ids in natural-key order, which begins with ``time``, continuing after the largest
-    id of ``existing``.
+    id of ``existing`` or else after ``start``.
 
     Rows are numbered inside a minute, minutes get their offset inside a month, and the months
     are so few that their totals travel as one array: no window runs over the whole table.
@@ -132,12 +132,12 @@ def assign_ids(df: DataFrame, *, id_name: str, time: str, order: list[str],
                             F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
     months = totals.groupBy("_month").agg(F.sum("_size").alias("_size")).agg(
         F.collect_list(F.struct("_month", "_size"))).scalar()
-    start = F.lit(0).cast("bigint") if existing is None else F.coalesce(
+    begin = F.lit(start).cast("bigint") if existing is None else F.coalesce(
         existing.agg(F.max(id_name).cast("bigint")).scalar(), F.lit(0))
     inside = Window.partitionBy("_month", "_minute").orderBy(*order)
     numbered = (keyed.join(offsets, ["_month", "_minute"])
                 .withColumn("_n", F.row_number().over(inside))
-                .withColumns({"_months": months, "_start": start}))
+                .withColumns({"_months": months, "_start": begin}))
     before = F.aggregate(F.filter("_months", lambda m: m["_month"] < F.col("_month")),
                          F.lit(0).cast("bigint"), lambda n, m: n + m["_size"])
     return numbered.select((F.col("_start") + before + F.col("_before") + F.col("_n"))

@@ -15,9 +15,9 @@ from faultline.operators import (
     series, snapshots, summaries,
 )
 from faultline.plans import reports
-from faultline.sources import readers, storage, versions
+from faultline.sources import ledger, readers, storage, versions
 from faultline.sources.derived import AS_OF, Tables
-from faultline.streaming import alerts, keyed, rates, sinks
+from faultline.streaming import alerts, keyed, rates, sinks, windows
 
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
 
@@ -748,6 +748,16 @@ def _(t: Tables):
                             existing=results.select(F.col("test_id").alias("result_id")))
 
 
+@query("w5_ledger_ids")
+def _(t: Tables):
+    ids = ledger.IdLedger(t.spark, storage.shared_dir(t.spark))
+    rows = t.test_results().select("time_started", "test_id")
+    appends = [rows.filter(F.col("test_id") % 2 == part) for part in (1, 0)]
+    first, second = (ledger.with_new_ids(df, ids, id_name="result_id", time="time_started",
+                                         order=["time_started", "test_id"]) for df in appends)
+    return first.union(second)
+
+
 @query("w6_orphan_check")
 def _(t: Tables):
     passes = t.test_passes().filter(F.col("test_pass_id") % 3 != 0)
@@ -848,6 +858,19 @@ def _(t: Tables):
     return rates.request_rates(t.spark, run, 3600, tests=tests)
 
 
+@query("t1_watermarked_request_rate")
+def _(t: Tables):
+    run, tests = sinks.StreamRun.new(t.spark), _tests_env(t)
+    log = t.test_actions().select("test_id", "time_started")
+    path = f"{run.root}/in"
+    # The actions of every eleventh test come a batch later, when most windows are closed.
+    for early in (True, False):
+        log.filter((F.col("test_id") % 11 != 0) == F.lit(early)).write.mode("append").parquet(path)
+        windows.run_window_counts(sinks.file_stream(t.spark, path, schema=log.schema), run,
+                                  window="1 hour", slide="30 minutes", delay="1 day")
+    return windows.final_request_rates(t.spark, run, tests, 3600)
+
+
 @query("t2_late_passes")
 def _(t: Tables):
     run = sinks.StreamRun.new(t.spark)

@@ -880,6 +880,9 @@ def _statements() -> dict[str, str]:
         from test_results"""
     q["w5_assign_ids"] = """select (select max(test_id) from test_results)
           + row_number() over (order by time_started, test_id) as result_id, time_started, test_id from test_results"""
+    q["w5_ledger_ids"] = """select row_number() over (
+          order by test_id % 2 desc, time_started, test_id) as result_id, time_started, test_id
+        from test_results"""
     q["w3_stored_upsert"] = q["w3_upsert_pass_end"]
     q["w4_stored_scrub"] = q["w4_scrub_errors"]
     q["w6_orphan_check"] = """
@@ -922,6 +925,18 @@ def _statements() -> dict[str, str]:
         from test_results t join test_passes tp on tp.test_pass_id = t.test_pass_id
         group by all"""
     q["t1_late_tests"] = q["t1_stream_request_rate"]
+    q["t1_watermarked_request_rate"] = f"""select w as window_start, environ_name,
+          count(*) filter (where not late) as requests, count(*) filter (where late) as late_requests,
+          count(*) filter (where not late) / 3600.0::double as rps
+        from (select environ_name, w, test_id % 11 = 0 and w + interval 1 hour <= m1 as late
+              from (select environ_name, a.test_id, unnest([
+                      time_bucket(interval 30 minute, a.time_started),
+                      time_bucket(interval 30 minute, a.time_started) - interval 30 minute]) as w
+                    from test_actions a join {_TESTS_ENV} e on a.test_id = e.test_id) p,
+                (select max(time_started) filter (where test_id % 11 <> 0) - interval 1 day as m1,
+                   max(time_started) - interval 1 day as m2 from test_actions) m
+              where w + interval 1 hour <= m2) j
+        group by w, environ_name"""
     q["t2_late_passes"] = q["t2_stream_failure_rate"]
     q["t3_stream_sequential_failures"] = _SEQUENTIAL
     q["t3_keyed_sequential_failures"] = _SEQUENTIAL

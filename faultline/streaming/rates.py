@@ -86,21 +86,23 @@ def _run_counts(stream: DataFrame, attributes: Attributes, run: StreamRun, *, ke
             fresh.write.mode("overwrite").parquet(f"{run.data}/counts-{batch_id}")
         waiting = f"{folder}/known=0" if "known=0" in parts else None
         manifests.write(batch_id, {"counts": live, "waiting": waiting}, replace=True)
-        _sweep(manifests, run)
+        sweep(manifests, run, _folders)
 
     (stream.writeStream.foreachBatch(store).option("checkpointLocation", run.checkpoint)
      .trigger(availableNow=True).start().awaitTermination())
 
 
-def _sweep(manifests: Folder, run: StreamRun) -> None:
-    """Remove what the two newest manifests do not name."""
+def _folders(state: dict) -> set[str]:
+    waiting = {state["waiting"].split("/")[0]} if state["waiting"] else set()
+    return waiting.union(state["counts"])
+
+
+def sweep(manifests: Folder, run: StreamRun, folders: Callable[[dict], set[str]]) -> None:
+    """Remove what the two newest manifests do not name; ``folders`` tells what one names."""
     numbers = manifests.numbers()
     used: set[str] = set()
     for number in numbers[-2:]:
-        state = manifests.read(number)
-        used.update(state["counts"])
-        if state["waiting"]:
-            used.add(state["waiting"].split("/")[0])
+        used |= folders(manifests.read(number))
     for number in numbers[:-2]:
         manifests.remove(number)
     for folder in manifests.folders(run.data):
