@@ -53,6 +53,8 @@ HOT = 64
 BLOCK = 1024
 # Shingles a task holds before it packs them.
 HELD = 1 << 20
+# Fingerprints a part of the hash space holds; the number of parts follows the data.
+PART = 1 << 22
 
 
 def linked(shared, a, b, share: int = SHARE):
@@ -104,9 +106,10 @@ def shared_counts(rows: DataFrame, sets_of, total: int) -> DataFrame:
 
     The shingles of a batch travel as one packed row per part of the hash space, as fingerprints
     of as few bytes as leave 16 values free for each that is taken. Within a part those that occur
-    once are told from the others.
+    once are told from the others. A part holds some ``PART`` fingerprints, so what a task reads and
+    holds stays the same as the data grow; a packed row adds 12 bytes a document and part.
     """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = 16 + total // PART
     width = next(w for w in range(2, 9) if w == 8 or parts << (8 * w) >= 16 * max(total, 1))
     kind = np.uint32 if width <= 4 else np.uint64
 
@@ -175,7 +178,7 @@ def shared_counts(rows: DataFrame, sets_of, total: int) -> DataFrame:
                              "shared": np.bincount(place, shared, len(ids)).astype(np.int64)})
 
     packed = rows.mapInArrow(emit, "part int, docs binary, counts binary, prints binary")
-    counted = packed.groupBy("part").applyInPandas(count, "home int, docs binary, shared binary")
+    counted = packed.repartition(parts, "part").groupBy("part").applyInPandas(count, "home int, docs binary, shared binary")
     return counted.groupBy("home").applyInPandas(add_up, "doc_id bigint, shared bigint")
 
 
