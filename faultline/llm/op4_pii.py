@@ -12,7 +12,9 @@ become one SQL expression, so the documents are handled by SQL functions alone,
 without a shuffle.
 
 Offsets are code points. Patterns are possessive and begin at the border of a run, so their time
-is proportional to the text, and no pattern recurses.
+is proportional to the text, and no pattern recurses. Spans are handled in blocks, so that the time
+for a text of many spans is nearly in proportion to them. ``secret`` proposes runs that hold a digit
+anywhere; runs of letters alone are words and are not proposed.
 
 Edge cases: a NULL or empty text has no spans; equal spans of two kinds are two spans; repeated
 rows are handled each; an empty table gives no rows; other columns are not read.
@@ -43,7 +45,7 @@ PROPOSED = {
     "handle": (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\(at\)|\[at\]|\{at\}| at ) ?"
                r"[A-Za-z0-9-]++(?: ?(?:\(dot\)|\[dot\]|\{dot\}| dot ) ?[A-Za-z0-9-]++|\.[A-Za-z0-9-]++)++"),
     "number": r"[+(]?[0-9][0-9 ()./-]{5,}[0-9]",
-    "secret": r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]{0,64}[0-9])[A-Za-z0-9_+/-]{16,}+",
+    "secret": r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{16,}+",
 }
 KINDS = [*BASE, *PROPOSED]
 BEFORE, AFTER = 24, 8
@@ -51,6 +53,23 @@ BEFORE, AFTER = 24, 8
 SPAN = "struct<start: int, `end`: int, value: string, before: string, after: string>"
 
 
+# Spans are folded in blocks of so many: a fold copies what it has, so one over all spans of a text
+# would take the square of their number.
+FOLDED = 128
+
+
+def bound(value: Column, body) -> Column:
+    """``body(value)``, with ``value`` computed once, however often the body looks at it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def blocks_of(items: Column) -> Column:
+    """An array cut into arrays of ``FOLDED``, in order."""
+    last = (F.greatest(F.size(items) - 1, F.lit(0)) / FOLDED).cast("int")
+    return F.transform(F.sequence(F.lit(0), last),
+                       lambda b: F.slice(items, b * FOLDED + 1, F.lit(FOLDED)))
+
+
 # -- spans of a pattern --------------------------------------------------------------------------
 
 def with_matches(df: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:
@@ -79,9 +98,20 @@ def with_matches(df: DataFrame, text: str, patterns: dict[str, str]) -> DataFram
             return F.struct(end.alias("at"),
                             F.concat(state["out"], F.array(found).cast(none)).alias("out"))
 
-        begin = F.struct(F.lit(0).alias("at"), F.array().cast(none).alias("out"))
-        folded = F.aggregate(steps, begin.cast(f"struct<at: int, out: {none}>"), grow,
-                             lambda state: state["out"])
+        def moved(state, block):
+            spans = F.transform(block["out"], lambda s: F.struct(
+                (state["at"] + s["start"]).alias("start"), (state["at"] + s["end"]).alias("end"),
+                *[s[c].alias(c) for c in ("value", "before", "after")]))
+            return F.struct((state["at"] + block["at"]).alias("at"),
+                            F.concat(state["out"], F.array(spans)).alias("out"))
+
+        def empty(kind):
+            return F.struct(F.lit(0).alias("at"), F.array().alias("out")).cast(
+                f"struct<at: int, out: {kind}>")
+
+        folded = bound(steps, lambda all_: F.flatten(F.aggregate(
+            F.transform(blocks_of(all_), lambda block: F.aggregate(block, empty(none), grow)),
+            empty(f"array<{none}>"), moved, lambda state: state["out"])))
         return F.when(n > 0, folded).otherwise(F.array().cast(none))
 
     df = df.withColumns({k: spans(k) for k in kinds})
@@ -126,17 +156,27 @@ def with_base(df: DataFrame, text: str) -> DataFrame:
 def laid_over(text: Column, spans: Column, cover) -> Column:
     """``text`` with ``cover(span, its part of the text's length)`` in place of the spans, which
     are in the order of their starts; of overlapping spans the first gives the cover."""
-    def step(state, span):
-        fresh = span["start"] >= state["at"]
-        between = F.substring(text, state["at"] + 1, F.greatest(span["start"] - state["at"], F.lit(0)))
-        more = span["end"] - F.greatest(state["at"], span["start"])
-        return F.struct(
-            F.greatest(state["at"], span["end"]).alias("at"),
-            F.concat(state["out"], between, cover(span, fresh, F.greatest(more, F.lit(0)))).alias("out"))
-
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.aggregate(spans, begin, step, lambda s: F.concat(
-        s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    def block(state, part):
+        begin = state["at"]
+        stop = F.greatest(begin, F.array_max(F.transform(part, lambda s: s["end"])))
+
+        def step(piece, so_far, span):
+            at, start, end = so_far["at"], span["start"], span["end"]
+            between = F.substring(piece, at - begin + 1, F.greatest(start - at, F.lit(0)))
+            more = F.greatest(end - F.greatest(at, start), F.lit(0))
+            return F.struct(F.greatest(at, end).alias("at"), F.concat(
+                so_far["out"], between, cover(span, start >= at, more)).alias("out"))
+
+        # The text up to the end of the block's spans, cut out once.
+        laid = bound(F.substring(text, begin + 1, stop - begin), lambda piece: F.aggregate(
+            part, F.struct(begin.alias("at"), F.lit("").alias("out")), partial(step, piece)))
+        return bound(laid, lambda done: F.struct(
+            done["at"].alias("at"), F.concat(state["out"], F.array(done["out"])).alias("out")))
+
+    nothing = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    return bound(spans, lambda all_: F.aggregate(
+        blocks_of(all_), nothing, block, lambda s: F.concat(
+            F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text)))))
 
 
 def in_order(kinds) -> Column:

@@ -463,6 +463,37 @@ def test_difference_matches_plain_on_pages_without_article(spark, sf_dir):
     assert cut_lines >= 3 * len(rows) / 2
 
 
+# -- personal data in long texts ---------------------------------------------------------------
+
+def test_pii_many_spans_match_plain(spark):
+    """Offsets and redaction over several blocks of spans, with gaps, doubled and wide characters."""
+    parts = [f"é😀 {i} " * (i % 4) + f"user{i}@mail{i % 7}.example.org" + "," * (i % 3) for i in range(700)]
+    text = " ".join(parts)
+    docs = spark.createDataFrame([(1, text), (2, parts[1]), (3, "")], "doc_id long, text string")
+    judge = op4_pii.Judge(spark)
+    found = {r.doc_id: r for r in op4_pii.digests(docs, judge).collect()}
+    pattern = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
+    wanted = [f"email:{m.start()}:{m.end()}" for m in re.finditer(pattern, text)]
+    assert found[1].n_email == len(wanted) == 700 and found[3].spans == ""
+    assert found[1].base_sha256 == hashlib.sha256(",".join(wanted).encode()).hexdigest()
+    clean = {r.doc_id: r.text for r in op4_pii.redact(docs, judge).collect()}
+    spans = sorted((int(a), int(b), k) for k, a, b in (x.split(":") for x in found[1].spans.split(",")))
+    out, at = "", 0
+    for start, end, kind in spans:
+        out += text[at:max(start, at)] + (f"[{kind.upper()}]" if start >= at else "")
+        at = max(at, end)
+    assert clean[1] == out + text[at:] and "@" not in clean[1]
+
+
+def test_pii_long_secret_is_proposed(spark):
+    """A digit behind more than 64 letters still makes an opaque run a proposal."""
+    rows = [(i, 'token = "' + "q" * n + '9kq1z8w7" end') for i, n in enumerate((20, 70, 500))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = op4_pii.proposals(df, "text").orderBy("doc_id").collect()
+    assert [[(s["start"], s["end"]) for s in r.secret] for r in found] == [
+        [(9, 9 + n + 8)] for n in (20, 70, 500)]
+
+
 # -- shingles ----------------------------------------------------------------------------------
 
 def plain_classes(rows):
