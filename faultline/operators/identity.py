@@ -36,6 +36,20 @@ def identities(external_ids: DataFrame, accounts: DataFrame) -> DataFrame:
     )
 
 
+def identity_rows(external_ids: DataFrame, accounts: DataFrame, piece: int = 1024) -> DataFrame:
+    """The rows of the plain four-way left join, repeated ones included.
+
+    Each combination is joined once and then repeated ``copies`` times, in pieces, so that no
+    array grows with the repetitions of one account beyond their number of pieces.
+    """
+    rows = identities(external_ids, accounts)
+    names = [c for c in rows.columns if c != "copies"]
+    pieces = F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / piece)))
+    room = F.least(F.lit(piece), F.col("copies") - F.col("_piece") * piece)
+    return rows.withColumn("_piece", pieces).select(
+        *names, F.explode(F.sequence(F.lit(1), room.cast("int"))).alias("_copy")).select(*names)
+
+
 def trusted_lines(external_ids: DataFrame, accounts: DataFrame) -> DataFrame:
     """Trust lines in order of the full name."""
     rows = identities(external_ids, accounts)

@@ -15,7 +15,7 @@ from faultline.operators import (
     series, snapshots, summaries,
 )
 from faultline.plans import reports
-from faultline.sources import ledger, readers, storage, versions
+from faultline.sources import layout, ledger, readers, storage, versions
 from faultline.sources.derived import AS_OF, Tables
 from faultline.streaming import alerts, keyed, rates, sinks, windows
 
@@ -63,6 +63,23 @@ def _(t: Tables):
     return t.test_actions().filter(F.col("test_id") == 742)
 
 
+def _clustered_log(t: Tables, **ranges) -> DataFrame:
+    """The stored log, clustered by test and start, read within ranges of these."""
+    path = storage.shared_dir(t.spark)
+    layout.append_clustered(t.test_actions(), path, ["test_id", "time_started"])
+    return layout.read_clustered(t.spark, path, **ranges)
+
+
+@query("f1_clustered_actions_of_test")
+def _(t: Tables):
+    return _clustered_log(t, test_id=(742, 742))
+
+
+@query("f7_clustered_actions_of_two_days")
+def _(t: Tables):
+    return _clustered_log(t, time_started=("2001-07-01 08:00:00", AS_OF))
+
+
 @query("f1_actions_of_function")
 def _(t: Tables):
     return requests.actions_of(t.test_actions(), "wait_for_active_status")
@@ -196,6 +213,11 @@ def _(t: Tables):
     return identity.identities(t.account_external_ids(), t.accounts())
 
 
+@query("j7_identity_rows")
+def _(t: Tables):
+    return identity.identity_rows(t.repeated_external_ids(), t.accounts())
+
+
 @query("x7_trusted_lines")
 def _(t: Tables):
     return identity.trusted_lines(t.account_external_ids(), t.accounts())
@@ -480,6 +502,11 @@ def _(t: Tables):
     return builds.job_failures(t.build_details(), "job-7", 3, failed="FAILED")
 
 
+@query("wp4_failures_other_spelling")
+def _(t: Tables):
+    return builds.failures_in_last(t.spelled_builds(), 20, failed="FAILED")
+
+
 # -- roll-up -------------------------------------------------------------------------------
 
 @query("r1_rollup_test_results")
@@ -712,6 +739,15 @@ def _(t: Tables):
     return readers.read_table(t.spark, root, "test_results")
 
 
+@query("w2_append_open_passes")
+def _(t: Tables):
+    root = storage.shared_dir(t.spark)
+    opened = t.test_passes().withColumns({
+        "time_end": F.lit(None).cast("timestamp_ntz"), "time_total": F.lit(None).cast("double")})
+    storage.append(opened, root, "test_passes")
+    return readers.read_table(t.spark, root, "test_passes")
+
+
 @query("w3_upsert_pass_end")
 def _(t: Tables):
     return maintenance.upsert_pass_end(t.test_passes(), t.milestones_log())
@@ -724,6 +760,11 @@ def _(t: Tables):
                            "error_text")
 
 
+@query("w4_scrub_every_rule")
+def _(t: Tables):
+    return maintenance.scrub(t.scrub_texts(), maintenance.ERROR_SCRUBS)
+
+
 @query("w4_scrub_environments")
 def _(t: Tables):
     passes = t.test_passes().withColumn("environ_name", F.when(

@@ -110,6 +110,21 @@ _TABLES = {
           ts as start_date, cast(user_id as varchar) as user_id, 'user-' || user_id as user_name,
           'node-' || (user_id % 5) as node_url
         from events""",
+    "spelled_builds": """
+        select * replace (case when result = 'FAILURE' and cast(id as bigint) % 2 = 0
+            then 'FAILED' else result end as result)
+        from build_details""",
+    "scrub_texts": """
+        select l_orderkey as test_id, l_linenumber as step, '' as error_type,
+          case (l_orderkey + l_linenumber) % 8 when 0 then ''
+            when 1 then 'The server has either erred or is incapable of performing the requested operation. (HTTP 500)'
+            when 2 then 'ssh: Permission denied (publickey)'
+            when 3 then 'Instance quota exceeded for tenant 7'
+            when 4 then 'The resource could not be found. (HTTP 404)'
+            when 5 then 'Instance could not be found (HTTP 404)'
+            when 6 then 'Test timed out: Permission denied (publickey)'
+            else 'Some Other Text' end as error_text
+        from lineitem""",
     "build_node": """
         select distinct node_url as url, 'build node' as description,
           upper(node_url) as display_name, 'linux' as label, '15.0.0.1' as master_address,
@@ -128,6 +143,9 @@ _TABLES = {
         union all
         select c_custkey, 'username:' || c_name, c_name || '@example.org'
         from customer where c_custkey % 5 <> 0""",
+    "repeated_external_ids": """
+        select * from account_external_ids
+        union all select * from account_external_ids where account_id % 4 = 0""",
     "accounts": """
         select c_custkey as account_id, c_name as full_name,
           case when c_acctbal < 0 then 'Y' else 'N' end as inactive from customer""",
@@ -471,6 +489,9 @@ def _statements() -> dict[str, str]:
     q["f1_results_of_concurrency"] = f"""select {_RESULT_COLUMNS} from test_results
         where concurrency_count = 16"""
     q["f1_actions_of_test"] = "select * from test_actions where test_id = 742"
+    q["f1_clustered_actions_of_test"] = q["f1_actions_of_test"]
+    q["f7_clustered_actions_of_two_days"] = f"""select * from test_actions
+        where time_started between timestamp '2001-07-01 08:00:00' and {_AS_OF}"""
     q["f1_actions_of_function"] = """select * from test_actions
         where function_name = 'wait_for_active_status'"""
     q["f2_error_actions"] = "select * from test_actions where error_type <> ''"
@@ -536,6 +557,9 @@ def _statements() -> dict[str, str]:
         left join accounts acc on id1.account_id = acc.account_id
         where acc.inactive = 'N' group by all"""
     q["j7_identities"] = identities
+    q["j7_identity_rows"] = identities.replace(
+        "account_external_ids", "repeated_external_ids").replace(
+        ", count(*) as copies", "").replace("group by all", "")
     q["x7_trusted_lines"] = f"""select full_name,
           'trustedOpenID = ^https://(login\\\\.)?launchpad\\\\.net/('
           || replace(coalesce(profile_id, 'None'), 'https://launchpad.net/', '') || '|\\\\'
@@ -664,6 +688,10 @@ def _statements() -> dict[str, str]:
     q["wp3_sequential_failures"] = f"select * from ({_SEQUENTIAL}) where failures >= 2"
     q["wp3_job_failures"] = _last_builds("job-3", 3, "FAILURE")
     q["wp4_head_failures"] = _last_builds("job-7", 3, "FAILED")
+    q["wp4_failures_other_spelling"] = """select name,
+          count(case when result = 'FAILED' then 1 end) as failures
+        from (select *, row_number() over (partition by name order by end_date desc, id desc) as rn
+              from spelled_builds) where rn <= 20 group by name"""
 
     q["r1_rollup_test_results"] = f"""select *,
           round(action_count / nullif(time_total, 0), 3) as rps from (
@@ -854,6 +882,9 @@ def _statements() -> dict[str, str]:
                     where benchmark_type in ('sysbench', 'tpcc-mysql')))"""
 
     q["w1_append_results"] = f"select {_RESULT_COLUMNS} from test_results"
+    q["w2_append_open_passes"] = """select * replace (
+          cast(null as timestamp) as time_end, cast(null as double) as time_total)
+        from test_passes"""
     q["w3_upsert_pass_end"] = f"""select p.* replace (
           coalesce(u.time_end, p.time_end) as time_end,
           coalesce(u.time_total, p.time_total) as time_total)
@@ -871,6 +902,9 @@ def _statements() -> dict[str, str]:
               then 'The server has either erred or is incapable of performing the requested operation. (HTTP 500)'
             else error_type end as error_type
         from test_actions"""
+    q["w4_scrub_every_rule"] = q["w4_scrub_errors"].replace(
+        "test_id, function_name, time_started,", "test_id, step,").replace(
+        "from test_actions", "from scrub_texts")
     q["w4_scrub_environments"] = """select test_pass_id, region,
           case region when 'region-1' then 'AMERICA-2' when 'region-4' then 'ASIA'
             else environ_name end as environ_name

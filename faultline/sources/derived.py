@@ -110,6 +110,17 @@ class Tables:
             F.get(texts, variant.cast("int")).alias("error_text"),
         )
 
+    def scrub_texts(self) -> DataFrame:
+        """One text per action; each scrub rule meets some of them."""
+        variant = (F.col("l_orderkey") + F.col("l_linenumber")) % len(SCRUB_TEXTS)
+        texts = F.array(*[F.lit(t) for t in SCRUB_TEXTS])
+        return self.raw("lineitem").select(
+            F.col("l_orderkey").alias("test_id"),
+            F.col("l_linenumber").alias("step"),
+            F.get(texts, variant.cast("int")).alias("error_text"),
+            F.lit("").alias("error_type"),
+        )
+
     def milestones_log(self) -> DataFrame:
         """Pass updates: one closing record per pass, for the upsert."""
         passes = self.test_passes()
@@ -143,6 +154,12 @@ class Tables:
             F.concat(F.lit("node-"), (user % 5).cast("string")).alias("node_url"),
         )
 
+    def spelled_builds(self) -> DataFrame:
+        """Builds of which some write their failure the other way."""
+        other = (F.col("result") == "FAILURE") & (F.col("id").cast("bigint") % 2 == 0)
+        return self.build_details().withColumn(
+            "result", F.when(other, "FAILED").otherwise(F.col("result")))
+
     def build_node(self) -> DataFrame:
         url = F.col("node_url")
         return self.build_details().select("node_url").distinct().select(
@@ -179,6 +196,11 @@ class Tables:
             F.concat(name, F.lit("@example.org")).alias("email_address"),
         )
 
+    def repeated_external_ids(self) -> DataFrame:
+        """Identities of which every fourth account's are stored twice."""
+        ids = self.account_external_ids()
+        return ids.unionAll(ids.filter(F.col("account_id") % 4 == 0))
+
     def accounts(self) -> DataFrame:
         return self.raw("customer").select(
             F.col("c_custkey").alias("account_id"),
@@ -332,6 +354,19 @@ BRANCH_TEXTS = [
 ]
 
 
+# One text per scrub rule and fragment, one that two rules meet and two that none does.
+SCRUB_TEXTS = [
+    "",
+    "The server has either erred or is incapable of performing the requested operation. (HTTP 500)",
+    "ssh: Permission denied (publickey)",
+    "Instance quota exceeded for tenant 7",
+    "The resource could not be found. (HTTP 404)",
+    "Instance could not be found (HTTP 404)",
+    "Test timed out: Permission denied (publickey)",
+    "Some Other Text",
+]
+
+
 def week_start(ts: Column) -> Column:
     day = ts.cast("date")
     return F.date_sub(day, F.weekday(day)).cast("timestamp_ntz")
