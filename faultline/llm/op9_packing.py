@@ -66,20 +66,30 @@ def pack_histogram(counts: dict[int, int], capacity: Capacity = Capacity()) -> d
             if len(fits):
                 after = ((residual[fits] - piece) ** 2 * weights).sum(axis=1)
                 k = int(fits[np.lexsort((first[fits], after))[0]])
-                n = min(left, int(many[k]))
-                start, state = int(first[k]), residual[k]
-                many[k] -= n
-                first[k] += n
+                start, state, there = int(first[k]), residual[k], int(many[k])
             else:
-                # As many new sequences as this length fills to the brim or runs out in.
-                each = int((full // piece).min())
-                n = -(-left // each)
-                start, state = opened, full
-                opened += n
-            places.append((length, rank, n, start, int(capacity.tokens - state[0])))
-            residual = np.vstack([residual, state - piece])
-            many, first = np.append(many, n), np.append(first, start)
-            rank, left = rank + n, left - n
+                start, state, there = opened, full, left
+            # The sequence that took a piece is the fullest choice for the next one of its length,
+            # so sequences are filled one after the other, each with as many as fit.
+            each = int((state // piece).min())
+            used = min(there, -(-left // each))
+            taken = min(left, used * each)
+            whole, rest = divmod(taken, each)
+            if len(fits):
+                many[k] -= used
+                first[k] += used
+            else:
+                opened += used
+            for slot in range(each if whole else rest):
+                n = whole + (slot < rest)
+                places.append((length, rank, n, start,
+                               int(capacity.tokens - state[0]) + slot * length))
+                rank += n
+            for n, held, at in ((whole, each, start), (int(rest > 0), rest, start + whole)):
+                if n:
+                    residual = np.vstack([residual, state - held * piece])
+                    many, first = np.append(many, n), np.append(first, at)
+            left -= taken
             if (spent := many == 0).any():
                 residual, many, first = residual[~spent], many[~spent], first[~spent]
             full_up = residual[:, 0] < 1

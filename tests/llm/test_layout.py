@@ -227,6 +227,39 @@ def test_packed_ids_are_the_texts(spark):
         assert whole.tolist() == own.encode(row.text, add_special_tokens=False).ids + [2]
 
 
+def plain_best_fit(counts, capacity):
+    """Contents of the sequences, every piece placed by itself."""
+    full = np.array([capacity.tokens, capacity.documents, capacity.attention], float)
+    weights = np.array(capacity.weights) / full**2
+    free, contents = [], []
+    for n in sorted(counts, reverse=True):
+        piece = np.array([n, 1, n * n], float)
+        for _ in range(counts[n]):
+            fits = [(float((((room - piece) ** 2) * weights).sum()), s)
+                    for s, room in enumerate(free) if (room >= piece).all()]
+            if not fits:
+                free.append(full)
+                contents.append([])
+            s = min(fits)[1] if fits else len(free) - 1
+            free[s] = free[s] - piece
+            contents[s].append(n)
+    return contents
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.dictionaries(st.integers(1, 20), st.integers(0, 30), max_size=12), st.integers(1, 6),
+       st.integers(0, 300))
+def test_plan_is_the_one_of_placing_piece_by_piece(counts, documents, extra):
+    capacity = op9_packing.Capacity(20, documents, 400 + extra, (1, 0.3, 0.3))
+    plan = op9_packing.pack_histogram(counts, capacity)
+    got = defaultdict(list)
+    for n, pieces, first in zip(*(plan[k].tolist() for k in ("length", "pieces", "sequence"))):
+        for k in range(pieces):
+            got[first + k].append(n)
+    want = plain_best_fit(counts, capacity)
+    assert [sorted(got[s], reverse=True) for s in range(len(want))] == want and len(got) == len(want)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 20), st.integers(0, 30), max_size=12), st.integers(1, 6),
        st.integers(0, 300))
