@@ -1,7 +1,10 @@
 """The operators on texts and pages against plain versions, and their edge cases."""
 
+import bisect
 import hashlib
+import math
 import re
+import string
 import textwrap
 import zlib
 from collections import Counter
@@ -281,6 +284,47 @@ def test_quality_query(spark, sf_dir):
     assert sum(r.predicted == labels[r.doc_id] for r in held) / len(held) >= 0.85
 
 
+def plain_features(text):
+    data = (text or "").encode()
+    words = [w.lower() for w in re.findall(rb"[^\x20\x09-\x0d]+", data)]
+    n, count = len(words), lambda characters: sum(data.count(c.encode()) for c in characters)
+    share = lambda value, whole: value / max(whole, 1)
+    lines = count("\n")
+    return {
+        "log_bytes": math.log1p(len(data)), "log_words": math.log1p(n),
+        "mean_word": share(sum(map(len, words)), n),
+        "long_words": share(sum(len(w) > 14 for w in words), n),
+        "upper": share(count(string.ascii_uppercase), len(data)),
+        "digits": share(count(string.digits), len(data)),
+        "beyond_ascii": share(sum(b >= 128 for b in data), len(data)),
+        "marks": share(count("#$%&*+=@^_~<>\\{}[]"), n), "bars": share(count("|"), n),
+        "exclaims": share(count("!?"), n), "stops": share(count("."), n),
+        "commas": share(count(",;:"), n),
+        "distinct": math.log1p(len(set(words))) / math.log1p(n) if n else 0.0,
+        "doubled": share(sum(a == b for a, b in zip(words, words[1:])), n),
+        "line_words": math.log1p(n / (1 + lines)), "lines": math.log1p(lines),
+    }
+
+
+def test_quality_scores_match_plain(spark, sf_dir, odd):
+    """Features of whole texts, and the score as a sum of looked-up values, one row at a time."""
+    documents = table(spark, sf_dir, "documents")
+    for docs in (documents, odd):
+        want = Counter(tuple(round(plain_features(r.text)[f], 9) for f in op6_quality.FEATURES)
+                       for r in docs.collect())
+        got = Counter(tuple(round(r[f], 9) for f in op6_quality.FEATURES)
+                      for r in op6_quality.feature_rows(docs).collect())
+        assert got == want
+    rows = op6_quality.feature_rows(documents)
+    model = op6_quality.train(rows, table(spark, sf_dir, "labels"))
+    scores = {r.doc_id: r.score for r in queries()["op6_quality_scores"](spark, sf_dir).collect()}
+    for r in rows.collect():
+        bins = [bisect.bisect_right(c.tolist(), r[f]) for c, f in zip(model.cuts, op6_quality.FEATURES)]
+        total = model.intercept + sum(t[b] for t, b in zip(model.tables, bins))
+        total += sum(t[bins[i], bins[j]] for (i, j), t in zip(model.pairs, model.pair_tables))
+        assert scores[r.doc_id] == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-9)
+
+
 def test_quality_learns_from_no_held_out_label(spark, sf_dir):
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     turned = labels.withColumn("quality", F.when(op6_quality.held_out(F.col("doc_id")),
