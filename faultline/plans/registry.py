@@ -944,7 +944,7 @@ def _(t: Tables):
 def _(t: Tables):
     arriving = _StreamedEvents(t.spark, t.sf_dir).build_details()
     run = sinks.StreamRun.new(t.spark)
-    sinks.run_updates(keyed.sequential_failure_updates(arriving, 3), run)
+    sinks.run_updates(keyed.sequential_failure_updates(arriving, 3), run, keyed.STATE)
     return sinks.latest_rows(t.spark, run, keyed.FAILURES, ["name"])
 
 
@@ -954,7 +954,7 @@ def _(t: Tables):
     path = f"{run.root}/in"
     events.write.parquet(path)
     sinks.run_appends(keyed.orphaned_ip_timers(
-        sinks.file_stream(t.spark, path, schema=events.schema)), run)
+        sinks.file_stream(t.spark, path, schema=events.schema)), run, keyed.STATE)
     return t.spark.read.schema(keyed.ORPHANED).parquet(run.data)
 
 

@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import bisect
 import heapq
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +21,14 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from faultline.functions.times import micros
 
+# State processors travel with their code, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+# What a session must have when a stream of these operators starts; Spark's default store has no
+# lists and timers.
+STATE = {"spark.sql.streaming.stateStore.providerClass":
+         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
 FAILURES = T.StructType().add("name", T.StringType()).add("failures", T.LongType())
 
 

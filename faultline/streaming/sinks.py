@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,19 +44,33 @@ class StreamRun:
         return StreamRun(shared_dir(spark))
 
 
-def run_updates(stream: DataFrame, run: StreamRun) -> None:
+@contextmanager
+def _set(spark: SparkSession, settings: dict[str, str] | None) -> Iterator[None]:
+    """The session with ``settings``; a stream copies them when it starts."""
+    before = {key: spark.conf.get(key, None) for key in settings or {}}
+    try:
+        for key, value in (settings or {}).items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def run_updates(stream: DataFrame, run: StreamRun, settings: dict[str, str] | None = None) -> None:
     """Process everything available and store the changed rows of each batch.
 
     Every batch owns one folder and overwrites it, so a batch that runs again after a failure
-    leaves the same rows.
+    leaves the same rows. The stream starts with ``settings`` in place of the session's own.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{run.data}/batch_id={batch_id}")
 
-    (stream.writeStream.outputMode("update").foreachBatch(store)
-     .option("checkpointLocation", run.checkpoint).trigger(availableNow=True)
-     .start().awaitTermination())
+    with _set(stream.sparkSession, settings):
+        started = (stream.writeStream.outputMode("update").foreachBatch(store)
+                   .option("checkpointLocation", run.checkpoint).trigger(availableNow=True).start())
+    started.awaitTermination()
 
 
 def latest_rows(spark: SparkSession, run: StreamRun, schema: T.StructType,
@@ -68,8 +84,10 @@ def latest_rows(spark: SparkSession, run: StreamRun, schema: T.StructType,
     return newest.select(*keys, *[F.col(f"row.{c}").alias(c) for c in values])
 
 
-def run_appends(stream: DataFrame, run: StreamRun) -> None:
-    """Process everything available and append final rows as parquet."""
-    (stream.writeStream.outputMode("append").format("parquet").option("path", run.data)
-     .option("checkpointLocation", run.checkpoint).trigger(availableNow=True)
-     .start().awaitTermination())
+def run_appends(stream: DataFrame, run: StreamRun, settings: dict[str, str] | None = None) -> None:
+    """Process everything available and append final rows as parquet; ``settings`` as above."""
+    with _set(stream.sparkSession, settings):
+        started = (stream.writeStream.outputMode("append").format("parquet")
+                   .option("path", run.data).option("checkpointLocation", run.checkpoint)
+                   .trigger(availableNow=True).start())
+    started.awaitTermination()

@@ -236,3 +236,44 @@ def test_timed_orphans_equal_the_batch_for_any_order_within_the_delay(
     want = alerts.orphaned_ips_batch(events, wait_seconds=wait).filter(F.col("detached_at") < F.lit(due))
     assert want.count() > 0
     assert rows_of(got) == rows_of(want)
+
+
+def test_state_processors_travel_with_their_code(tmp_path):
+    """A worker that knows no faultline can load them."""
+    import os
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    path = tmp_path / "processors"
+    path.write_bytes(cloudpickle.dumps([keyed.LastBuilds(3), keyed.Unattached(120)]))
+    bare = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    code = ("import pickle, sys; p = pickle.load(open('processors', 'rb')); "
+            "assert p[1].wait == 120_000_000 and 'faultline' not in sys.modules")
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=bare, check=True)
+
+
+def test_keyed_streams_run_in_a_session_with_the_default_store(spark, tmp_path):
+    at, provider = BASE, "spark.sql.streaming.stateStore.providerClass"
+    builds = spark.createDataFrame([("a", str(i), at + dt.timedelta(hours=i), r) for i, r in enumerate(
+        ["FAILURE", "FAILURE", "SUCCESS", "FAILURE"])], "name string, id string, end_date timestamp_ntz, result string")
+    events = spark.createDataFrame([("x", at, "detach"), ("y", at, "detach"), (
+        "y", at + dt.timedelta(seconds=9), "attach"), ("z", at + dt.timedelta(days=1), "detach")],
+        "ip string, event_time timestamp_ntz, kind string")
+    builds.write.parquet(str(tmp_path / "builds"))
+    events.write.parquet(str(tmp_path / "events"))
+    runs = [sinks.StreamRun(str(tmp_path / name)) for name in ("run", "timed")]
+    before, default = spark.conf.get(provider), (
+        "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    spark.conf.set(provider, default)
+    try:
+        sinks.run_updates(keyed.sequential_failure_updates(sinks.file_stream(
+            spark, str(tmp_path / "builds"), schema=builds.schema)), runs[0], keyed.STATE)
+        sinks.run_appends(keyed.orphaned_ip_timers(sinks.file_stream(
+            spark, str(tmp_path / "events"), schema=events.schema)), runs[1], keyed.STATE)
+        assert spark.conf.get(provider) == default
+    finally:
+        spark.conf.set(provider, before)
+    assert rows_of(sinks.latest_rows(spark, runs[0], keyed.FAILURES, ["name"])) == [(2, "a")]
+    assert rows_of(spark.read.schema(keyed.ORPHANED).parquet(runs[1].data)) == [(at, "x")]
