@@ -119,7 +119,10 @@ class Encoder:
 # Characters whose class, lower case and normal form are settled; letters, others.
 _LETTERS = "a-zA-ZªµºÀ-ÖØ-öø-įı-ɏ"
 _OTHERS = "!-/:-@\\[-`{-~¡-©«-±´¶-¸»¿×÷‐-‧‰-⁞€"
-_SETTLED = re.compile(f"[ \t\n\r\x0b\x0c0-9{_LETTERS}{_OTHERS}]*")
+# Letters whose lower case lies outside of them, as that of Ɓ does, are not settled.
+_STAYING = "".join(c for c in map(chr, range(0x250)) if re.fullmatch(f"[{_LETTERS}]", c)
+                   and re.fullmatch(f"[{_LETTERS}]+", c.lower()))
+_SETTLED = re.compile(f"[ \t\n\r\x0b\x0c0-9{_STAYING}{_OTHERS}]*")
 _WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[{_OTHERS}]+")
 _MARK = "\x01"
 LONG_WORD = 500

@@ -248,6 +248,14 @@ def test_token_files_of_odd_tables(spark, tmp_path, rows, monkeypatch):
     check_tokens(rows, found)
 
 
+def test_every_letter_of_the_first_blocks_keeps_its_ids():
+    """Also one whose lower case lies far away, like that of Ⱥ or Ɓ."""
+    encoder = _encoder()
+    for text in [f for c in map(chr, range(0x20, 0x250)) for f in (c, f"a{c}b {c}")]:
+        ids = np.frombuffer(encoder(text.encode()), "<u2")
+        assert ids.tolist() == encoder.library.encode(text, add_special_tokens=False).ids, text
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.one_of(st.characters(codec="utf-8"), st.sampled_from(
     list(" \t\n\r\x0b\x0c\x1c\x85\xa0 'sS") + ["ll", "\u0301", "Σ", "İ", "<|endoftext|>"]))))
