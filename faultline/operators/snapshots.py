@@ -59,6 +59,10 @@ def first_match(images: DataFrame, needles: list[str]) -> DataFrame:
     return first.select("needle", "hit.name", "hit.id")
 
 
+# Rows whose pieces one task makes; some thousand bytes each are held at once.
+INDEX_ROWS = 40_000
+
+
 def first_match_of(images: DataFrame, needles: DataFrame) -> DataFrame:
     """``first_match`` for a table of needles of any size, column ``needle``.
 
@@ -66,14 +70,18 @@ def first_match_of(images: DataFrame, needles: DataFrame) -> DataFrame:
     holds that fewest of them hold, and only rows with that trigram are tested, by an equality join.
     Needles of one or two characters are looked up among the first rows per such piece, needles
     without characters get the first row of all. NULL needles match nothing.
+
+    Equal rows are taken once, before they are cut into pieces, and spread over tasks of about
+    ``INDEX_ROWS`` rows by a count, so the pieces a task holds do not grow with the table.
     """
     asked = needles.select("needle").filter("needle IS NOT NULL").distinct()
     hit = F.struct("name", "id").alias("hit")
+    tasks = max(1, -(-images.count() // INDEX_ROWS))
+    rows = images.select("name", "id").distinct().repartition(tasks, "name", "id")
 
     def index(size: int) -> DataFrame:
-        pieces = [F.explode(_pieces(F.col(c), size)).alias("piece") for c in ("name", "id")]
-        rows = images.select("name", "id")
-        return rows.select(hit, pieces[0]).union(rows.select(hit, pieces[1])).distinct()
+        pieces = F.array_union(_pieces(F.col("name"), size), _pieces(F.col("id"), size))
+        return rows.select(hit, F.explode(pieces).alias("piece"))
 
     # The rarest trigram of each needle; one that no row holds has no match at all.
     long = asked.filter(F.length("needle") >= 3)

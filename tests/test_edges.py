@@ -337,3 +337,23 @@ def test_moving_average_counts_each_day_once(spark):
         if inside:
             plain[i] = (len(inside), sum(n % 2 for n in inside) / len(inside))
     assert {r.days_ago: (r.total_tests, r.failure_rate) for r in found} == plain
+
+
+def test_lookup_spreads_its_pieces_over_tasks_by_the_rows(spark, monkeypatch):
+    import re
+
+    from faultline.operators import snapshots
+
+    monkeypatch.setattr(snapshots, "INDEX_ROWS", 10)
+    rows = [(f"name-{i % 40:03d}", f"{i % 40}") for i in range(80)] + [(None, "x1"), ("y", None)]
+    words = ["name", "e-0", "03", "9", "x1", "y", "-01", "absent", ""]
+    found = snapshots.first_match_of(
+        spark.createDataFrame(rows, "name string, id string"),
+        spark.createDataFrame([(w,) for w in words], "needle string"))
+    dealt = re.findall(r"RepartitionByExpression \[name#\d+, id#\d+\], (\d+)",
+                       found._jdf.queryExecution().toString())
+    assert dealt and set(dealt) == {"9"}
+    order = lambda r: [(v is not None, v or "") for v in r]
+    want = {w: min(hits, key=order) for w in words
+            if (hits := [r for r in rows if any(v is not None and w in v for v in r)])}
+    assert {r.needle: (r.name, r.id) for r in found.collect()} == want
