@@ -14,17 +14,21 @@ the one before it names are removed, so their number stays bounded over any numb
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.functions.numbers import ratio
 from faultline.sources.files import Folder
-from faultline.streaming.sinks import StreamRun
+from faultline.streaming.sinks import StreamRun, settings_of
 
 # So many folders of counts are summed into one.
 COMPACT = 10
+# Rows of a batch that one task counts, and bytes of counts that one task reads.
+TASK_ROWS = 500_000
+TASK_BYTES = "16MB"
 # Attributes change while a stream runs: a function reads them anew for every batch.
 Attributes = DataFrame | Callable[[], DataFrame]
 
@@ -33,6 +37,20 @@ def _now(attributes: Attributes, columns: list[str]) -> DataFrame:
     return (attributes if isinstance(attributes, DataFrame) else attributes()).select(*columns)
 
 
+@contextmanager
+def small_tasks(batch: DataFrame, columns: list[str]) -> Iterator[DataFrame]:
+    """The columns of a batch, spread evenly over tasks of ``TASK_ROWS`` rows; meanwhile its session
+    has shuffles and scans of tasks alike."""
+    spark, tasks = batch.sparkSession, -(-batch.count() // TASK_ROWS)
+    key = "spark.sql.shuffle.partitions"
+    # Some counts a row, and those that wait from earlier batches; small ones are merged.
+    with settings_of(spark, {key: str(max(int(spark.conf.get(key)), 4 * tasks)),
+                             "spark.sql.adaptive.advisoryPartitionSizeInBytes": TASK_BYTES,
+                             "spark.sql.files.maxPartitionBytes": TASK_BYTES}):
+        rows = batch.select(*columns)
+        yield rows.repartition(tasks, F.monotonically_increasing_id()) if tasks > 1 else rows
+
+
 def _counts_schema(keys: list[str], sums: list[str]) -> str:
     return ", ".join(["window_start timestamp_ntz", *[f"{k} string" for k in keys],
                       *[f"{s} bigint" for s in sums]])
@@ -53,10 +71,14 @@ def _joined(counts: DataFrame, attributes: DataFrame, key: str, keys: list[str])
 
 
 def _run_counts(stream: DataFrame, attributes: Attributes, run: StreamRun, *, key: str,
-                window, sums: dict, keys: list[str]) -> None:
+                window, sums: dict, keys: list[str], measures: tuple[str, ...] = ()) -> None:
     names = list(sums)
 
     def store(batch: DataFrame, batch_id: int) -> None:
+        with small_tasks(batch, [key, "time_started", *measures]) as rows:
+            count(rows, batch_id)
+
+    def count(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         manifests = Folder(spark, f"{run.root}/manifest")
         earlier = [n for n in manifests.numbers() if n < batch_id]
@@ -156,7 +178,7 @@ def run_failure_counts(results: DataFrame, passes: Attributes, run: StreamRun, *
                        window: str = "1 hour") -> None:
     """Store tests and failures per environment, zone and tumbling window of the test start."""
     _run_counts(results, passes, run, key="test_pass_id", window=(window,),
-                keys=["environ_name", "zone"], sums={
+                keys=["environ_name", "zone"], measures=("hard_errors_exist",), sums={
                     "total_tests": F.count("*"), "total_failures": F.sum("hard_errors_exist")})
 
 

@@ -45,7 +45,7 @@ class StreamRun:
 
 
 @contextmanager
-def _set(spark: SparkSession, settings: dict[str, str] | None) -> Iterator[None]:
+def settings_of(spark: SparkSession, settings: dict[str, str] | None) -> Iterator[None]:
     """The session with ``settings``; a stream copies them when it starts."""
     before = {key: spark.conf.get(key, None) for key in settings or {}}
     try:
@@ -67,7 +67,7 @@ def run_updates(stream: DataFrame, run: StreamRun, settings: dict[str, str] | No
     def store(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{run.data}/batch_id={batch_id}")
 
-    with _set(stream.sparkSession, settings):
+    with settings_of(stream.sparkSession, settings):
         started = (stream.writeStream.outputMode("update").foreachBatch(store)
                    .option("checkpointLocation", run.checkpoint).trigger(availableNow=True).start())
     started.awaitTermination()
@@ -86,7 +86,7 @@ def latest_rows(spark: SparkSession, run: StreamRun, schema: T.StructType,
 
 def run_appends(stream: DataFrame, run: StreamRun, settings: dict[str, str] | None = None) -> None:
     """Process everything available and append final rows as parquet; ``settings`` as above."""
-    with _set(stream.sparkSession, settings):
+    with settings_of(stream.sparkSession, settings):
         started = (stream.writeStream.outputMode("append").format("parquet")
                    .option("path", run.data).option("checkpointLocation", run.checkpoint)
                    .trigger(availableNow=True).start())

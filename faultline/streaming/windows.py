@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.sources.files import Folder
-from faultline.streaming.rates import COMPACT, sweep
+from faultline.streaming.rates import COMPACT, small_tasks, sweep
 from faultline.streaming.sinks import StreamRun
 
 _COUNTS = "test_id bigint, window_start timestamp_ntz, window_end timestamp_ntz, requests bigint"
@@ -56,6 +56,10 @@ def run_window_counts(actions: DataFrame, run: StreamRun, *, window: str = "60 s
     """Store the requests per test and sliding window of a stream of (test_id, time_started)."""
 
     def store(batch: DataFrame, batch_id: int) -> None:
+        with small_tasks(batch, ["test_id", "time_started"]) as rows:
+            count(rows, batch_id)
+
+    def count(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         manifests = Folder(spark, f"{run.root}/manifest")
         earlier = [n for n in manifests.numbers() if n < batch_id]

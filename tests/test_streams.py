@@ -277,3 +277,28 @@ def test_keyed_streams_run_in_a_session_with_the_default_store(spark, tmp_path):
         spark.conf.set(provider, before)
     assert rows_of(sinks.latest_rows(spark, runs[0], keyed.FAILURES, ["name"])) == [(2, "a")]
     assert rows_of(spark.read.schema(keyed.ORPHANED).parquet(runs[1].data)) == [(at, "x")]
+
+
+def test_a_batch_is_counted_in_tasks_of_bounded_rows(spark, tmp_path, monkeypatch):
+    """One file with one row group and one busy test: no task gets more than its share of rows."""
+    monkeypatch.setattr(rates, "TASK_ROWS", 50)
+    rows = [(1 if i % 4 else i, BASE + dt.timedelta(minutes=i % 3)) for i in range(1000)]
+    log = spark.createDataFrame(rows, "test_id bigint, time_started timestamp_ntz").coalesce(1)
+    log.write.parquet(str(tmp_path / "in"))
+    sizes, name = [], "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    real, before = rates.small_tasks, spark.conf.get(name, None)
+
+    def watched(batch, columns):
+        with real(batch, columns) as spread:
+            sizes.extend(r["count"] for r in spread.groupBy(F.spark_partition_id()).count().collect())
+        assert batch.sparkSession.conf.get(name, None) == before
+        return real(batch, columns)
+
+    monkeypatch.setattr(rates, "small_tasks", watched)
+    tests = spark.createDataFrame([(1, "E")], "test_id bigint, environ_name string")
+    run = sinks.StreamRun(str(tmp_path / "run"))
+    rates.run_request_counts(sinks.file_stream(spark, str(tmp_path / "in")), tests, run,
+                             window="1 hour", slide="30 minutes")
+    assert len(sizes) > 10 and max(sizes) <= 100 and sum(sizes) == 1000
+    found = [r[0] for r in rates.request_rates(spark, run, 3600).select("requests").collect()]
+    assert found == [750, 750]
