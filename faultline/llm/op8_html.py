@@ -12,11 +12,13 @@ copies it looked past itself is looked past as well. A page that has no page of
 its host keeps all its lines, also one whose menus outweigh its text so far that every page counts
 as its copy.
 
-Differencing alone cannot give the article: menus and adverts may be unique to a page, and an
-article may share a line with its neighbour. So markup decides where it speaks: lines inside
-elements that are never article text go whatever they hold, lines inside an ``article`` or
-``main`` element stay, and on pages with such an element only those. The difference decides about
-all other lines.
+Every page is differenced. That alone cannot give the article: menus and adverts may be unique to a
+page, and an article may share a line with its neighbour. So markup checks the result: lines inside
+elements that are never article text go whatever they hold. On a page with text in ``article`` or
+``main`` elements the article is those of them in which the difference found a line of the page's
+own, and they stay whole; one that the nearest page has line by line is what the site repeats and
+goes, unless no element has a line of its own, when all stay. On other pages the lines that the
+difference left are the text.
 
 The pages are cut into blocks of consecutive URLs at rows picked by a hash of their key, at most
 about ``MAX_CUTS`` of them whatever the input. A first pass over hashes of the lines finds for both
@@ -47,7 +49,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MIN_BLOCK = 16
+# Pages of a block at least; up to twice ``CARRIED`` of its neighbours' rows are sent along.
+MIN_BLOCK = 64
 MAX_CUTS = 4_096
 # Pages that share more than this part of their characters are copies of one another.
 COPY_SHARE = 0.7
@@ -137,14 +140,15 @@ def _region(name: str, attributes: str, inside_main: bool) -> str | None:
     return None
 
 
-def page_lines(html: str | None) -> list[tuple[str, bool]]:
-    """The blocks of text outside excluded elements: (text, whether inside a main element)."""
+def page_lines(html: str | None) -> list[tuple[str, int]]:
+    """The blocks of text outside excluded elements: (text, number of the outermost main element it
+    is in, 0 outside of all)."""
     html = html or ""
-    lines: list[tuple[str, bool]] = []
+    lines: list[tuple[str, int]] = []
     buffer: list[str] = []
     stack: list[tuple[str, str | None]] = []
     open_names: Counter = Counter()
-    out = main = 0
+    out = main = mains = 0
     no_quote = {'"': len(html) + 1, "'": len(html) + 1}
 
     def flush() -> None:
@@ -152,7 +156,7 @@ def page_lines(html: str | None) -> list[tuple[str, bool]]:
             text = " ".join(entities.unescape("".join(buffer)).split())
             buffer.clear()
             if text:
-                lines.append((text, main > 0))
+                lines.append((text, mains if main else 0))
 
     def pop() -> str:
         nonlocal out, main
@@ -260,6 +264,7 @@ def page_lines(html: str | None) -> list[tuple[str, bool]]:
                 flush()
             out += 1
         elif region == "main":
+            mains += not main
             main += 1
     flush()
     return lines
@@ -370,14 +375,16 @@ def distinct(pages: Iterable[tuple], count: int = CARRIED) -> list[tuple]:
     return found
 
 
-def article(lines: list[str], is_main: list[bool], neighbours: list[tuple[str, list[str]]],
+def article(lines: list[str], regions: list[int], neighbours: list[tuple[str, list[str]]],
             path: str) -> list[str]:
-    """The kept lines of a page, given (path, lines) of pages of other content on its host."""
-    if any(is_main):
-        return [line for line, core in zip(lines, is_main) if core]
+    """The kept lines of a page, given (path, lines) of pages of other content on its host: the
+    lines that the nearest one does not share, then the check by main elements."""
     others = [(common_beginning(path, p), -i, ls) for i, (p, ls) in enumerate(neighbours)]
     shared = shared_lines(lines, max(others, key=lambda o: o[:2])[2]) if others else [False] * len(lines)
-    return [line for line, repeated in zip(lines, shared) if not repeated]
+    if not any(regions):
+        return [line for line, repeated in zip(lines, shared) if not repeated]
+    told = {r for r, repeated in zip(regions, shared) if r and not repeated} or set(regions)
+    return [line for line, r in zip(lines, regions) if r and r in told]
 
 
 # -- the operator ------------------------------------------------------------------------------------
@@ -421,7 +428,7 @@ def main_text(pages: DataFrame) -> DataFrame:
             yield from _resolve(list(part))
 
     schema = ("block int, home boolean, page_id bigint, url string, host string, path string, "
-              "tie bigint, lines array<string>, core array<boolean>")
+              "tie bigint, lines array<string>, core array<int>")
     lines = keyed.mapInArrow(read, schema).repartition("block")
     ordered = lines.sortWithinPartitions("block", "host", "path", "tie", "home")
     return ordered.mapInArrow(_batched(difference),
@@ -430,7 +437,7 @@ def main_text(pages: DataFrame) -> DataFrame:
 
 _TYPES = {"block": pa.int32(), "home": pa.bool_(), "page_id": pa.int64(), "url": pa.string(),
           "host": pa.string(), "path": pa.string(), "tie": pa.int64(),
-          "lines": pa.list_(pa.string()), "core": pa.list_(pa.bool_())}
+          "lines": pa.list_(pa.string()), "core": pa.list_(pa.int32())}
 _HASHED = {"block": pa.int32(), "host": pa.string(), "path": pa.string(), "tie": pa.int64(),
            "asked": pa.bool_(), "hashes": pa.binary(), "chars": pa.binary()}
 _ENDS = {"block": pa.int32(), "tail": pa.bool_(), "whole": pa.bool_(), "asked": pa.bool_(),
@@ -445,7 +452,7 @@ def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
 
 def _resolve(rows: list[dict]) -> Iterator[tuple]:
     """The texts of the rows at home among the rows of one host in one block, in order."""
-    asked = [r["home"] and bool(r["lines"]) and not any(r["core"]) for r in rows]
+    asked = [r["home"] and bool(r["lines"]) for r in rows]
     before = after = [-1] * len(rows)
     if any(asked):
         pages = [(r["lines"], [len(x) for x in r["lines"]]) for r in rows]
@@ -466,7 +473,7 @@ def _carried(keyed: DataFrame, cuts: list[tuple]) -> dict[tuple, list[int]]:
             for html, *key in zip(*(batch.column(c).to_pylist()
                                     for c in ("html", "host", "path", "tie"))):
                 lines = page_lines(html)
-                asked = bool(lines) and not any(core for _, core in lines)
+                asked = bool(lines)
                 hashes = b"".join(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8)
                                   .digest() for t, _ in lines)
                 chars = np.array([len(t) for t, _ in lines], "<u4").tobytes()

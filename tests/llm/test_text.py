@@ -457,6 +457,22 @@ def test_copies_and_near_copies_are_looked_past(spark):
     assert {r.text for r in alone} == {"\n".join(menu + story("same") + foot)}
 
 
+def test_difference_tells_which_main_elements_are_the_article(spark):
+    """A teaser that the nearest page has too goes; the story stays with the lines it shares."""
+    teaser = "<article><h2>Work with us</h2><p>Ten open places</article>"
+    rows = [(i, f"http://h/{i:05}", f"<p>own {i}<article><p>Dear all<p>A long story number {i} of {i * 7}"
+             f"<p>Thanks</article>" + teaser) for i in range(200)]
+    rows += [(200 + i, f"http://only/{i}", f"<p>{'outside ' * 9}{i}<main><p>Same</main>") for i in range(2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    found = {r.page_id: r.text for r in op8_html.main_text(pages).collect()}
+    assert all(found[i] == f"Dear all\nA long story number {i} of {i * 7}\nThanks" for i in range(200))
+    # No element has a line of its own: none can be told apart.
+    assert found[200] == found[201] == "Same"
+    # A page alone on its host has nothing to be told by.
+    alone = op8_html.main_text(pages.filter("page_id = 7")).first()
+    assert alone.text.endswith("Work with us\nTen open places")
+
+
 def test_page_query_keeps_the_article(spark, sf_dir):
     import html
     rows = {r.page_id: r.text for r in queries()["op8_html_text"](spark, sf_dir).collect()}
