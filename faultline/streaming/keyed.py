@@ -29,6 +29,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 STATE = {"spark.sql.streaming.stateStore.providerClass":
          "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
+# Before every time.
+NEVER = -(1 << 63)
 FAILURES = T.StructType().add("name", T.StringType()).add("failures", T.LongType())
 
 
@@ -48,7 +50,8 @@ class LastBuilds(StatefulProcessor):
         kept = [tuple(r) for r in self.kept.get()] if self.kept.exists() else []
         for part in rows:
             new = zip(part["at"].tolist(), part["id"].tolist(), part["failed"].tolist())
-            kept = heapq.nlargest(self.n, [*kept, *new], key=lambda r: (r[0], r[1]))
+            kept = heapq.nlargest(self.n, [*kept, *new], key=lambda r: (
+                r[0], r[1] is not None, r[1] or ""))
         self.kept.put(kept)
         yield pd.DataFrame({"name": [key[0]], "failures": [sum(bool(f) for _, _, f in kept)]})
 
@@ -59,8 +62,10 @@ class LastBuilds(StatefulProcessor):
 def sequential_failure_updates(builds: DataFrame, n: int = 3, failed: str = "FAILURE",
                                ttl_ms: int | None = None) -> DataFrame:
     """For every job that a batch brings builds of: the failures among its last ``n``. Equals the
-    batch report whatever the order of the builds, as the newest are kept by their end."""
-    rows = builds.select("name", micros(F.col("end_date")).alias("at"), "id",
+    batch report whatever the order of the builds, as the newest are kept by their end; builds without
+    an end count as the oldest."""
+    ended = F.coalesce(micros(F.col("end_date")), F.lit(NEVER).cast("bigint"))
+    rows = builds.select("name", ended.alias("at"), "id",
                          F.coalesce(F.col("result") == failed, F.lit(False)).alias("failed"))
     return rows.groupBy("name").transformWithStateInPandas(
         LastBuilds(n, ttl_ms), FAILURES, "Update", "ProcessingTime" if ttl_ms else "None")
@@ -103,6 +108,9 @@ class Unattached(StatefulProcessor):
             back = part["kind"] == "attach"
             attached += part["at"][back].tolist()
             detached += part["at"][~back].tolist()
+        if key[0] is None:
+            # Nobody knows whether two events without address are of the same one.
+            attached = []
         attached.sort()
         waiting = [d for d in detached if not self._answered(d, attached)]
         for d in set(waiting) - known:
@@ -138,8 +146,10 @@ def orphaned_ip_timers(events: DataFrame, *, wait_seconds: int = 120,
                        delay: str = "10 minutes") -> DataFrame:
     """Addresses that were detached and not attached again within the wait, each row as soon as the
     watermark has passed its wait. No events need be invented at the end of input: a row that is
-    not due yet comes with the run that moves the watermark on."""
+    not due yet comes with the run that moves the watermark on. An event without time is never due."""
     timed = events.select("ip", "kind", F.col("event_time").cast("timestamp").alias("event_time"),
                           F.unix_micros(F.col("event_time").cast("timestamp")).alias("at"))
-    return (timed.withWatermark("event_time", delay).groupBy("ip").transformWithStateInPandas(
+    marked = timed.filter("event_time IS NOT NULL").withWatermark("event_time", delay)
+    known = marked.filter(F.col("kind").isin("attach", "detach"))
+    return (known.groupBy("ip").transformWithStateInPandas(
         Unattached(wait_seconds), ORPHANED, "Append", "EventTime"))

@@ -302,3 +302,30 @@ def test_a_batch_is_counted_in_tasks_of_bounded_rows(spark, tmp_path, monkeypatc
     assert len(sizes) > 10 and max(sizes) <= 100 and sum(sizes) == 1000
     found = [r[0] for r in rates.request_rates(spark, run, 3600).select("requests").collect()]
     assert found == [750, 750]
+
+
+def test_keyed_streams_of_odd_rows_equal_the_batch(spark, tmp_path):
+    """No name, id, end, address, time or kind, and equal rows."""
+    at, day = BASE, dt.timedelta(days=1)
+    ends = [None, at, at + day, at + day, None, at - day]
+    builds = spark.createDataFrame(
+        [(name, None if i == 2 else str(i), ends[i], "FAILURE" if i % 2 else None)
+         for name in ("a", None) for i in range(6)] + [("b", None, None, "FAILURE")] * 2,
+        "name string, id string, end_date timestamp_ntz, result string")
+    events = spark.createDataFrame(
+        [(ip, at, "detach") for ip in ("x", "y", "y", None)]
+        + [("x", at + dt.timedelta(seconds=9), "attach"), (None, at + dt.timedelta(seconds=9), "attach"),
+           ("x", None, "detach"), ("z", at, None), ("z", None, None), ("w", at + day, "detach")],
+        "ip string, event_time timestamp_ntz, kind string")
+    builds.write.parquet(str(tmp_path / "builds"))
+    events.write.parquet(str(tmp_path / "events"))
+    runs = [sinks.StreamRun(str(tmp_path / name)) for name in ("run", "timed")]
+    sinks.run_updates(keyed.sequential_failure_updates(sinks.file_stream(
+        spark, str(tmp_path / "builds"), schema=builds.schema)), runs[0], keyed.STATE)
+    sinks.run_appends(keyed.orphaned_ip_timers(sinks.file_stream(
+        spark, str(tmp_path / "events"), schema=events.schema)), runs[1], keyed.STATE)
+    found = sinks.latest_rows(spark, runs[0], keyed.FAILURES, ["name"])
+    assert rows_of(found) == rows_of(failures_in_last(builds, 3))
+    got = spark.read.schema(keyed.ORPHANED).parquet(runs[1].data)
+    want = alerts.orphaned_ips_batch(events).filter(F.col("detached_at") < F.lit(at + day))
+    assert rows_of(got) == rows_of(want) and want.count() == 3
