@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 from collections.abc import Iterator
@@ -42,6 +43,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Has Spark remove the shuffle files and written tables that nothing refers to any more. It
+    finds them when the driver's garbage is collected, which otherwise may not happen during a
+    whole query; the disk would hold the files of all its steps at once."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small(df: DataFrame, row_bytes: int) -> DataFrame:
     """A written table marked for broadcast if its rows, at ``row_bytes`` each, stay below
     ``BROADCAST_BYTES``; else as it is, for a join by shuffle."""

@@ -20,14 +20,20 @@ three quarters of the larger set.
    are tied to one hub, never pair by pair. The hub is the document most of whose shingles occur
    elsewhere, as those of an original do. Each document is compared with the hub it shares most
    of these shingles with. That unites groups of near copies in time proportional to their size.
-4. Pairs from different united groups are left. A shingle of at most ``HOT`` documents gives its
-   pairs, which is at most HOT / 2 per entry; the product accumulates what a pair shares, and
-   pairs whose bound from sizes and positions is too low are dropped before whole sets are
-   compared.
-5. Documents that share a hotter shingle form clusters, cut by size class into blocks of
-   ``BLOCK`` documents. The product of two blocks in reach of one another is accumulated row by
-   row over whole sets; pairs out of the size bounds are dropped, and of the links in a cell those
-   that unite something are returned. Pairs of blocks of one united group are left out.
+4. Pairs from different united groups are left. They are found by the first shingles in another
+   order, that by hash with the shingles of more than ``HOT`` documents last, so that a common line
+   is among the first only of documents that hold little else. A shingle of at most ``HOT``
+   documents gives its pairs, which is at most HOT / 2 per entry; the product accumulates what a
+   pair shares, and pairs whose bound from sizes and positions is too low are dropped before whole
+   sets are compared.
+5. Documents that share a hotter one of these shingles form clusters, cut by size class into
+   blocks of ``BLOCK`` documents. The product of two blocks in reach of one another is accumulated
+   row by row over whole sets; pairs out of the size bounds are dropped, and of the links in a cell
+   those that unite something are returned. Pairs of blocks of one united group are left out.
+
+What steps leave on disk is released when the next no longer needs it. The rows of a partition have
+to come in the same order when a task is run again, as those of stored tables do; if not, step 2
+fails with a message.
 
 Edge cases: a NULL or empty text has no shingles, n_shingles 0, and is its own class; rows that
 share their id are one document that has the links of each; a row without id has no class (NULL);
@@ -44,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.common import cut, small
+from faultline.llm.common import cut, release, small
 from faultline.llm.components import connected
 from faultline.llm.shingles import shingle_sets
 
@@ -53,6 +59,8 @@ HOT = 64
 BLOCK = 1024
 # Shingles a task holds before it packs them.
 HELD = 1 << 20
+# Of so many hot shingles the codes are sent to all tasks, 8 bytes each.
+HOT_CODES = 1 << 22
 # Fingerprints a part of the hash space holds; the number of parts follows the data.
 PART = 1 << 22
 
@@ -107,47 +115,99 @@ def shared_counts(rows: DataFrame, sets_of, total: int) -> DataFrame:
     The shingles of a batch travel as one packed row per part of the hash space, as fingerprints
     of as few bytes as leave 16 values free for each that is taken. Within a part those that occur
     once are told from the others. A part holds some ``PART`` fingerprints, so what a task reads and
-    holds stays the same as the data grow; a packed row adds 12 bytes a document and part.
+    holds stays the same as the data grow. A packed row names documents by their places in the
+    batch, in a byte or two each; the ids of a batch travel once, under their digest, to where the
+    counts of its parts meet. Bytes a shingle so hardly depend on the number of parts.
     """
+    return _sums(_counted(rows, sets_of, total))
+
+
+def _sums(counted: DataFrame) -> DataFrame:
+    return counted.filter("NOT hot").groupBy("doc_id").agg(F.sum("shared").alias("shared"))
+
+
+def _parts(total: int) -> tuple[int, int]:
+    """Number of parts of the hash space and bytes of a fingerprint for so many shingles."""
     parts = 16 + total // PART
-    width = next(w for w in range(2, 9) if w == 8 or parts << (8 * w) >= 16 * max(total, 1))
+    return parts, next(w for w in range(2, 9) if w == 8 or parts << (8 * w) >= 16 * max(total, 1))
+
+
+def _part_of(h: np.ndarray, parts: int) -> np.ndarray:
+    return ((h >> np.uint64(40)) % np.uint64(parts)).astype(np.int32)
+
+
+def _hot_limit(total: int) -> int:
+    """Shingles count as hot beyond so many documents; at most ``HOT_CODES`` are."""
+    return max(HOT, total // HOT_CODES)
+
+
+def _narrow(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 in as few bytes each as the largest needs, after a byte that says so."""
+    most = int(values.max()) if len(values) else 0
+    kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if most <= np.iinfo(k).max)
+    return bytes([kind().nbytes]) + values.astype(kind).tobytes()
+
+
+def _widen(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
+
+
+def _counted(rows: DataFrame, sets_of, total: int, often: int | None = None) -> DataFrame:
+    """(doc_id, shared, code, hot): the counts of ``shared_counts`` by document and batch; and, if
+    ``often`` is given, with ``hot`` set the codes (``codes_of``) of the shingles that occur in
+    more than so many rows."""
+    parts, width = _parts(total)
     kind = np.uint32 if width <= 4 else np.uint64
 
     def emit(batches):
         for batch in batches:
-            docs, hashes, held = [], [], 0
+            docs, sets, held = [], [], 0
             for doc, own in zip(batch.column("doc_id").to_pylist(), sets_of(batch)):
                 if doc is not None and len(own):
-                    docs.append(np.full(len(own), doc, np.int64))
-                    hashes.append(own)
+                    docs.append(doc)
+                    sets.append(own)
                     held += len(own)
                 if held >= HELD:
-                    yield packed_rows(np.concatenate(docs), np.concatenate(hashes))
-                    docs, hashes, held = [], [], 0
+                    yield packed_rows(docs, sets)
+                    docs, sets, held = [], [], 0
             if held:
-                yield packed_rows(np.concatenate(docs), np.concatenate(hashes))
+                yield packed_rows(docs, sets)
 
-    def packed_rows(doc, h):
-        part = ((h >> np.uint64(40)) % np.uint64(parts)).astype(np.int32)
+    def packed_rows(docs, sets):
+        ids = np.array(docs, np.int64).tobytes()
+        name = hashlib.blake2b(ids, digest_size=16).digest()
+        place, h = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets)
+        part = _part_of(h, parts)
         order = np.argsort(part, kind="stable")
-        doc, h, part = doc[order], h[order], part[order]
+        place, h, part = place[order], h[order], part[order]
         edges = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part))
         prints = h.view(np.uint8).reshape(-1, 8)[:, :width]
-        out = {"part": [], "docs": [], "counts": [], "prints": []}
+        # The ids go to parts of their own, so that no part has those of all batches.
+        out = {"part": [parts + _home(name)], "ids": [ids], "places": [None], "counts": [None],
+               "prints": [None]}
         for a, b in zip(edges[:-1], edges[1:]):
-            first = np.flatnonzero(np.append(True, doc[a + 1:b] != doc[a:b - 1]))
+            first = np.flatnonzero(np.append(True, place[a + 1:b] != place[a:b - 1]))
             out["part"].append(int(part[a]))
-            out["docs"].append(np.diff(doc[a:b][first], prepend=0).tobytes())
-            out["counts"].append(np.diff(np.append(first, b - a)).astype(np.uint32).tobytes())
+            out["ids"].append(None)
+            out["places"].append(_narrow(np.diff(place[a:b][first], prepend=0)))
+            out["counts"].append(_narrow(np.diff(np.append(first, b - a))))
             out["prints"].append(np.ascontiguousarray(prints[a:b]).tobytes())
         return pa.RecordBatch.from_arrays(
-            [pa.array(out["part"], pa.int32()),
-             *(pa.array(out[k], pa.binary()) for k in ("docs", "counts", "prints"))],
-            names=list(out))
+            [pa.array(out["part"], pa.int32()), pa.array([name] * len(out["part"]), pa.binary()),
+             *(pa.array(out[k], pa.binary()) for k in ("ids", "places", "counts", "prints"))],
+            names=["part", "batch", "ids", "places", "counts", "prints"])
+
+    def _home(name):
+        return int.from_bytes(name[:8], "little") % parts
 
     def count(packed: pd.DataFrame) -> pd.DataFrame:
-        doc = np.concatenate([np.cumsum(np.frombuffer(d, np.int64)) for d in packed["docs"]])
-        each = np.frombuffer(b"".join(packed["counts"]), np.uint32)
+        part = int(packed["part"].iloc[0])
+        if part >= parts:
+            return packed.assign(home=part - parts, shared=None)[
+                ["home", "batch", "ids", "places", "shared"]]
+        each = [_widen(c) for c in packed["counts"]]
+        edges = np.cumsum([0] + [len(c) for c in each])
+        each = np.concatenate(each)
         raw = np.frombuffer(b"".join(packed["prints"]), np.uint8).reshape(-1, width)
         prints = np.zeros((len(raw), kind().nbytes), np.uint8)
         prints[:, :width] = raw
@@ -155,31 +215,59 @@ def shared_counts(rows: DataFrame, sets_of, total: int) -> DataFrame:
         order = np.argsort(prints)
         ordered = prints[order]
         same = ordered[1:] == ordered[:-1]
-        often = np.zeros(len(prints), bool)
-        often[order] = np.append(False, same) | np.append(same, False)
-        starts = np.cumsum(each, dtype=np.int64) - each
-        shared = np.add.reduceat(often.astype(np.int64), starts) if len(starts) else each
-        docs, shared = doc[shared > 0], shared[shared > 0]
-        home = (docs % parts).astype(np.int32)
-        order = np.argsort(home, kind="stable")
-        docs, shared, home = docs[order], shared[order], home[order]
-        edges = np.append(np.flatnonzero(np.append(True, home[1:] != home[:-1])), len(home))
-        cuts = list(zip(edges[:-1], edges[1:])) if len(home) else []
-        return pd.DataFrame({
-            "home": [int(home[a]) for a, _ in cuts],
-            "docs": [docs[a:b].tobytes() for a, b in cuts],
-            "shared": [shared[a:b].astype(np.uint32).tobytes() for a, b in cuts]})
-
-    def add_up(packed: pd.DataFrame) -> pd.DataFrame:
-        docs = np.frombuffer(b"".join(packed["docs"]), np.int64)
-        shared = np.frombuffer(b"".join(packed["shared"]), np.uint32).astype(np.int64)
-        ids, place = np.unique(docs, return_inverse=True)
-        return pd.DataFrame({"doc_id": ids,
-                             "shared": np.bincount(place, shared, len(ids)).astype(np.int64)})
-
-    packed = rows.mapInArrow(emit, "part int, docs binary, counts binary, prints binary")
-    counted = packed.repartition(parts, "part").groupBy("part").applyInPandas(count, "home int, docs binary, shared binary")
-    return counted.groupBy("home").applyInPandas(add_up, "doc_id bigint, shared bigint")
+        again = np.zeros(len(prints), bool)
+        again[order] = np.append(False, same) | np.append(same, False)
+        shared = np.add.reduceat(again.astype(np.int64), np.cumsum(each) - each)
+        out = []
+        for name, places, a, b in zip(packed["batch"], packed["places"], edges[:-1], edges[1:]):
+            some = shared[a:b] > 0
+            if some.any():
+                places = np.cumsum(_widen(places))[some]
+                out.append((_home(name), name, None, _narrow(np.diff(places, prepend=0)),
+                            _narrow(shared[a:b][some])))
+        if often is not None:
+            first = np.flatnonzero(np.append(True, ~same))
+            times = np.diff(np.append(first, len(ordered)))
+            codes = ordered[first][times > often].astype(np.uint64) | np.uint64(part << 8 * width)
+            if len(codes):
+                out.append((part, None, None, codes.tobytes(), None))
+        return pd.DataFrame(out, columns=["home", "batch", "ids", "places", "shared"])
+
+    def add_up(counted: pd.DataFrame) -> pd.DataFrame:
+        codes = np.frombuffer(b"".join(counted["places"][counted["batch"].isna()]), np.int64)
+        docs, shared_of = [], []
+        for _, own in counted.groupby("batch"):
+            ids = own["ids"].dropna()
+            if not len(ids):
+                raise RuntimeError("rows of the input came in another order when a task was run "
+                                   "again; write them to a table first")
+            ids = np.frombuffer(ids.iloc[0], np.int64)
+            sums = np.zeros(len(ids), np.int64)
+            own = own[own["ids"].isna()]
+            for places, shared in zip(own["places"], own["shared"]):
+                sums[np.cumsum(_widen(places))] += _widen(shared)
+            docs.append(ids[sums > 0])
+            shared_of.append(sums[sums > 0])
+        known = sum(len(d) for d in docs)
+        out = {"doc_id": [*docs, np.zeros(len(codes), np.int64)],
+               "shared": [*shared_of, np.zeros(len(codes), np.int64)],
+               "code": [np.zeros(known, np.int64), codes]}
+        return pd.DataFrame({k: np.concatenate(v) for k, v in out.items()}
+                            | {"hot": np.arange(known + len(codes)) >= known})
+
+    packed = rows.mapInArrow(emit, "part int, batch binary, ids binary, places binary, "
+                                   "counts binary, prints binary")
+    counted = packed.repartition(parts, "part").groupBy("part").applyInPandas(
+        count, "home int, batch binary, ids binary, places binary, shared binary")
+    return counted.groupBy("home").applyInPandas(
+        add_up, "doc_id bigint, shared bigint, code bigint, hot boolean")
+
+
+def codes_of(h: np.ndarray, total: int) -> np.ndarray:
+    """Part and fingerprint of shingles as one number each, for a count of so many shingles."""
+    parts, width = _parts(total)
+    low = h & np.uint64((1 << 8 * width) - 1)
+    return (low | (_part_of(h, parts).astype(np.uint64) << np.uint64(8 * width))).view(np.int64)
 
 
 def kept_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -209,14 +297,17 @@ def kept_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
 
 # -- 3. documents against hubs ----------------------------------------------------------------------
 
-def prefix_entries(sets: DataFrame) -> DataFrame:
+def prefix_entries(sets: DataFrame, is_hot=None) -> DataFrame:
     """(shingle, size class, doc_id, n, place, share) of the first shingles of each set; share is
-    the document's rank as a hub, place that of the shingle in the set."""
+    the document's rank as a hub, place that of the shingle in the set. Shingles are ordered by
+    hash, those for which ``is_hot`` holds after all others."""
     def read(batches):
         for batch in batches:
             shingle, owner, place = [], [], []
             for i, raw in enumerate(batch.column("set").to_pylist()):
                 own = np.frombuffer(raw, np.uint64)
+                if is_hot:
+                    own = own[np.argsort(is_hot(own), kind="stable")]
                 own = own[:prefix_length(len(own))]
                 shingle.append(own.view(np.int64))
                 owner.append(np.full(len(own), i))
@@ -234,6 +325,20 @@ def prefix_entries(sets: DataFrame) -> DataFrame:
                                  "share double")
 
 
+def hot_test(counted: DataFrame, total: int):
+    """Whether shingles are hot, by the rows of ``_counted`` for so many shingles. Any fixed test
+    gives the same links, since the first shingles may be taken in any common order."""
+    codes = counted.filter("hot").select("code").toArrow().column("code").to_numpy()
+    known = counted.sparkSession.sparkContext.broadcast(np.sort(codes))
+
+    def is_hot(shingles):
+        codes = codes_of(shingles, total)
+        at = np.searchsorted(known.value, codes)
+        at[at == len(known.value)] = 0
+        return known.value[at] == codes if len(known.value) else np.zeros(len(codes), bool)
+    return is_hot
+
+
 def size_class(n: np.ndarray) -> np.ndarray:
     """Sizes within 4:3 of one another are in the same class or in neighbouring ones."""
     return np.floor(np.log(n) / np.log(4 / 3)).astype(np.int32)
@@ -461,20 +566,24 @@ def components(documents: DataFrame) -> DataFrame:
     most = 100 * F.col("shared") >= SHARE * F.col("n")
     wanted = cut(classes.withColumnRenamed("rep", "doc_id").join(shared, "doc_id").filter(most)
                  .select("doc_id", "digest", F.least("shared", "n").alias("shared")))
+    release(documents.sparkSession)
     copies = cut(kept_sets(documents, wanted))
     total = copies.agg(F.sum("n")).first()[0] or 0
-    again = cut(shared_counts(copies, _stored_sets, total))
+    counted = cut(_counted(copies, _stored_sets, total, _hot_limit(total)))
+    again = cut(_sums(counted))
     sets = (copies.drop("shared").join(small(again, 32), "doc_id").filter(most)
             .withColumn("shared", F.least("shared", "n")))
 
-    entries = prefix_entries(sets)
-    by_hub = cut(linked_pairs(hub_pairs(entries), sets))
-    mixed = mixed_entries(entries, connected(by_hub))
+    by_hub = cut(linked_pairs(hub_pairs(prefix_entries(sets)), sets))
+    release(documents.sparkSession)
+    mixed = mixed_entries(prefix_entries(sets, hot_test(counted, total)), connected(by_hub))
+    release(documents.sparkSession)
     by_pair = linked_pairs(rare_pairs(mixed, HOT), sets)
     by_block = block_links(sets, mixed, HOT, BLOCK)
     # Rows of one id belong together, and so do rows of one set.
     equal = (known.join(classes.withColumnRenamed("n", "n_shingles"), ["digest", "n_shingles"])
              .filter("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     roots = connected(equal.union(by_hub).union(by_pair).union(by_block))
+    release(documents.sparkSession)
     return (rows.join(roots, rows["doc_id"] == roots["node"], "left")
             .select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id")))

@@ -610,6 +610,52 @@ def test_jaccard_hot_groups(spark, monkeypatch):
     assert {tuple(r) for r in found} == plain_classes(rows)
 
 
+def test_jaccard_lines_of_many_texts_give_no_blocks(spark, monkeypatch):
+    """A line that many texts quote is not what they are compared by."""
+    monkeypatch.setattr(op5_jaccard, "HOT", 4)
+    monkeypatch.setattr(op5_jaccard, "BLOCK", 5)
+    hot, blocks = [], op5_jaccard.block_links
+
+    def seen(sets, mixed, *bounds):
+        hot.append(mixed.filter(F.col("docs") > 4).count())
+        return blocks(sets, mixed, *bounds)
+    monkeypatch.setattr(op5_jaccard, "block_links", seen)
+    word = lambda *k: "w" + hashlib.md5(repr(k).encode()).hexdigest()[:7]
+    line, rows = [word("line", i) for i in range(25)], []
+    for i in range(30):
+        own = [word("own", i, j) for j in range(80 + i)]
+        rows += [(2 * i, " ".join(own + line)), (2 * i + 1, " ".join([word(i), *own, *line]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = op5_jaccard.components(docs).collect()
+    assert {tuple(r) for r in found} == plain_classes(rows)
+    assert hot == [0]
+
+
+def test_jaccard_parts_add_few_bytes(spark, monkeypatch):
+    """With 50 times the parts a shingle costs hardly more bytes, and the counts stay the same."""
+    word = lambda *k: "w" + hashlib.md5(repr(k).encode()).hexdigest()[:7]
+    rows = [(i << 40, " ".join(word(i % 60, j) for j in range(100))) for i in range(120)]
+    rows += [(0, "of one more text with the id of another"), (1, "a b"), (3, "A b"), (2, None),
+             (None, "a b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    sent, deal = [], type(docs).repartition
+
+    def seen(self, *by):
+        if "part" in by:
+            sent.append(sum(len(v) for r in self.collect() for v in r
+                            if isinstance(v, (bytes, bytearray))))
+        return deal(self, *by)
+    monkeypatch.setattr(type(docs), "repartition", seen)
+    counts = []
+    for part in (1 << 22, 12_000 // 800):
+        monkeypatch.setattr(op5_jaccard, "PART", part)
+        counts.append({tuple(r) for r in op5_jaccard.shared_counts(
+            docs, op5_jaccard._text_sets, 12_000).collect()})
+    least = {(i << 40, 96) for i in range(120)} | {(1, 1), (3, 1)}
+    assert counts[0] == counts[1] == least
+    assert sent[1] < 9 * 11_520
+
+
 def test_jaccard_edges(odd, none):
     rows = op5_jaccard.components(odd).collect()
     found = Counter((r.doc_id, r.n_shingles, r.component_id) for r in rows)
