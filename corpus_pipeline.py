@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.llm import op4_pii, op5_jaccard, op6_quality, op9_packing, op10_decontamination
-from faultline.llm.common import cut, shared_dir, table
+from faultline.llm.common import BROADCAST_BYTES, cut, release, shared_dir, small, table
 from faultline.llm.queries import PATTERN, TOKENIZER
 
 QUALITY_THRESHOLD = 0.3
@@ -32,7 +32,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each class of linked documents: that of the smallest id. A document is a
     row's id and text, taken by its 64-bit hash, so texts that share an id are documents of their
     own and of equal rows one stays. Documents without words or without an id link with nothing and
-    stay."""
+    stay. Texts are not shuffled for this but those of equal rows, as long as the keys of the rows
+    that go and of the equal ones can be broadcast."""
     key = f"key_{uuid.uuid4().hex}"
     doc_id = F.col("doc_id").cast("long")
     keyed = docs.withColumn(key, F.when(doc_id.isNotNull(),
@@ -44,11 +45,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     ids = keyed.filter(F.col(key).isNotNull()).select(key, doc_id.alias("doc_id"))
     members = cut(linked.union(roots).join(ids, key).distinct())
     first = members.groupBy("component_id").agg(F.min(F.struct("doc_id", key))[key].alias(key))
-    extra = members.select(key).join(first.select(key), key, "left_anti")
-    kept = keyed.join(extra, key, "left_anti")
-    one = kept.filter(F.col(key).isNotNull()).dropDuplicates([key])
-    return one.select(*docs.columns).union(
-        kept.filter(F.col(key).isNull()).select(*docs.columns))
+    extra = cut(members.select(key).join(first.select(key), key, "left_anti"))
+    kept = keyed.join(small(extra, 16), key, "left_anti")
+    again = cut(ids.groupBy(key).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select(key))
+    release(spark)
+    if again.count() * 16 > BROADCAST_BYTES:
+        equal, others = kept.filter(F.col(key).isNotNull()), kept.filter(F.col(key).isNull())
+    else:
+        again = F.broadcast(again)
+        equal, others = kept.join(again, key), kept.join(again, key, "left_anti")
+    return equal.dropDuplicates([key]).select(*docs.columns).union(others.select(*docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

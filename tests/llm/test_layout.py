@@ -324,6 +324,25 @@ def test_pipeline_edges(spark, tmp_path, sf_dir):
         assert stage(spark, none, sf_dir).count() == 0
 
 
+@pytest.mark.parametrize("room", [None, 0])
+def test_near_duplicates_shuffle_no_other_texts_than_those_of_equal_rows(spark, monkeypatch, room):
+    """The same rows stay if the keys are too many for a broadcast."""
+    if room is not None:
+        monkeypatch.setattr(corpus_pipeline, "BROADCAST_BYTES", room)
+    rows = [(i, f"{i} one text of {i} that is like no other of {i * i}") for i in range(50)]
+    rows += [rows[3], rows[3], rows[7], (90, rows[9][1]), (91, None), (91, None), (None, "a"), (None, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    shuffled, drop = [], type(docs).dropDuplicates
+
+    def seen(self, *by):
+        shuffled.append(self.count())
+        return drop(self, *by)
+    monkeypatch.setattr(type(docs), "dropDuplicates", seen)
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert Counter(map(tuple, kept.collect())) == Counter(rows[:50] + [(91, None)] + 2 * [(None, "a")])
+    assert shuffled[-1] == (7 if room is None else 55)
+
+
 def test_near_duplicates_of_texts_that_share_an_id(spark, sf_dir):
     """Different texts under one id stay; copies go whatever their ids, the smallest id stays."""
     one, two, three = ("a b c d e f g", "other words that say something else", "neither of the two")
