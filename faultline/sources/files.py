@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import os
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -36,16 +38,32 @@ class Folder:
         target = self._path(f"{self.path}/{number}.json")
         if replace:
             self._fs.delete(target, False)
-        draft = self._path(f"{self.path}/.{number}-{id(value)}.draft")
+        draft = self._path(f"{self.path}/.{number}-{uuid.uuid4().hex}.draft")
         stream = self._fs.create(draft, True)
         try:
             stream.write(json.dumps(value).encode())
         finally:
             stream.close()
-        if self._fs.exists(target) or not self._fs.rename(draft, target):
+        try:
+            taken = self._fs.exists(target) or not self._named(draft, target)
+        finally:
             self._fs.delete(draft, False)
+        if taken:
             raise FileExistsError(f"{self.path}/{number}.json was written meanwhile")
 
+    def _named(self, draft, target) -> bool:
+        """Gives the draft its name unless that is taken. On a local disk a rename would replace a
+        file that another writer has just named; a link does not."""
+        if self._fs.getScheme() != "file":
+            return self._fs.rename(draft, target)
+        try:
+            os.link(draft.toUri().getPath(), target.toUri().getPath())
+        except FileExistsError:
+            return False
+        except OSError:  # a disk without links
+            return self._fs.rename(draft, target)
+        return True
+
     def remove(self, number: int) -> None:
         self._fs.delete(self._path(f"{self.path}/{number}.json"), False)
 

@@ -1,6 +1,7 @@
 """Windows closed by a watermark, and id ranges over several appends."""
 
 import datetime as dt
+import os
 import threading
 
 import pytest
@@ -109,6 +110,26 @@ def test_ranges_of_appends_at_one_time_are_apart(spark, tmp_path):
     assert ids == list(range(1, 37))
 
 
+def test_a_number_taken_at_the_last_moment_is_refused(spark, tmp_path, monkeypatch):
+    """Another writer takes the number after the look whether it is free."""
+    one, other = (IdLedger(spark, str(tmp_path / "ledger")).files for _ in range(2))
+
+    class Late:
+        def __getattr__(self, name):
+            return getattr(other._fs, name)
+
+        def exists(self, path):
+            found = other._fs.exists(path)
+            if path.getName() == "0.json":
+                other.write(0, {"first": 1, "count": 5})
+            return found
+    monkeypatch.setattr(one, "_fs", Late())
+    with pytest.raises(FileExistsError):
+        one.write(0, {"first": 1, "count": 2})
+    assert other.read(0) == {"first": 1, "count": 5} and other.numbers() == [0]
+    assert not [f for f in os.listdir(tmp_path / "ledger") if f.endswith(".draft")]
+
+
 def test_only_the_newest_ranges_are_kept(spark, tmp_path):
     ledger = IdLedger(spark, str(tmp_path / "ledger"))
     assert [ledger.reserve(2) for _ in range(105)] == list(range(1, 211, 2))
