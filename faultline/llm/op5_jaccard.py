@@ -62,7 +62,7 @@ HELD = 1 << 20
 # Of so many hot shingles the codes are sent to all tasks, 8 bytes each.
 HOT_CODES = 1 << 22
 # Fingerprints a part of the hash space holds; the number of parts follows the data.
-PART = 1 << 22
+PART = 1 << 20
 
 
 def linked(shared, a, b, share: int = SHARE):
@@ -217,7 +217,7 @@ def _counted(rows: DataFrame, sets_of, total: int, often: int | None = None) ->
         same = ordered[1:] == ordered[:-1]
         again = np.zeros(len(prints), bool)
         again[order] = np.append(False, same) | np.append(same, False)
-        shared = np.add.reduceat(again.astype(np.int64), np.cumsum(each) - each)
+        shared = np.add.reduceat(again, np.cumsum(each) - each, dtype=np.int64)
         out = []
         for name, places, a, b in zip(packed["batch"], packed["places"], edges[:-1], edges[1:]):
             some = shared[a:b] > 0
@@ -257,7 +257,7 @@ def _counted(rows: DataFrame, sets_of, total: int, often: int | None = None) ->
 
     packed = rows.mapInArrow(emit, "part int, batch binary, ids binary, places binary, "
                                    "counts binary, prints binary")
-    counted = packed.repartition(parts, "part").groupBy("part").applyInPandas(
+    counted = packed.repartition(16 + parts // 4, "part").groupBy("part").applyInPandas(
         count, "home int, batch binary, ids binary, places binary, shared binary")
     return counted.groupBy("home").applyInPandas(
         add_up, "doc_id bigint, shared bigint, code bigint, hot boolean")
